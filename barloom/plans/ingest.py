@@ -6,12 +6,11 @@ import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.functions import clock
-from barloom.session import broadcast_if_small
+from barloom.session import broadcast_if_small, path_exists
 from barloom.sources.barstore import BarStore
 from barloom.sources.flatfiles import read_raw_bars, require_columns
 
@@ -20,8 +19,6 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class IngestReport:
-    rows_read: int
-    rows_rejected: int
     rows_written: int
     tickers_written: int
 
@@ -99,24 +96,27 @@ def write_indexed(bars: DataFrame, root: str, mode: str = "append",
 
 
 def ingest_bars(spark: SparkSession, source: str | list[str], root: str, year: int | None = None,
-                tickers: list[str] | None = None, mode: str = "append", **read_options) -> IngestReport:
+                tickers: list[str] | None = None, mode: str = "append", quarantine: str | None = None,
+                **read_options) -> IngestReport:
     """Load flat files into the store; tickers already stored for a year are left alone.
 
-    Running it again on the same input writes nothing. The report comes from
-    metrics of the one write job; a retried stage can raise its figures.
+    Running it again on the same input writes nothing. ``quarantine`` names a
+    folder that receives the rows without ticker or time. The report is counted
+    on the partitions that were not there before, from file footers.
     """
     raw = read_raw_bars(spark, source, tickers=tickers, **read_options)
-    seen, written = Observation(), Observation()
-    raw = raw.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(~_is_valid(), 1)).alias("rejected"))
-    bars = clean_bars(raw, year)
-    fresh = without_stored(bars, BarStore(spark, root).stored_tickers())
-    fresh = fresh.observe(
-        written, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("ticker").alias("tickers"))
-    write_bars(fresh, root, mode)
-    read, wrote = seen.get, written.get
-    report = IngestReport(
-        read.get("rows", 0), read.get("rejected", 0), wrote.get("rows", 0), wrote.get("tickers", 0))
+    if quarantine:
+        rejected_rows(raw).write.mode("append").parquet(quarantine)
+    # The listing inside this frame is taken now, so it stays the state before the load.
+    stored = BarStore(spark, root).stored_tickers()
+    write_bars(without_stored(clean_bars(raw, year), stored), root, mode)
+    if not path_exists(spark, root):
+        return IngestReport(0, 0)
+    added = BarStore(spark, root).scan().select("year", "ticker").join(
+        broadcast_if_small(stored), ["year", "ticker"], "left_anti")
+    rows, count = added.groupBy("ticker").count().agg(
+        F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    report = IngestReport(rows, count)
     log.info("ingest: %s", report)
     return report
 

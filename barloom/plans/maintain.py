@@ -38,15 +38,14 @@ def compact(spark: SparkSession, root: str, year: int | None = None, tickers: li
     The result is staged and its row count verified before the partitions are
     replaced, so a failure at any point leaves either the old or the new files.
     """
+    def chosen(df: DataFrame) -> DataFrame:
+        if year is not None:
+            df = df.filter(F.col("year") == year)
+        return df.filter(F.col("ticker").isin(tickers)) if tickers is not None else df
+
     store = BarStore(spark, root, layout)
-    picked = store.scan()
-    listing = store.files()
-    if year is not None:
-        picked, listing = picked.filter(F.col("year") == year), listing.filter(F.col("year") == year)
-    if tickers is not None:
-        picked = picked.filter(F.col("ticker").isin(tickers))
-        listing = listing.filter(F.col("ticker").isin(tickers))
-    files_before = listing.count()
+    picked = chosen(store.scan())
+    files_before = chosen(store.files()).count()
     rows_before = picked.count()
     if rows_before == 0:
         raise DataNotFound(f"nothing to compact in {root}")
@@ -58,7 +57,7 @@ def compact(spark: SparkSession, root: str, year: int | None = None, tickers: li
     if staged.count() != rows_after:
         raise DataValidationError("staged rows differ from the distinct rows; store left unchanged")
     write_bars(staged, root, "overwrite", partition_by)
-    return CompactionReport(files_before, listing.count(), rows_before, rows_after)
+    return CompactionReport(files_before, chosen(store.files()).count(), rows_before, rows_after)
 
 
 def corrupt_files(spark: SparkSession, root: str, deep: bool = False) -> DataFrame:

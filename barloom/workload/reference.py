@@ -38,11 +38,11 @@ def reverse_splits(spark, sf_dir):
 
 
 @query("forward_splits_top", sql(
-    f"SELECT {_SPLIT_COLUMNS} FROM s WHERE split_from <= split_to AND ticker IN ('P1', 'P2', 'P3', 'P4', 'P5') "
+    f"SELECT {_SPLIT_COLUMNS} FROM s WHERE split_from <= split_to AND split_from IN (2, 3) "
     "ORDER BY s.execution_date DESC, id LIMIT 25", s=_SPLITS_SQL))
 def forward_splits_top(spark, sf_dir):
     kept = refdata.list_splits(
-        splits(spark, sf_dir), reverse_split=False, ticker_any_of=["P1", "P2", "P3", "P4", "P5"])
+        splits(spark, sf_dir), reverse_split=False, split_from_any_of=[2.0, 3.0])
     return portable(rows.sorted_limit(kept, "execution_date", "desc", 25, ["id"]))
 
 

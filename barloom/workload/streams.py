@@ -1 +1,171 @@
-"""TODO."""
+"""Structured Streaming over event messages, landed from events, until the input is drained."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from barloom.functions import clock
+from barloom.operators.bars import bar_start
+from barloom.session import work_dir
+from barloom.streaming import bars as streambars
+from barloom.streaming import events, replay, sinks
+from barloom.workload import query
+from barloom.workload.inputs import bars, day, moment, portable, r, ratio, sql, trades
+from barloom.workload.store import _once
+
+# Landed files are read in no certain time order, so lateness may span the whole input.
+ALL_LATE = "60 days"
+BAR_LAYOUT = ("ticker STRING, window_start_et TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, "
+              "close DOUBLE, volume BIGINT, transactions BIGINT, vwap DOUBLE")
+
+
+def stream_session(spark):
+    """A session of the same application whose state is spread over the cores at hand."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", str(max(spark.sparkContext.defaultParallelism, 4)))
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    return session
+
+
+def messages(spark, sf_dir) -> str:
+    """One line per event: an array of a trade message, a quote message, and for some a third."""
+    def build(target):
+        common = [F.col("ticker").alias("sym"), clock.epoch_ms(F.col("ts")).alias("t"),
+                  F.col("sequence").alias("q")]
+        trade = F.to_json(F.struct(
+            F.lit("T").alias("ev"), *common, F.col("price").alias("p"), F.col("size").alias("s"),
+            F.array((F.col("user_id") % 8).cast("int")).alias("c")))
+        quote = F.to_json(F.struct(
+            F.lit("Q").alias("ev"), *common, F.col("price").alias("bp"), (F.col("price") + 1).alias("ap")))
+        other = F.when(F.col("size") < 10, F.lit('{"ev":"status","message":"connected"}')).when(
+            F.col("size") >= 90, F.to_json(F.struct(F.lit("ZZ").alias("ev"), F.col("sequence").alias("q"))))
+        line = F.concat(F.lit("["), F.concat_ws(",", trade, quote, other), F.lit("]"))
+        trades(spark, sf_dir).select(line.alias("value")).repartition(8).write.text(target)
+    return _once(spark, sf_dir, "messages", build)
+
+
+def _trade_stream(spark, sf_dir, files_per_trigger=4):
+    lines = events.read_message_stream(stream_session(spark), messages(spark, sf_dir), files_per_trigger)
+    return events.trades_with_time(events.route(events.known_messages(
+        events.parse_messages(lines)), "equity_trade"))
+
+
+_KINDS_SQL = (
+    "SELECT 'T' AS ev, 'known' AS fate, count(*) AS n FROM trades UNION ALL SELECT 'Q', 'known', count(*) FROM trades "
+    "UNION ALL SELECT 'ZZ', 'quarantined', count(*) FROM trades WHERE size >= 90")
+
+
+@query("parse_events", sql(_KINDS_SQL, "trades"))
+def parse_events(spark, sf_dir):
+    """Known and quarantined messages of the stream; status messages are in neither."""
+    found = []
+    for fate, pick in (("known", events.known_messages), ("quarantined", events.quarantined)):
+        target = work_dir(spark, fate)
+        lines = events.read_message_stream(stream_session(spark), messages(spark, sf_dir))
+        sinks.append_to_table(
+            pick(events.parse_messages(lines)), target, f"{target}-checkpoint").awaitTermination()
+        found.append(spark.read.schema("ev STRING").parquet(target).withColumn("fate", F.lit(fate)))
+    return portable(found[0].unionByName(found[1]).groupBy("ev", "fate").agg(F.count("*").alias("n")))
+
+
+@query("routed_quotes", sql(
+    f"SELECT ticker AS symbol, sequence AS sequence_number, {r('price')} AS bid_price, {r('price + 1')} AS ask_price, "
+    "epoch_us(ts) // 1000 AS timestamp FROM trades", "trades"))
+def routed_quotes(spark, sf_dir):
+    lines = spark.read.text(messages(spark, sf_dir))
+    return portable(events.route(events.parse_messages(lines), "equity_quote").select(
+        "symbol", "sequence_number", "bid_price", "ask_price", "timestamp"))
+
+
+@query("subscribed_events", sql(
+    "SELECT 'T' AS ev, ticker AS symbol, count(*) AS n FROM trades GROUP BY 2 UNION ALL "
+    "SELECT 'Q', ticker, count(*) FROM trades WHERE ticker = 'VIEW' GROUP BY 2", "trades"))
+def subscribed_events(spark, sf_dir):
+    session, target = stream_session(spark), work_dir(spark, "subscribed")
+    subs = events.subscriptions(session, ["T.CLICK", "T.*", "Q.VIEW", "nonsense"])
+    lines = events.read_message_stream(session, messages(spark, sf_dir))
+    sinks.append_to_table(
+        events.subscribed(events.parse_messages(lines), subs), target, f"{target}-checkpoint").awaitTermination()
+    return portable(spark.read.parquet(target).groupBy("ev", "symbol").agg(F.count("*").alias("n")))
+
+
+_STREAM_BARS_SQL = sql(
+    f"SELECT ticker AS symbol, {moment('minute')} AS window_start_et, {r('arg_min(price, (t, sequence))')} AS open, "
+    f"{r('max(price)')} AS high, {r('min(price)')} AS low, {r('arg_max(price, (t, sequence))')} AS close, "
+    "CAST(sum(size) AS BIGINT) AS volume, count(*) AS transactions, "
+    f"{r(ratio('sum(price * size)', 'sum(size)'))} AS vwap, {r('avg(size)')} AS average_size FROM ("
+    "SELECT *, epoch_us(ts) // 1000 AS t, date_trunc('minute', ts_et) AS minute FROM trades) GROUP BY ticker, minute",
+    "trades")
+
+
+@query("stream_minute_bars", _STREAM_BARS_SQL)
+def stream_minute_bars(spark, sf_dir):
+    target = work_dir(spark, "streambars")
+    made = streambars.stream_bars(_trade_stream(spark, sf_dir), delay=ALL_LATE)
+    sinks.upsert_versions(made, target, f"{target}-checkpoint").awaitTermination()
+    return portable(sinks.read_latest(spark, target, ["symbol", "window_start_et"]))
+
+
+@query("batch_minute_bars", _STREAM_BARS_SQL)
+def batch_minute_bars(spark, sf_dir):
+    """The same bar definition over the same messages, as a batch."""
+    lines = spark.read.text(messages(spark, sf_dir))
+    routed = events.route(events.parse_messages(lines), "equity_trade")
+    return portable(streambars.stream_bars(events.trades_with_time(routed), delay=None))
+
+
+@query("stream_dedup", sql(
+    f"SELECT ticker AS symbol, sequence AS sequence_number, {r('price')} AS price, size FROM trades", "trades"))
+def stream_dedup(spark, sf_dir):
+    """Every trade arrives twice and is kept once."""
+    target = work_dir(spark, "dedup")
+    once = _trade_stream(spark, sf_dir)
+    twice = once.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    sinks.append_to_table(
+        events.drop_repeated(twice, ALL_LATE).select("symbol", "sequence_number", "price", "size"),
+        target, f"{target}-checkpoint").awaitTermination()
+    return portable(spark.read.parquet(target))
+
+
+@query("stream_day_vwap", sql(
+    f"SELECT ticker AS symbol, {day('CAST(ts_et AS DATE)')} AS trade_date, "
+    f"CAST(sum(size) AS BIGINT) AS accumulated_volume, {r(ratio('sum(price * size)', 'sum(size)'))} AS aggregate_vwap, "
+    "count(*) AS transactions FROM trades GROUP BY 1, 2", "trades"))
+def stream_day_vwap(spark, sf_dir):
+    target = work_dir(spark, "daytotals")
+    totals = streambars.stream_day_totals(_trade_stream(spark, sf_dir), ALL_LATE)
+    sinks.upsert_versions(totals, target, f"{target}-checkpoint").awaitTermination()
+    return portable(sinks.read_latest(spark, target, ["symbol", "trade_date"]))
+
+
+@query("stream_callback", sql("SELECT ticker AS symbol, count(*) AS n FROM trades GROUP BY 1", "trades"))
+def stream_callback(spark, sf_dir):
+    """A user callback that stores counts per batch."""
+    target = work_dir(spark, "callback")
+
+    def handle(batch, batch_id):
+        batch.groupBy("symbol").count().write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    sinks.run_callback(_trade_stream(spark, sf_dir, 2), handle, f"{target}-checkpoint").awaitTermination()
+    return portable(spark.read.parquet(target).groupBy("symbol").agg(F.sum("count").alias("n")))
+
+
+@query("replay_bars", sql(
+    f"SELECT ticker, {moment('window_start_et')} AS window_start_et, {r('close')} AS close, "
+    "true AS in_order FROM bars", "bars"))
+def replay_bars(spark, sf_dir):
+    """Bars replayed week by week; a bar is in order if no earlier batch holds a later week."""
+    target = work_dir(spark, "replay")
+    dated = _once(spark, sf_dir, "replay-source", lambda path: bars(spark, sf_dir).withColumn(
+        "trade_date", F.to_date("window_start_et")).write.partitionBy("trade_date").parquet(path))
+    replay.stage_replay(spark.read.schema(BAR_LAYOUT).parquet(dated), f"{target}/staged", "week")
+    stream = replay.replay_stream(stream_session(spark), f"{target}/staged", BAR_LAYOUT, 4)
+    sinks.upsert_versions(stream, f"{target}/out", f"{target}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{target}/out").withColumn(
+        "_week", bar_start(F.col("window_start_et"), 1, "week"))
+    spans = out.groupBy("batch_id").agg(F.min("_week").alias("_first"), F.max("_week").alias("_last"))
+    before = F.max("_last").over(W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.select("batch_id", F.coalesce(before <= F.col("_first"), F.lit(True)).alias("in_order"))
+    return portable(out.join(F.broadcast(spans), "batch_id").select(
+        "ticker", "window_start_et", "close", "in_order"))

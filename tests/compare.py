@@ -66,7 +66,7 @@ def main() -> None:
             else:
                 problem = f"no SQL, {found.count()} rows"
         except Exception as error:
-            problem = f"{type(error).__name__}: {str(error)[:600]}"
+            problem = f"{type(error).__name__}: {str(error)[:6000]}"
         failed += problem is not None
         print(f"{'OK ' if problem is None else 'BAD'} {name} {time.time() - started:.1f}s {problem or ''}", flush=True)
     print("failed:", failed)
