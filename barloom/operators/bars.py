@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.errors import DataValidationError
 from barloom.functions import clock
 from barloom.functions.ratios import vwap
 
-_FIXED = ("second", "minute", "hour")
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600}
+_FIXED = tuple(_SECONDS)
 _CALENDAR = ("day", "week", "month", "quarter", "year")
 TIMESPANS = _FIXED + _CALENDAR
 
@@ -42,14 +44,18 @@ def _whole(value: Column, length: int) -> Column:
     return (F.floor(value / length) * length).cast("int")
 
 
-def bars_from_trades(trades: DataFrame, multiplier: int = 1, timespan: str = "minute",
-                     time: str = "ts_et", sequence: str = "sequence", key: str = "ticker") -> DataFrame:
-    """Trades to bars with VWAP and average size.
+def bars_from_trades(trades: DataFrame, multiplier: int = 1, timespan: str = "minute", time: str = "ts",
+                     sequence: str = "sequence", key: str = "ticker") -> DataFrame:
+    """Trades with UTC times to market-time bars with VWAP and average size.
 
     Open and close follow ``(time, sequence)``, so equal times stay deterministic.
     """
     first = F.struct(time, sequence)
-    return trades.groupBy(key, bar_start(F.col(time), multiplier, timespan).alias("window_start_et")).agg(
+    # Zone offsets are whole quarters of an hour: bars that fit into one are cut in
+    # UTC, and only their starts are converted, not every trade.
+    fits = timespan in _SECONDS and 900 % (multiplier * _SECONDS[timespan]) == 0
+    start = bar_start(F.col(time) if fits else clock.to_market(F.col(time)), multiplier, timespan)
+    made = trades.groupBy(key, start.alias("window_start_et")).agg(
         F.min_by("price", first).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -59,6 +65,7 @@ def bars_from_trades(trades: DataFrame, multiplier: int = 1, timespan: str = "mi
         vwap(F.col("price"), F.col("size")).alias("vwap"),
         F.avg("size").alias("average_size"),
     )
+    return made.withColumn("window_start_et", clock.to_market(F.col("window_start_et"))) if fits else made
 
 
 def resample(bars: DataFrame, multiplier: int = 5, timespan: str = "minute", fill_gaps: bool = False,
@@ -81,30 +88,21 @@ def resample(bars: DataFrame, multiplier: int = 5, timespan: str = "minute", fil
         return coarse
     if timespan not in _FIXED:
         raise DataValidationError("gaps are filled for bars of seconds, minutes or hours")
-    grid = _grid(coarse, key, multiplier, timespan)
-    if session_only:
-        grid = grid.filter(clock.in_trading_hours(F.col("bar_start")) & clock.is_weekday(F.col("bar_start")))
-    filled = grid.join(coarse, [key, "bar_start"], "left")
-    return filled.select(
-        key, "bar_start", "open", "high", "low", "close",
-        F.coalesce("volume", F.lit(0)).alias("volume"),
-        F.coalesce("transactions", F.lit(0)).alias("transactions"),
-    )
-
-
-def _grid(coarse: DataFrame, key: str, multiplier: int, timespan: str) -> DataFrame:
-    """Every bar start between a ticker's first and last, generated day by day."""
-    step = {"second": 1, "minute": 60, "hour": 3600}[timespan] * multiplier
-    span = coarse.groupBy(key).agg(F.min("bar_start").alias("_from"), F.max("bar_start").alias("_to"))
-    days = span.select(
-        key, "_from", "_to",
-        F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"), F.expr("INTERVAL 1 DAY"))).alias("_day"))
-    midnight = F.unix_date("_day").cast("bigint") * 86_400
-    slots = F.sequence(F.ceil(midnight / step), F.ceil((midnight + 86_400) / step) - 1)
-    # Spread the days before they are expanded: one ticker's history is many days.
-    return days.repartition(key, "_day").select(key, "_from", "_to", F.explode(slots).alias("_slot")) \
-        .select(key, "_from", "_to", clock.utc_from_epoch(F.col("_slot") * step, "s").alias("bar_start")) \
-        .filter(F.col("bar_start").between(F.col("_from"), F.col("_to"))).select(key, "bar_start")
+    # A ticker has one coarse bar per slot, so the calendar bounds this window.
+    after = F.lead("bar_start").over(W.partitionBy(key).orderBy("bar_start"))
+    step = F.expr(f"INTERVAL {multiplier} {timespan.upper()}")
+    slots = F.when(F.col("_next").isNull(), F.array("bar_start")).otherwise(
+        F.sequence(F.col("bar_start"), F.col("_next") - step, step))
+    spread = coarse.withColumn("_next", after).select("*", F.explode(slots).alias("_slot"))
+    traded = F.col("_slot") == F.col("bar_start")
+    filled = spread.select(
+        key, F.col("_slot").alias("bar_start"),
+        *[F.when(traded, F.col(c)).alias(c) for c in ("open", "high", "low", "close")],
+        *[F.when(traded, F.col(c)).otherwise(0).alias(c) for c in ("volume", "transactions")])
+    if not session_only:
+        return filled
+    start = F.col("bar_start")
+    return filled.filter(clock.in_trading_hours(start) & clock.is_weekday(start))
 
 
 def aggregate_bars(bars: DataFrame, multiplier: int, timespan: str, start=None, end=None,

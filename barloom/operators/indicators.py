@@ -76,37 +76,50 @@ def _decay_rows(alpha: float) -> int:
     return 1 if alpha >= 1 else math.ceil(_FORGET / -math.log1p(-alpha))
 
 
-def _add_ema(cut: DataFrame, keys: list[str], order: list[str], columns: dict[str, str],
-             alpha: float) -> DataFrame:
-    """Add ``out = alpha * x + (1 - alpha) * previous out``, seeded with the first value.
-
-    Inside a block rows are dealt into short stretches, each preceded by enough
-    rows to forget its seed. There the recursion equals a running sum of
-    ``x / decay^i`` times ``decay^i``, so it stays a built-in window expression;
-    the stretches reuse the block's partitioning and cause no shuffle.
+def _add_ema(cut: DataFrame, keys: list[str], order: list[str],
+             averages: list[tuple[str, str, float]]) -> DataFrame:
+    """Add ``out = alpha * x + (1 - alpha) * previous out`` per ``(x, out, alpha)``,
+    seeded with the first value.
+
+    Inside a block rows are dealt into short pieces, each preceded by enough rows
+    to forget its seed. There the recursion equals a running sum of ``x / decay^i``
+    times ``decay^i``, so it stays a built-in window expression; the pieces reuse
+    the block's partitioning and cause no shuffle.
     """
-    if alpha >= 1:
-        return cut.withColumns({out: F.col(x) for x, out in columns.items()})
-    rate = -math.log1p(-alpha)
-    back = _decay_rows(alpha)
-    step = max(int(_SPAN / rate) - back, 1)
+    plain = {out: F.col(x) for x, out, alpha in averages if alpha >= 1}
+    folded = [(x, out, alpha) for x, out, alpha in averages if alpha < 1]
+    if plain:
+        cut = cut.withColumns(plain)
+    if not folded:
+        return cut
+    rates = [-math.log1p(-alpha) for _, _, alpha in folded]
+    back = max(_decay_rows(alpha) for _, _, alpha in folded)
+    step = int(_SPAN / max(rates)) - back
+    if step < back and len(folded) > 1:
+        # Decays too different to share pieces.
+        for one in folded:
+            cut = _add_ema(cut, keys, order, [one])
+        return cut
+    step = max(step, 1)
     w = W.partitionBy(*keys, BLOCK).orderBy(*order)
-    place = cut.withColumn("_at", F.row_number().over(w) - 1)
-    home = F.floor(F.col("_at") / step)
-    reach = F.floor((F.col("_at") + back) / step)
-    dealt = place.withColumn("_home", home).withColumn("_piece", F.explode(F.sequence(home, reach)))
-    piece = W.partitionBy(*keys, BLOCK, "_piece").orderBy("_at")
-    running = piece.rowsBetween(W.unboundedPreceding, W.currentRow)
-    offset = F.col("_at") - F.greatest(F.col("_piece") * step - back, F.lit(0))
-    dealt = dealt.withColumn("_up", F.exp(offset * rate)).withColumn("_down", F.exp(offset * -rate))
-    for x, out in columns.items():
-        dealt = dealt.withColumn("_k", F.count(x).over(running))
-        weight = F.when(F.col("_k") == 1, 1.0).otherwise(alpha)
-        dealt = dealt.withColumn("_term", F.coalesce(weight * F.col(x) * F.col("_up"), F.lit(0.0)))
-        value = F.sum("_term").over(running) * F.col("_down")
-        dealt = dealt.withColumn(out, F.when(F.col("_k") > 0, value))
-    return dealt.filter(F.col("_home") == F.col("_piece")).drop(
-        "_at", "_home", "_piece", "_up", "_down", "_k", "_term")
+    at, piece = F.col("_at"), F.col("_piece")
+    placed = cut.withColumns({
+        "_at": F.row_number().over(w) - 1,
+        **{f"_late{i}": F.lag(x).over(w).isNull() for i, (x, _, _) in enumerate(folded)}})
+    dealt = placed.withColumn(
+        "_piece", F.explode(F.sequence(F.floor(at / step), F.floor((at + back) / step))))
+    dealt = dealt.withColumn("_offset", at - F.greatest(piece * step - back, F.lit(0)))
+    running = W.partitionBy(*keys, BLOCK, "_piece").orderBy("_at").rowsBetween(
+        W.unboundedPreceding, W.currentRow)
+    values = {}
+    for i, ((x, out, alpha), rate) in enumerate(zip(folded, rates)):
+        # The seed is a piece's first row, or the second one of a series that starts with NULL.
+        seed = (F.col("_offset") == 0) | ((at == 1) & F.col(f"_late{i}"))
+        term = F.when(seed, 1.0).otherwise(alpha) * F.col(x) * F.exp(F.col("_offset") * rate)
+        total = F.sum(F.coalesce(term, F.lit(0.0))).over(running) * F.exp(F.col("_offset") * -rate)
+        values[out] = F.when((at > 0) | F.col(x).isNotNull(), total)
+    return dealt.withColumns(values).filter(F.floor(at / step) == piece).drop(
+        "_at", "_piece", "_offset", *[f"_late{i}" for i in range(len(folded))])
 
 
 def ema(bars: DataFrame, window: int, series_type: str = "close", out: str = "ema", key: str = "ticker",
@@ -114,7 +127,7 @@ def ema(bars: DataFrame, window: int, series_type: str = "close", out: str = "em
     """Exponential average with ``alpha = 2 / (window + 1)``, seeded with the first value."""
     alpha = 2.0 / (window + 1)
     cut = series.cut_series(bars, [key], _day(time), _decay_rows(alpha), rows_per_block)
-    return series.keep_own(_add_ema(cut, [key], [time], {_price(series_type): out}, alpha))
+    return series.keep_own(_add_ema(cut, [key], [time], [(_price(series_type), out, alpha)]))
 
 
 def rsi(bars: DataFrame, window: int = 14, series_type: str = "close", out: str = "rsi",
@@ -131,7 +144,8 @@ def rsi(bars: DataFrame, window: int = 14, series_type: str = "close", out: str
     cut = cut.withColumn("_change", change)
     cut = cut.withColumn("_gain", F.greatest("_change", F.lit(0.0) * F.col("_change")))
     cut = cut.withColumn("_loss", F.greatest(-F.col("_change"), F.lit(0.0) * F.col("_change")))
-    smooth = _add_ema(cut, [key], [time], {"_gain": "_up_avg", "_loss": "_down_avg"}, alpha)
+    smooth = _add_ema(
+        cut, [key], [time], [("_gain", "_up_avg", alpha), ("_loss", "_down_avg", alpha)])
     strength = F.try_divide(F.col("_up_avg"), F.col("_down_avg"))
     index = F.when(F.col("_down_avg") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + strength))
     return series.keep_own(smooth.withColumn(out, F.when(F.col("_down_avg").isNotNull(), index))).drop(
@@ -148,10 +162,9 @@ def macd(bars: DataFrame, short: int = 12, long: int = 26, signal: int = 9, seri
     alphas = [2.0 / (n + 1) for n in (short, long, signal)]
     lookback = _decay_rows(alphas[1]) + _decay_rows(alphas[2])
     cut = series.cut_series(bars, [key], _day(time), lookback, rows_per_block)
-    cut = _add_ema(cut, [key], [time], {price: "_short"}, alphas[0])
-    cut = _add_ema(cut, [key], [time], {price: "_long"}, alphas[1])
+    cut = _add_ema(cut, [key], [time], [(price, "_short", alphas[0]), (price, "_long", alphas[1])])
     cut = cut.withColumn("macd", F.col("_short") - F.col("_long")).drop("_short", "_long")
-    cut = _add_ema(cut, [key], [time], {"macd": "signal"}, alphas[2])
+    cut = _add_ema(cut, [key], [time], [("macd", "signal", alphas[2])])
     return series.keep_own(cut.withColumn("histogram", F.col("macd") - F.col("signal")))
 
 
@@ -165,12 +178,25 @@ def latest_values(indicator: DataFrame, limit: int = 10, order: str = "desc",
 
 
 def running_day_vwap(bars: DataFrame, price: str = "close", key: str = "ticker",
-                     time: str = "window_start_et", order: list[str] | None = None) -> DataFrame:
-    """Add the day's volume and VWAP so far (``accumulated_volume``, ``aggregate_vwap``)."""
-    dated = bars.withColumn("trade_date", F.to_date(time))
+                     time: str = "window_start_et") -> DataFrame:
+    """Add the day's volume and VWAP so far (``accumulated_volume``, ``aggregate_vwap``).
+
+    A ticker has one bar per minute (or second), so its day bounds the window.
+    """
+    w = W.partitionBy(key, "trade_date").orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
+    volume = F.sum("volume").over(w)
+    return bars.withColumn("trade_date", F.to_date(time)).withColumns({
+        "accumulated_volume": volume,
+        "aggregate_vwap": F.try_divide(F.sum(F.col(price) * F.col("volume")).over(w), volume.cast("double")),
+    })
+
+
+def running_day_vwap_of_trades(trades: DataFrame, key: str = "ticker", time: str = "ts_et",
+                               sequence: str = "sequence") -> DataFrame:
+    """The same per trade. Trades of a ticker and day are unbounded, so they are summed by hour first."""
     out = series.running_totals(
-        dated, [key, "trade_date"], order or [time], F.hour(time),
-        {"accumulated_volume": F.col("volume"), "_value": F.col(price) * F.col("volume")})
+        trades.withColumn("trade_date", F.to_date(time)), [key, "trade_date"], [time, sequence], F.hour(time),
+        {"accumulated_volume": F.col("size"), "_value": F.col("price") * F.col("size")})
     return out.withColumn(
         "aggregate_vwap", F.try_divide(F.col("_value"), F.col("accumulated_volume").cast("double"))
     ).drop("_value")

@@ -9,27 +9,25 @@ from pyspark.sql import functions as F
 from barloom.functions.ratios import correlation, vwap
 
 QUARTILES = {"q1_price": 0.25, "median_price": 0.5, "q3_price": 0.75}
-# Value ranges per key into which distinct values are counted before the exact pick.
-VALUE_CELLS = 4096
+# Value ranges per unit of log(1 + |value|): a range spans 0.2 percent of its value.
+RANGES_PER_LOG = 512
 
 
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
     """Interpolated percentiles per key, exact, without one buffer per key.
 
-    Rows collapse to counts per (key, value) before the first shuffle. Counts per
-    value range then tell which few ranges hold the wanted ranks, and only the
-    distinct values of those ranges are ordered.
+    Rows are first counted per value range, which combines before the shuffle to
+    a few thousand counts per key. They tell which few ranges hold the wanted
+    ranks; only the distinct values of those ranges are shuffled and ordered.
+    Missing values and NaN are left out.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")) \
-        .agg(F.count("*").alias("_n"))
-    span = counts.groupBy(key).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total"))
-    width = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
-    celled = counts.join(span, key).withColumn(
-        "_cell", F.coalesce(F.floor(width * (VALUE_CELLS - 1)), F.lit(0)))
-    cells = celled.groupBy(key, "_cell", "_total").agg(F.sum("_n").alias("_rows"))
+    number = F.col(value).cast("double")
+    rows = df.filter(number.isNotNull() & ~F.isnan(number)).select(
+        key, number.alias("_v"), _value_range(number).alias("_cell"))
+    cells = rows.groupBy(key, "_cell").agg(F.count("*").alias("_rows"))
     upto = W.partitionBy(key).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.withColumn("_end", F.sum("_rows").over(upto))
+    cells = cells.withColumns({
+        "_end": F.sum("_rows").over(upto), "_total": F.sum("_rows").over(W.partitionBy(key))})
     # Zero-based ranks on both sides of every percentile position.
     ranks = [_rank(p, floor) for p in probs.values() for floor in (True, False)]
     start = F.col("_end") - F.col("_rows")
@@ -37,10 +35,11 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]
     for rank in ranks:
         one = (rank >= start) & (rank < F.col("_end"))
         holds = one if holds is None else holds | one
-    wanted = cells.filter(holds).select(key, "_cell", start.alias("_before"))
+    wanted = cells.filter(holds).select(key, "_cell", "_total", start.alias("_before"))
+    counts = rows.join(wanted, [key, "_cell"]).groupBy(key, "_cell", "_total", "_before", "_v").agg(
+        F.count("*").alias("_n"))
     inside = W.partitionBy(key, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = celled.join(wanted, [key, "_cell"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_n").over(inside)).withColumn(
+    placed = counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).withColumn(
         "_from", F.col("_upto") - F.col("_n"))
 
     def at(rank: Column) -> Column:
@@ -55,6 +54,12 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]
     return placed.groupBy(key, "_total").agg(*parts).select(key, *outs)
 
 
+def _value_range(number: Column) -> Column:
+    """A whole number that never falls when the value rises."""
+    scaled = F.signum(number) * F.log1p(F.abs(number)) * RANGES_PER_LOG
+    return F.floor(F.greatest(F.least(scaled, F.lit(1e9)), F.lit(-1e9)))
+
+
 def _rank(p: float, floor: bool) -> Column:
     position = (F.col("_total") - 1) * F.lit(float(p))
     return F.floor(position) if floor else F.ceil(position)

@@ -10,7 +10,7 @@ from barloom.operators import bars as barops
 from barloom.plans.ingest import trading_hours_only
 from barloom.workload import query
 from barloom.workload.inputs import (
-    BASE, TICKERS, bars, corr, day, moment, portable, quotes, r, ratio, sql, trades,
+    BASE, TICKERS, bars, corr, day, moment, portable, quotes, r, ratio, sql, table, trades,
 )
 
 OHLC_SQL = f"{r('open')} AS open, {r('high')} AS high, {r('low')} AS low, {r('close')} AS close"
@@ -279,7 +279,7 @@ def session_labels(spark, sf_dir):
     f"SELECT event_id, {moment('ts')} AS from_ns, {moment('ts')} AS from_us, {moment('ts')} AS from_ms, "
     f"{moment('ts')} AS from_s, {moment('ts - INTERVAL 5 HOUR')} AS market FROM events"))
 def epoch_units(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = table(spark, sf_dir, "events")
     ns = clock.epoch_ns(F.col("ts"))
     return portable(events.select(
         "event_id", clock.utc_from_epoch(ns, "ns").alias("from_ns"),
@@ -389,6 +389,16 @@ def running_vwap(spark, sf_dir):
         "ticker", "window_start_et", "accumulated_volume", "aggregate_vwap"))
 
 
+@query("running_vwap_trades", sql(
+    f"SELECT ticker, sequence, CAST(sum(size) OVER w AS BIGINT) AS accumulated_volume, "
+    f"{r(ratio('sum(price * size) OVER w', 'sum(size) OVER w'))} AS aggregate_vwap FROM trades "
+    "WINDOW w AS (PARTITION BY ticker, CAST(ts_et AS DATE) ORDER BY ts_et, sequence "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "trades"))
+def running_vwap_trades(spark, sf_dir):
+    return portable(indicators.running_day_vwap_of_trades(trades(spark, sf_dir)).select(
+        "ticker", "sequence", "accumulated_volume", "aggregate_vwap"))
+
+
 _PREVIOUS = "SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY trade_date) AS previous_close FROM day_bars"
 
 
@@ -554,7 +564,7 @@ def stack_rows(spark, sf_dir):
     "SELECT DISTINCT ticker FROM wide_trades EXCEPT SELECT 'U' || c_custkey FROM customer WHERE c_acctbal > 0",
     "wide_trades"))
 def missing_tickers(spark, sf_dir):
-    stored = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_acctbal > 0").select(
+    stored = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(
         F.concat(F.lit("U"), F.col("c_custkey")).alias("ticker"))
     return portable(rows.missing_keys(trades(spark, sf_dir, wide=True), stored, ["ticker"]))
 

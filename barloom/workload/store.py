@@ -57,7 +57,9 @@ def _clean(df):
 
 @query("ingest_roundtrip", sql(_ROWS_SQL, "hours_bars"))
 def ingest_roundtrip(spark, sf_dir):
-    return _clean(store(spark, sf_dir).scan())
+    target = work_dir(spark, "roundtrip")
+    ingest.ingest_bars(spark, flat_files(spark, sf_dir), target)
+    return _clean(BarStore(spark, target).scan())
 
 
 @query("ingest_idempotent", sql(
