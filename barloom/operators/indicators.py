@@ -22,8 +22,10 @@ _SPAN = 600.0
 _SLIDING = 128
 
 
-def _day(time: str) -> Column:
-    return F.to_date(time)
+def _cell(time: str, span: str) -> Column:
+    """Calendar cell of a bar. A month of minute bars is at most 45,000 rows; take days for denser series."""
+    day = F.to_date(time)
+    return day if span == "day" else F.trunc(day, span)
 
 
 def _price(series_type: str) -> str:
@@ -33,9 +35,9 @@ def _price(series_type: str) -> str:
 
 
 def sma(bars: DataFrame, window: int, series_type: str = "close", out: str = "sma", key: str = "ticker",
-        time: str = "window_start_et", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+        time: str = "window_start_et", rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
     """Mean of the last ``window`` bars; NULL until there are that many."""
-    cut = series.cut_series(bars, [key], _day(time), window, rows_per_block)
+    cut = series.cut_series(bars, [key], _cell(time, cell), window, rows_per_block)
     return series.keep_own(_add_mean(cut, [key], [time], _price(series_type), window, out))
 
 
@@ -55,14 +57,14 @@ def _add_mean(cut: DataFrame, keys: list[str], order: list[str], price: str, win
 
 def sma_cross(bars: DataFrame, fast: int = 10, slow: int = 40, series_type: str = "close",
               key: str = "ticker", time: str = "window_start_et",
-              rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+              rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
     """Bars where the fast average crosses the slow one: signal 1 upwards, -1 downwards.
 
     Upwards means fast below slow on the bar before and above it now; both
     averages must be defined on both bars.
     """
     price = _price(series_type)
-    cut = series.cut_series(bars, [key], _day(time), max(fast, slow) + 1, rows_per_block)
+    cut = series.cut_series(bars, [key], _cell(time, cell), max(fast, slow) + 1, rows_per_block)
     cut = _add_mean(cut, [key], [time], price, fast, "fast_sma")
     cut = _add_mean(cut, [key], [time], price, slow, "slow_sma")
     gap = F.col("fast_sma") - F.col("slow_sma")
@@ -123,23 +125,23 @@ def _add_ema(cut: DataFrame, keys: list[str], order: list[str],
 
 
 def ema(bars: DataFrame, window: int, series_type: str = "close", out: str = "ema", key: str = "ticker",
-        time: str = "window_start_et", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+        time: str = "window_start_et", rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
     """Exponential average with ``alpha = 2 / (window + 1)``, seeded with the first value."""
     alpha = 2.0 / (window + 1)
-    cut = series.cut_series(bars, [key], _day(time), _decay_rows(alpha), rows_per_block)
+    cut = series.cut_series(bars, [key], _cell(time, cell), _decay_rows(alpha), rows_per_block)
     return series.keep_own(_add_ema(cut, [key], [time], [(_price(series_type), out, alpha)]))
 
 
 def rsi(bars: DataFrame, window: int = 14, series_type: str = "close", out: str = "rsi",
         key: str = "ticker", time: str = "window_start_et",
-        rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+        rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
     """Relative strength index with Wilder smoothing, ``alpha = 1 / window``.
 
     NULL on the first bar; 100 when the smoothed loss is zero.
     """
     alpha = 1.0 / window
     price = _price(series_type)
-    cut = series.cut_series(bars, [key], _day(time), _decay_rows(alpha) + 1, rows_per_block)
+    cut = series.cut_series(bars, [key], _cell(time, cell), _decay_rows(alpha) + 1, rows_per_block)
     change = F.col(price) - F.lag(price).over(series.block_window([key], [time]))
     cut = cut.withColumn("_change", change)
     cut = cut.withColumn("_gain", F.greatest("_change", F.lit(0.0) * F.col("_change")))
@@ -154,14 +156,14 @@ def rsi(bars: DataFrame, window: int = 14, series_type: str = "close", out: str
 
 def macd(bars: DataFrame, short: int = 12, long: int = 26, signal: int = 9, series_type: str = "close",
          key: str = "ticker", time: str = "window_start_et",
-         rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+         rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
     """``macd`` (short EMA minus long EMA), its EMA ``signal``, and their ``histogram``."""
     if short >= long:
         raise DataValidationError("the short window must be below the long window")
     price = _price(series_type)
     alphas = [2.0 / (n + 1) for n in (short, long, signal)]
     lookback = _decay_rows(alphas[1]) + _decay_rows(alphas[2])
-    cut = series.cut_series(bars, [key], _day(time), lookback, rows_per_block)
+    cut = series.cut_series(bars, [key], _cell(time, cell), lookback, rows_per_block)
     cut = _add_ema(cut, [key], [time], [(price, "_short", alphas[0]), (price, "_long", alphas[1])])
     cut = cut.withColumn("macd", F.col("_short") - F.col("_long")).drop("_short", "_long")
     cut = _add_ema(cut, [key], [time], [("macd", "signal", alphas[2])])

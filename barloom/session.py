@@ -61,6 +61,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    For small intermediate tables that steer a join: the work is done once, a
+    lost executor does not repeat it, and the file size tells the planner whether
+    the join may broadcast. Without it the large side would be shuffled before
+    the size is known.
+    """
+    target = work_dir(df.sparkSession, label)
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size of ``df`` as estimated from file sizes and the optimized plan."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

@@ -407,10 +407,11 @@ def dataset_roundtrip(spark, sf_dir):
 @query("typed_pages", sql(
     f"SELECT ticker, count(*) AS n, {r('sum(split_to)')} AS shares FROM s GROUP BY ticker", s=_SPLITS_SQL))
 def typed_pages(spark, sf_dir):
-    """Splits landed as pages of one ticker and year each, read with the declared row layout."""
+    """Splits landed as pages of 100 rows, read with the declared row layout."""
     target = work_dir(spark, "split-pages")
     source = splits(spark, sf_dir)
-    source.groupBy("ticker", F.year("execution_date")).agg(
+    page = F.call_function("div", F.monotonically_increasing_id(), F.lit(100).cast("bigint"))
+    source.withColumn("_page", page).groupBy("_page").agg(
         F.collect_list(F.struct(*source.columns)).alias("results")).select("results").write.json(target)
     rows_back = landed.read_pages(spark, target, schemas.SPLIT, multi_line=False)
     return portable(rows_back.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("split_to").alias("shares")))

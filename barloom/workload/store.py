@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.functions import clock
+from barloom.operators import stats
 from barloom.operators.rows import stack
 from barloom.plans import ingest, maintain
 from barloom.plans.barquery import BarQuery
@@ -14,7 +15,7 @@ from barloom.session import work_dir
 from barloom.sources import flatfiles
 from barloom.sources.barstore import BarStore, map_chunks
 from barloom.workload import query
-from barloom.workload.inputs import bars, moment, portable, r, sql
+from barloom.workload.inputs import BASE, TICKERS, bars, corr, moment, portable, r, ratio, sql
 
 _BAR_SQL = (f"ticker, {moment('window_start_et')} AS window_start_et, {r('open')} AS open, {r('high')} AS high, "
             f"{r('low')} AS low, {r('close')} AS close, volume, transactions, year")
@@ -309,3 +310,77 @@ def query_intersection(spark, sf_dir):
     """A year list and a date range over two years: both are honoured."""
     picked = BarQuery.build(years=[2024], start_date="2023-12-29", end_date="2024-01-05")
     return _clean(picked.apply(store(spark, sf_dir).scan()))
+
+
+# The comparison cases of the client: tickers x days, and a column subset.
+_WEEK = "window_start_et >= TIMESTAMP '2024-01-08 00:00:00' AND window_start_et < TIMESTAMP '2024-01-17 00:00:00'"
+_DAY = "CAST(window_start_et AS DATE) = DATE '2024-01-08'"
+
+
+@query("one_ticker_one_day", sql(f"{_ROWS_SQL} WHERE ticker = 'VIEW' AND {_DAY}", "hours_bars"))
+def one_ticker_one_day(spark, sf_dir):
+    return _clean(store(spark, sf_dir).get_bars("VIEW", start_date="2024-01-08", end_date="2024-01-08"))
+
+
+@query("three_tickers_one_day", sql(
+    f"{_ROWS_SQL} WHERE ticker IN ('VIEW', 'CLICK', 'ERROR') AND {_DAY}", "hours_bars"))
+def three_tickers_one_day(spark, sf_dir):
+    return _clean(store(spark, sf_dir).get_bars(
+        ["VIEW", "CLICK", "ERROR"], start_date="2024-01-08", end_date="2024-01-08"))
+
+
+@query("one_ticker_nine_days", sql(f"{_ROWS_SQL} WHERE ticker = 'VIEW' AND {_WEEK}", "hours_bars"))
+def one_ticker_nine_days(spark, sf_dir):
+    return _clean(store(spark, sf_dir).get_bars("VIEW", start_date="2024-01-08", end_date="2024-01-16"))
+
+
+@query("two_tickers_nine_days", sql(f"{_ROWS_SQL} WHERE ticker IN ('VIEW', 'CLICK') AND {_WEEK}", "hours_bars"))
+def two_tickers_nine_days(spark, sf_dir):
+    return _clean(store(spark, sf_dir).get_bars(
+        ["VIEW", "CLICK"], start_date="2024-01-08", end_date="2024-01-16"))
+
+
+@query("column_subset_one_day", sql(
+    f"SELECT ticker, {moment('window_start_et')} AS window_start_et, {r('close')} AS close, volume "
+    f"FROM hours_bars WHERE ticker = 'VIEW' AND {_DAY}", "hours_bars"))
+def column_subset_one_day(spark, sf_dir):
+    return portable(store(spark, sf_dir).get_bars(
+        "VIEW", start_date="2024-01-08", end_date="2024-01-08",
+        columns=["ticker", "window_start_et", "close", "volume"]))
+
+
+def _span(spark, sf_dir):
+    return store(spark, sf_dir).get_bars(TICKERS, start_date="2024-01-08", end_date="2024-01-16")
+
+
+@query("span_statistics", sql(
+    f"SELECT ticker, count(*) AS data_points, {r('avg(close)')} AS avg_price, "
+    f"{r('stddev_samp(close)')} AS price_volatility, {r('avg(volume)')} AS avg_volume, "
+    f"{r('min(low)')} AS min_price, {r('max(high)')} AS max_price, "
+    f"{r('quantile_cont(close, 0.5)')} AS median_price, {r('quantile_cont(close, 0.25)')} AS q1_price, "
+    f"{r('quantile_cont(close, 0.75)')} AS q3_price, {r(corr('close', 'volume'))} AS price_volume_correlation "
+    f"FROM hours_bars WHERE {_WEEK} GROUP BY ticker ORDER BY ticker", "hours_bars"))
+def span_statistics(spark, sf_dir):
+    """Statistics of listed tickers over nine days of the store."""
+    return portable(stats.ticker_statistics(_span(spark, sf_dir)).orderBy("ticker"))
+
+
+@query("span_vwap", sql(
+    f"SELECT ticker, strftime(window_start_et, '%Y-%m-%d') AS trade_date, "
+    f"{r(ratio('sum(close * volume)', 'sum(volume)'))} AS vwap, count(*) AS data_points, "
+    f"CAST(sum(volume) AS BIGINT) AS total_volume, {r('min(low)')} AS day_low, {r('max(high)')} AS day_high, "
+    f"{r(ratio('(max(high) - min(low))', 'avg(close)'))} AS daily_range_pct "
+    f"FROM hours_bars WHERE {_WEEK} GROUP BY 1, 2 ORDER BY 1, 2", "hours_bars"))
+def span_vwap(spark, sf_dir):
+    return portable(stats.daily_vwap(_span(spark, sf_dir)).orderBy("ticker", "trade_date"))
+
+
+@query("span_correlation", sql(
+    f"SELECT d.ticker, {r(corr('b.daily_close', 'd.daily_close'))} AS correlation, count(*) AS data_points "
+    f"FROM closes d JOIN closes b ON d.trade_date = b.trade_date AND b.ticker = '{BASE}' "
+    f"WHERE d.ticker <> '{BASE}' GROUP BY 1 ORDER BY 2 DESC", "hours_bars",
+    closes="SELECT ticker, CAST(window_start_et AS DATE) AS trade_date, avg(close) AS daily_close "
+           f"FROM hours_bars WHERE {_WEEK} GROUP BY 1, 2"))
+def span_correlation(spark, sf_dir):
+    found = stats.base_correlation(stats.daily_closes(_span(spark, sf_dir)), BASE)
+    return portable(found.orderBy(F.desc_nulls_last("correlation")))

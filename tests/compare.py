@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -53,6 +54,7 @@ def main() -> None:
         "spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config(
         "spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("COMPARE_ZONE", "UTC"))
     con, oracles = duck(sf_dir), oracle_sql()
     failed = 0
     for name, run in queries().items():

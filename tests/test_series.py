@@ -63,14 +63,14 @@ def test_blocks_stay_near_their_size(bars):
 @pytest.mark.parametrize("window", [5, 200])
 @pytest.mark.parametrize("block", [64, 100_000])
 def test_sma(bars, window, block):
-    found = as_pandas(indicators.sma(bars, window, rows_per_block=block))
+    found = as_pandas(indicators.sma(bars, window, rows_per_block=block, cell="day" if block < 1000 else "month"))
     same(found["sma"], per_ticker(bars, lambda s: s.rolling(window).mean()))
 
 
 @pytest.mark.parametrize("window", [1, 2, 9, 50, 1000])
 @pytest.mark.parametrize("block", [100, 100_000])
 def test_ema(bars, window, block):
-    found = as_pandas(indicators.ema(bars, window, rows_per_block=block))
+    found = as_pandas(indicators.ema(bars, window, rows_per_block=block, cell="day" if block < 1000 else "month"))
     same(found["ema"], per_ticker(bars, lambda s: s.ewm(span=window, adjust=False).mean()))
 
 
@@ -84,7 +84,7 @@ def pandas_rsi(s, n):
 
 @pytest.mark.parametrize("block", [100, 100_000])
 def test_rsi(bars, block):
-    found = as_pandas(indicators.rsi(bars, 14, rows_per_block=block))
+    found = as_pandas(indicators.rsi(bars, 14, rows_per_block=block, cell="day" if block < 1000 else "month"))
     same(found["rsi"], per_ticker(bars, lambda s: pandas_rsi(s, 14)))
 
 
@@ -97,7 +97,7 @@ def test_macd(bars, spans, block):
         m = s.ewm(span=short, adjust=False).mean() - s.ewm(span=long, adjust=False).mean()
         return pd.DataFrame({"macd": m, "signal": m.ewm(span=signal, adjust=False).mean()})
 
-    found = as_pandas(indicators.macd(bars, short, long, signal, rows_per_block=block))
+    found = as_pandas(indicators.macd(bars, short, long, signal, rows_per_block=block, cell="day" if block < 1000 else "month"))
     want = per_ticker(bars, expected)
     same(found["macd"], want["macd"])
     same(found["signal"], want["signal"])
@@ -112,7 +112,7 @@ def test_crossovers(bars, block):
         down = (gap.shift() > 0) & (gap < 0)
         return up.astype(int) - down.astype(int)
 
-    found = indicators.sma_cross(bars, rows_per_block=block)
+    found = indicators.sma_cross(bars, rows_per_block=block, cell="day" if block < 1000 else "month")
     assert found.count() == int((per_ticker(bars, expected) != 0).sum())
     assert found.agg(F.sum("signal")).first()[0] == int(per_ticker(bars, expected).sum())
 
