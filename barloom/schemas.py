@@ -186,7 +186,7 @@ _CRYPTO_BOOK = {
     "x": ("exchange_id", "INT"), "r": ("received_timestamp", "BIGINT"),
 }
 _INDEX_VALUE = {"val": ("value", "DOUBLE"), "T": ("ticker", "STRING"), "t": ("timestamp", "BIGINT")}
-_LAUNCHPAD_VALUE = {"val": ("value", "DOUBLE"), "sym": ("symbol", "STRING"), "t": ("timestamp", "BIGINT")}
+_DISPLAY_VALUE = {"val": ("value", "DOUBLE"), "sym": ("symbol", "STRING"), "t": ("timestamp", "BIGINT")}
 _FAIR_VALUE = {"fmv": ("fmv", "DOUBLE"), "sym": ("ticker", "STRING"), "t": ("timestamp", "BIGINT")}
 
 EVENT_TYPES = {
@@ -205,7 +205,7 @@ EVENT_TYPES = {
     "LULD": ("limit_band", _LIMIT_BAND),
     "XL2": ("crypto_book", _CRYPTO_BOOK),
     "V": ("index_value", _INDEX_VALUE),
-    "LV": ("launchpad_value", _LAUNCHPAD_VALUE),
+    "LV": ("display_value", _DISPLAY_VALUE),
     "FMV": ("fair_value", _FAIR_VALUE),
 }
 STATUS_EVENT = "status"
