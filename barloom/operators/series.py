@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.session import broadcast_if_small, settled
+from barloom.session import steering
 
 BLOCK = "_block"
 OWN = "_own"
@@ -30,8 +30,8 @@ def cut_series(df: DataFrame, keys: list[str], cell: Column, lookback: int,
     then exact on the ``_own`` rows.
 
     Keys and cells must not be NULL. The window over cells is bounded by the
-    time span of the data, not by its rows. The counts are taken when this is
-    called; the rows themselves are then shuffled once, by key and block.
+    time span of the data, not by its rows. On large inputs the counts are taken
+    when this is called; the rows are then shuffled once, by key and block.
     """
     cells = df.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_rows"))
     so_far = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -46,7 +46,7 @@ def cut_series(df: DataFrame, keys: list[str], cell: Column, lookback: int,
     real = F.max(F.col("_home") == F.col(BLOCK)).over(W.partitionBy(*keys, BLOCK))
     copies = copies.withColumn("_real", real).filter("_real").select(
         *keys, "_cell", BLOCK, (F.col("_home") == F.col(BLOCK)).alias(OWN))
-    steer = broadcast_if_small(settled(copies, "cells"))
+    steer = steering(copies, "cells")
     return df.withColumn("_cell", cell).join(steer, [*keys, "_cell"]).drop("_cell")
 
 
@@ -67,7 +67,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], cell: Colum
     before = cells.select(*keys, "_cell", *[
         F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_b_{name}") for name in totals])
     inside = W.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    steer = broadcast_if_small(settled(before, "cells"))
+    steer = steering(before, "cells")
     joined = df.withColumn("_cell", cell).join(steer, [*keys, "_cell"])
     return joined.select(*df.columns, *[
         (F.col(f"_b_{name}") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias(name)

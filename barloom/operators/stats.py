@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.ratios import correlation, vwap
-from barloom.session import broadcast_if_small, settled
+from barloom.session import steering
 
 QUARTILES = {"q1_price": 0.25, "median_price": 0.5, "q3_price": 0.75}
 # Value ranges per unit of log(1 + |value|): a range spans 0.2 percent of its value.
@@ -37,7 +37,7 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]
         one = (rank >= start) & (rank < F.col("_end"))
         holds = one if holds is None else holds | one
     wanted = cells.filter(holds).select(key, "_cell", "_total", start.alias("_before"))
-    steer = broadcast_if_small(settled(wanted, "ranges"))
+    steer = steering(wanted, "ranges")
     counts = rows.join(steer, [key, "_cell"]).groupBy(key, "_cell", "_total", "_before", "_v").agg(
         F.count("*").alias("_n"))
     inside = W.partitionBy(key, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -61,19 +61,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    For small intermediate tables that steer a join: the work is done once, a
-    lost executor does not repeat it, and the file size tells the planner whether
-    the join may broadcast. Without it the large side would be shuffled before
-    the size is known.
-    """
-    target = work_dir(df.sparkSession, label)
-    df.write.parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Size of ``df`` as estimated from file sizes and the optimized plan."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
@@ -83,3 +70,19 @@ def estimated_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast when the estimate proves ``df`` small, else leave the join alone."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def steering(df: DataFrame, label: str) -> DataFrame:
+    """The small side of a join that steers a large one, such as counts per cell.
+
+    If the estimate alone proves it small, it is broadcast. Otherwise it is
+    written to the shared folder and read back: the work is done once, a lost
+    executor does not repeat it, and the file size tells whether it may be
+    broadcast. Without that, the large side would be shuffled before the size is
+    known.
+    """
+    if estimated_bytes(df) <= BROADCAST_LIMIT_BYTES:
+        return F.broadcast(df)
+    target = work_dir(df.sparkSession, label)
+    df.write.parquet(target)
+    return broadcast_if_small(df.sparkSession.read.schema(df.schema).parquet(target))

@@ -227,6 +227,17 @@ def test_broadcast_only_below_the_limit(spark, tmp_path):
     assert broadcast_if_small(table, estimated_bytes(table) - 1) is table
 
 
+def test_steering_tables_of_large_inputs_are_written(spark, tmp_path, monkeypatch):
+    from barloom import session
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    counts = spark.read.parquet(str(tmp_path / "t")).groupBy((F.col("id") % 3).alias("k")).count()
+    assert "Aggregate" in session.steering(counts, "x")._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 1)
+    read_back = session.steering(counts, "x")
+    assert "Aggregate" not in read_back._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, read_back.collect())) == sorted(map(tuple, counts.collect()))
+
+
 def test_work_dir_is_below_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert work_dir(spark, "x").startswith(root) and work_dir(spark, "x") != work_dir(spark, "x")
