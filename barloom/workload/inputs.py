@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from barloom.functions import clock
 from barloom.operators.bars import bars_from_trades
+from barloom.session import work_dir
 
 # Added before rounding on both sides: means of prices often end in exactly half a
 # unit of the sixth digit, where the last bit of the sum would decide.
@@ -53,6 +54,29 @@ def bars(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     return bars_from_trades(trades(spark, sf_dir, wide)).drop("average_size")
 
 
+BAR_LAYOUT = ("ticker STRING, window_start_et TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, "
+              "volume BIGINT, transactions BIGINT, vwap DOUBLE")
+
+# Tables built in this session, by application, input folder and label.
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, label: str, build) -> str:
+    """Folder of a derived table, written on its first use in the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _BUILT:
+        target = work_dir(spark, label)
+        build(target)
+        _BUILT[key] = target
+    return _BUILT[key]
+
+
+def stored_bars(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """All minute bars as a stored table, the form in which analytics meet them."""
+    target = once(spark, sf_dir, f"bars-{wide}", lambda path: bars(spark, sf_dir, wide).write.parquet(path))
+    return spark.read.schema(BAR_LAYOUT).parquet(target)
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).select(
         "ticker", "ts", "sequence", (F.col("price") - 0.05).alias("bid_price"),

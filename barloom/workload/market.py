@@ -10,7 +10,7 @@ from barloom.operators import bars as barops
 from barloom.plans.ingest import trading_hours_only
 from barloom.workload import query
 from barloom.workload.inputs import (
-    BASE, TICKERS, bars, corr, day, moment, portable, quotes, r, ratio, sql, table, trades,
+    BASE, TICKERS, bars, corr, day, moment, portable, quotes, r, ratio, sql, stored_bars, table, trades,
 )
 
 OHLC_SQL = f"{r('open')} AS open, {r('high')} AS high, {r('low')} AS low, {r('close')} AS close"
@@ -55,12 +55,12 @@ _STATS_SQL = (
 
 @query("ticker_stats", sql(_STATS_SQL + "FROM bars GROUP BY ticker ORDER BY ticker", "bars"))
 def ticker_stats(spark, sf_dir):
-    return portable(stats.ticker_statistics(bars(spark, sf_dir)).orderBy("ticker"))
+    return portable(stats.ticker_statistics(stored_bars(spark, sf_dir)).orderBy("ticker"))
 
 
 @query("ticker_stats_wide", sql(_STATS_SQL + "FROM wide_bars GROUP BY ticker", "wide_bars"))
 def ticker_stats_wide(spark, sf_dir):
-    return portable(stats.ticker_statistics(bars(spark, sf_dir, wide=True)))
+    return portable(stats.ticker_statistics(stored_bars(spark, sf_dir, wide=True)))
 
 
 @query("base_correlation", sql(
@@ -68,14 +68,14 @@ def ticker_stats_wide(spark, sf_dir):
     f"FROM daily d JOIN (SELECT * FROM daily WHERE ticker = '{BASE}') b ON d.trade_date = b.trade_date "
     f"WHERE d.ticker <> '{BASE}' GROUP BY 1 ORDER BY 2 DESC", "daily"))
 def base_correlation(spark, sf_dir):
-    found = stats.base_correlation(stats.daily_closes(bars(spark, sf_dir)), BASE)
+    found = stats.base_correlation(stats.daily_closes(stored_bars(spark, sf_dir)), BASE)
     return portable(found.orderBy(F.desc_nulls_last("correlation")))
 
 
 @query("daily_closes", sql(
     f"SELECT ticker, {day('trade_date')} AS trade_date, {r('daily_close')} AS daily_close FROM daily", "daily"))
 def daily_closes(spark, sf_dir):
-    return portable(stats.daily_closes(bars(spark, sf_dir)))
+    return portable(stats.daily_closes(stored_bars(spark, sf_dir)))
 
 
 @query("pivot_daily_close", sql(
@@ -83,7 +83,7 @@ def daily_closes(spark, sf_dir):
         r(f"max(CASE WHEN ticker = '{t}' THEN daily_close END)") + f' AS "{t}"' for t in TICKERS)
     + " FROM daily GROUP BY trade_date", "daily"))
 def pivot_daily_close(spark, sf_dir):
-    return portable(stats.pivot_closes(stats.daily_closes(bars(spark, sf_dir)), TICKERS))
+    return portable(stats.pivot_closes(stats.daily_closes(stored_bars(spark, sf_dir)), TICKERS))
 
 
 _WIDE_PIVOT = ("SELECT trade_date, " + ", ".join(
@@ -98,7 +98,7 @@ _COMPLETE = " AND ".join(f'"{t}" IS NOT NULL' for t in TICKERS)
         + f" AS correlation, count(*) FILTER (WHERE {_COMPLETE}) AS data_points FROM pivoted"
         for t in TICKERS if t != BASE), "daily", pivoted=_WIDE_PIVOT))
 def pivot_correlation(spark, sf_dir):
-    return portable(stats.pivot_correlation(stats.daily_closes(bars(spark, sf_dir)), TICKERS, BASE))
+    return portable(stats.pivot_correlation(stats.daily_closes(stored_bars(spark, sf_dir)), TICKERS, BASE))
 
 
 @query("pair_correlation", sql(
@@ -106,7 +106,7 @@ def pivot_correlation(spark, sf_dir):
     "count(*) AS data_points FROM daily d JOIN daily b ON d.trade_date = b.trade_date "
     f"AND d.ticker <> b.ticker AND b.ticker IN ('{BASE}', 'CLICK') GROUP BY 1, 2", "daily"))
 def pair_correlation(spark, sf_dir):
-    return portable(stats.pair_correlation(stats.daily_closes(bars(spark, sf_dir)), [BASE, "CLICK"]))
+    return portable(stats.pair_correlation(stats.daily_closes(stored_bars(spark, sf_dir)), [BASE, "CLICK"]))
 
 
 @query("distinct_tickers", sql("SELECT count(DISTINCT ticker) AS tickers FROM wide_trades", "wide_trades"))
@@ -128,7 +128,7 @@ _FIVE = "time_bucket(INTERVAL 5 MINUTE, window_start_et)"
 
 @query("resample_5m", sql(_coarse_sql(_FIVE), "bars"))
 def resample_5m(spark, sf_dir):
-    return portable(barops.resample(bars(spark, sf_dir)))
+    return portable(barops.resample(stored_bars(spark, sf_dir)))
 
 
 _FILLED = (
@@ -144,7 +144,7 @@ _GRID = (
 @query("resample_5m_filled", sql(
     _FILLED.replace("{where}", ""), "bars", coarse=_coarse_sql(_FIVE), grid=_GRID))
 def resample_5m_filled(spark, sf_dir):
-    return portable(barops.resample(bars(spark, sf_dir), fill_gaps=True))
+    return portable(barops.resample(stored_bars(spark, sf_dir), fill_gaps=True))
 
 
 @query("resample_5m_session", sql(
@@ -152,40 +152,40 @@ def resample_5m_filled(spark, sf_dir):
                                "AND isodow(g.slot) <= 5"),
     "bars", coarse=_coarse_sql(_FIVE), grid=_GRID))
 def resample_5m_session(spark, sf_dir):
-    return portable(barops.resample(bars(spark, sf_dir), fill_gaps=True, session_only=True))
+    return portable(barops.resample(stored_bars(spark, sf_dir), fill_gaps=True, session_only=True))
 
 
 @query("bars_15m", sql(_coarse_sql("time_bucket(INTERVAL 15 MINUTE, window_start_et)", vwap=True), "bars"))
 def bars_15m(spark, sf_dir):
-    return portable(barops.aggregate_bars(bars(spark, sf_dir), 15, "minute"))
+    return portable(barops.aggregate_bars(stored_bars(spark, sf_dir), 15, "minute"))
 
 
 @query("bars_4h", sql(_coarse_sql(
     "time_bucket(INTERVAL 4 HOUR, window_start_et, TIMESTAMP '1970-01-01 00:00:00')", vwap=True), "bars"))
 def bars_4h(spark, sf_dir):
-    return portable(barops.aggregate_bars(bars(spark, sf_dir), 4, "hour"))
+    return portable(barops.aggregate_bars(stored_bars(spark, sf_dir), 4, "hour"))
 
 
 @query("bars_day", sql(_coarse_sql("date_trunc('day', window_start_et)", vwap=True), "bars"))
 def bars_day(spark, sf_dir):
-    return portable(barops.aggregate_bars(bars(spark, sf_dir), 1, "day"))
+    return portable(barops.aggregate_bars(stored_bars(spark, sf_dir), 1, "day"))
 
 
 @query("bars_week", sql(_coarse_sql("date_trunc('week', window_start_et)", vwap=True), "bars"))
 def bars_week(spark, sf_dir):
-    return portable(barops.aggregate_bars(bars(spark, sf_dir), 1, "week"))
+    return portable(barops.aggregate_bars(stored_bars(spark, sf_dir), 1, "week"))
 
 
 @query("bars_month", sql(_coarse_sql("date_trunc('month', window_start_et)", vwap=True), "bars"))
 def bars_month(spark, sf_dir):
-    return portable(barops.aggregate_bars(bars(spark, sf_dir), 1, "month"))
+    return portable(barops.aggregate_bars(stored_bars(spark, sf_dir), 1, "month"))
 
 
 @query("bars_quarter_year", sql(
     _coarse_sql("date_trunc('quarter', window_start_et)", vwap=True) + " UNION ALL "
     + _coarse_sql("date_trunc('year', window_start_et)", vwap=True), "bars"))
 def bars_quarter_year(spark, sf_dir):
-    source = bars(spark, sf_dir)
+    source = stored_bars(spark, sf_dir)
     return portable(barops.aggregate_bars(source, 1, "quarter").unionByName(
         barops.aggregate_bars(source, 1, "year")))
 
@@ -197,14 +197,14 @@ def bars_quarter_year(spark, sf_dir):
     + " ORDER BY bar_start DESC, ticker LIMIT 50", "bars"))
 def bars_latest(spark, sf_dir):
     return portable(barops.aggregate_bars(
-        bars(spark, sf_dir), 1, "hour", "2024-01-08", "2024-01-19", sort="desc", limit=50))
+        stored_bars(spark, sf_dir), 1, "hour", "2024-01-08", "2024-01-19", sort="desc", limit=50))
 
 
 @query("grouped_daily", sql(_coarse_sql(
     "date_trunc('day', window_start_et)", "wide_bars", True,
     "WHERE CAST(window_start_et AS DATE) = DATE '2024-01-16'"), "wide_bars"))
 def grouped_daily(spark, sf_dir):
-    return portable(barops.grouped_daily(bars(spark, sf_dir, wide=True), "2024-01-16"))
+    return portable(barops.grouped_daily(stored_bars(spark, sf_dir, wide=True), "2024-01-16"))
 
 
 _SESSIONS = (
@@ -224,7 +224,7 @@ _SESSIONS = (
     f"{r('early_close')} AS early_close, {r('after_hours')} AS after_hours FROM sessions",
     "bars", sessions=_SESSIONS))
 def open_close_sessions(spark, sf_dir):
-    return portable(barops.daily_sessions(bars(spark, sf_dir)))
+    return portable(barops.daily_sessions(stored_bars(spark, sf_dir)))
 
 
 _CHANGED = (
@@ -241,7 +241,7 @@ _CHANGED = (
     f"{r(ratio('(after_hours - close) * 100', 'close'))} AS late_trading_change_percent FROM changed",
     "bars", sessions=_SESSIONS, changed=_CHANGED))
 def session_change(spark, sf_dir):
-    changed = daily.session_change(barops.daily_sessions(bars(spark, sf_dir)))
+    changed = daily.session_change(barops.daily_sessions(stored_bars(spark, sf_dir)))
     return portable(changed.select(
         "ticker", "trade_date", "previous_close",
         *[f"{s}_trading_change{p}" for s in ("early", "regular", "late") for p in ("", "_percent")]))
@@ -251,7 +251,7 @@ def session_change(spark, sf_dir):
     f"SELECT ticker, {moment('window_start_et')} AS window_start_et, {r('close')} AS close, volume "
     "FROM hours_bars", "hours_bars"))
 def trading_hours(spark, sf_dir):
-    return portable(trading_hours_only(bars(spark, sf_dir)).select(
+    return portable(trading_hours_only(stored_bars(spark, sf_dir)).select(
         "ticker", "window_start_et", "close", "volume"))
 
 
@@ -260,7 +260,7 @@ def trading_hours(spark, sf_dir):
     "CAST(hour(window_start_et) AS BIGINT) AS hour, count(*) AS n FROM bars "
     "WHERE isodow(window_start_et) <= 5 GROUP BY 1, 2, 3", "bars"))
 def weekday_filter(spark, sf_dir):
-    kept = bars(spark, sf_dir).filter(clock.is_weekday(F.col("window_start_et")))
+    kept = stored_bars(spark, sf_dir).filter(clock.is_weekday(F.col("window_start_et")))
     return portable(kept.groupBy(
         "ticker", F.dayofweek("window_start_et").alias("weekday"), F.hour("window_start_et").alias("hour"),
     ).agg(F.count("*").alias("n")))
@@ -271,7 +271,7 @@ def weekday_filter(spark, sf_dir):
     "WHEN hour(window_start_et) < 16 THEN 'regular' ELSE 'post' END AS session, count(*) AS n "
     "FROM bars GROUP BY 1, 2", "bars"))
 def session_labels(spark, sf_dir):
-    return portable(bars(spark, sf_dir).groupBy(
+    return portable(stored_bars(spark, sf_dir).groupBy(
         "ticker", clock.session_of(F.col("window_start_et")).alias("session")).agg(F.count("*").alias("n")))
 
 
@@ -295,7 +295,7 @@ def epoch_units(spark, sf_dir):
     "WINDOW w AS (PARTITION BY ticker ORDER BY window_start_et ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
     "bars"))
 def sma(spark, sf_dir):
-    return portable(indicators.sma(bars(spark, sf_dir), 20).select(
+    return portable(indicators.sma(stored_bars(spark, sf_dir), 20).select(
         "ticker", "window_start_et", "close", "sma"))
 
 
@@ -305,7 +305,7 @@ def sma(spark, sf_dir):
     "WINDOW w AS (PARTITION BY ticker ORDER BY window_start_et ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)",
     "bars"))
 def sma_long(spark, sf_dir):
-    return portable(indicators.sma(bars(spark, sf_dir), 200, "high").select(
+    return portable(indicators.sma(stored_bars(spark, sf_dir), 200, "high").select(
         "ticker", "window_start_et", "sma"))
 
 
@@ -320,7 +320,7 @@ def sma_long(spark, sf_dir):
         "f AS (PARTITION BY ticker ORDER BY window_start_et ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), "
         "s AS (PARTITION BY ticker ORDER BY window_start_et ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)")))
 def sma_cross(spark, sf_dir):
-    return portable(indicators.sma_cross(bars(spark, sf_dir)).select(
+    return portable(indicators.sma_cross(stored_bars(spark, sf_dir)).select(
         "ticker", "window_start_et", "fast_sma", "slow_sma", "signal"))
 
 
@@ -336,7 +336,7 @@ _NUMBERED = (
         "SELECT x.ticker, x.window_start_et, x.n, x.close * 2.0 / 21 + f.ema * 19.0 / 21 "
         "FROM folded f JOIN numbered x ON x.ticker = f.ticker AND x.n = f.n + 1")))
 def ema(spark, sf_dir):
-    return portable(indicators.ema(bars(spark, sf_dir), 20).select("ticker", "window_start_et", "ema"))
+    return portable(indicators.ema(stored_bars(spark, sf_dir), 20).select("ticker", "window_start_et", "ema"))
 
 
 @query("rsi", sql(
@@ -350,7 +350,7 @@ def ema(spark, sf_dir):
         "CASE WHEN x.n = 2 THEN greatest(-x.change, 0) ELSE greatest(-x.change, 0) / 14.0 + f.loss * 13.0 / 14 END "
         "FROM folded f JOIN numbered x ON x.ticker = f.ticker AND x.n = f.n + 1")))
 def rsi(spark, sf_dir):
-    return portable(indicators.rsi(bars(spark, sf_dir), 14).select("ticker", "window_start_et", "rsi"))
+    return portable(indicators.rsi(stored_bars(spark, sf_dir), 14).select("ticker", "window_start_et", "rsi"))
 
 
 @query("macd", sql(
@@ -364,7 +364,7 @@ def rsi(spark, sf_dir):
         "(x.close * 2.0 / 27 + f.l * 25.0 / 27)) * 0.2 + f.g * 0.8 "
         "FROM folded f JOIN numbered x ON x.ticker = f.ticker AND x.n = f.n + 1")))
 def macd(spark, sf_dir):
-    return portable(indicators.macd(bars(spark, sf_dir)).select(
+    return portable(indicators.macd(stored_bars(spark, sf_dir)).select(
         "ticker", "window_start_et", "macd", "signal", "histogram"))
 
 
@@ -374,7 +374,7 @@ def macd(spark, sf_dir):
     "ORDER BY window_start_et ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) "
     "ORDER BY window_start_et DESC, ticker LIMIT 10", "bars"))
 def indicator_latest(spark, sf_dir):
-    found = indicators.sma(bars(spark, sf_dir), 20).select("ticker", "window_start_et", "sma")
+    found = indicators.sma(stored_bars(spark, sf_dir), 20).select("ticker", "window_start_et", "sma")
     return portable(indicators.latest_values(found))
 
 
@@ -385,7 +385,7 @@ def indicator_latest(spark, sf_dir):
     "WINDOW w AS (PARTITION BY ticker, CAST(window_start_et AS DATE) ORDER BY window_start_et "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "bars"))
 def running_vwap(spark, sf_dir):
-    return portable(indicators.running_day_vwap(bars(spark, sf_dir)).select(
+    return portable(indicators.running_day_vwap(stored_bars(spark, sf_dir)).select(
         "ticker", "window_start_et", "accumulated_volume", "aggregate_vwap"))
 
 
@@ -408,7 +408,7 @@ _PREVIOUS = "SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY trade_date)
     f"{r(ratio('(close - previous_close) * 100', 'previous_close'))} AS change_percent FROM previous",
     "day_bars", previous=_PREVIOUS))
 def prev_close(spark, sf_dir):
-    return portable(snapshot.previous_close(bars(spark, sf_dir)).select(
+    return portable(snapshot.previous_close(stored_bars(spark, sf_dir)).select(
         "ticker", "trade_date", "close", "previous_close", "change", "change_percent"))
 
 
@@ -425,7 +425,7 @@ def _movers_sql(direction: str) -> str:
 
 
 def _movers(spark, sf_dir, direction):
-    days = barops.aggregate_bars(bars(spark, sf_dir, wide=True), 1, "day").withColumn(
+    days = barops.aggregate_bars(stored_bars(spark, sf_dir, wide=True), 1, "day").withColumn(
         "trade_date", F.to_date("bar_start"))
     return portable(daily.top_movers(days, "2024-01-16", direction).select(
         "ticker", "close", "previous_close", "change_percent"))
@@ -473,7 +473,7 @@ def latest_quote(spark, sf_dir):
     "ON m.ticker = p.ticker JOIN (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY ticker "
     "ORDER BY ts DESC, sequence DESC) = 1) t ON t.ticker = p.ticker", "day_bars", previous=_PREVIOUS))
 def ticker_snapshot(spark, sf_dir):
-    snap = snapshot.ticker_snapshot(bars(spark, sf_dir), trades(spark, sf_dir), quotes(spark, sf_dir))
+    snap = snapshot.ticker_snapshot(stored_bars(spark, sf_dir), trades(spark, sf_dir), quotes(spark, sf_dir))
     return portable(snap.select(
         "ticker", F.col("day.trade_date").alias("day"), F.col("day.close").alias("day_close"),
         F.col("day.volume").alias("day_volume"), F.col("prev_day.close").alias("prev_close"),
@@ -494,7 +494,7 @@ _SPLITS = ("SELECT ticker, CAST(d AS DATE) AS execution_date, CAST(f AS DOUBLE)
     "AND CAST(bars.window_start_et AS DATE) < s.execution_date), 1.0) AS f FROM bars) b",
     "bars", splits=_SPLITS))
 def split_adjusted_bars(spark, sf_dir):
-    return portable(adjust.split_adjusted(bars(spark, sf_dir), spark.sql(_SPLITS)).select(
+    return portable(adjust.split_adjusted(stored_bars(spark, sf_dir), spark.sql(_SPLITS)).select(
         "ticker", "window_start_et", "close", "high", "volume", "split_factor"))
 
 
@@ -509,7 +509,7 @@ _RENAMES = ("SELECT instrument, CAST(d AS DATE) AS date, ticker FROM (VALUES (1,
     "WHEN ticker = 'PURCHASE' AND window_start_et < TIMESTAMP '2024-01-20 00:00:00' THEN 'PAY' "
     "ELSE ticker END AS current_ticker FROM bars b) GROUP BY 1, 2", "bars"))
 def symbol_rename(spark, sf_dir):
-    named = adjust.current_symbols(bars(spark, sf_dir), spark.sql(_RENAMES))
+    named = adjust.current_symbols(stored_bars(spark, sf_dir), spark.sql(_RENAMES))
     return portable(named.groupBy("ticker", "current_ticker").agg(
         F.count("*").alias("n"), F.sum("volume").alias("volume")))
 
@@ -526,7 +526,7 @@ _HOLIDAYS = ("SELECT exchange, CAST(d AS DATE) AS date, status, close FROM (VALU
     "AND (h.status = 'closed' OR strftime(b.window_start_et, '%H:%M') >= h.close)) GROUP BY 1, 2",
     "bars", holidays=_HOLIDAYS))
 def calendar_filter(spark, sf_dir):
-    kept = adjust.on_trading_calendar(bars(spark, sf_dir), spark.sql(_HOLIDAYS), "NYSE")
+    kept = adjust.on_trading_calendar(stored_bars(spark, sf_dir), spark.sql(_HOLIDAYS), "NYSE")
     return portable(kept.groupBy("ticker", F.to_date("window_start_et").alias("trade_date")).agg(
         F.count("*").alias("n")))
 

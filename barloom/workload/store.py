@@ -15,25 +15,12 @@ from barloom.session import work_dir
 from barloom.sources import flatfiles
 from barloom.sources.barstore import BarStore, map_chunks
 from barloom.workload import query
-from barloom.workload.inputs import BASE, TICKERS, bars, corr, moment, portable, r, ratio, sql
+from barloom.workload.inputs import BASE, TICKERS, bars, corr, moment, once, portable, r, ratio, sql
 
 _BAR_SQL = (f"ticker, {moment('window_start_et')} AS window_start_et, {r('open')} AS open, {r('high')} AS high, "
             f"{r('low')} AS low, {r('close')} AS close, volume, transactions, year")
 _ROWS_SQL = f"SELECT {_BAR_SQL} FROM hours_bars"
 
-# Stores built in this session, by application and input folder.
-_BUILT: dict[tuple[str, str, str], str] = {}
-
-
-def _once(spark, sf_dir, label, build):
-    key = (spark.sparkContext.applicationId, sf_dir, label)
-    if key not in _BUILT:
-        target = work_dir(spark, label)
-        build(target)
-        _BUILT[key] = target
-    return _BUILT[key]
-
-
 def raw_bars(spark, sf_dir):
     """Minute bars in the raw layout: epoch nanoseconds, columns in flat-file order."""
     utc = clock.to_utc(F.col("window_start_et"))
@@ -42,13 +29,13 @@ def raw_bars(spark, sf_dir):
 
 
 def flat_files(spark, sf_dir) -> str:
-    return _once(spark, sf_dir, "flat", lambda target: raw_bars(spark, sf_dir).write.option(
+    return once(spark, sf_dir, "flat", lambda target: raw_bars(spark, sf_dir).write.option(
         "header", True).option("compression", "gzip").csv(target))
 
 
 def store(spark, sf_dir) -> BarStore:
     source = flat_files(spark, sf_dir)
-    return BarStore(spark, _once(
+    return BarStore(spark, once(
         spark, sf_dir, "store", lambda target: ingest.ingest_bars(spark, source, target)))
 
 
@@ -183,15 +170,15 @@ def health_profile(spark, sf_dir):
     "SELECT 2 * count(*) AS rows, count(*) AS duplicate_keys FROM bars", "bars"))
 def health_of_duplicates(spark, sf_dir):
     from barloom.sources.barstore import profile_bars
-    once = bars(spark, sf_dir)
-    return portable(profile_bars(stack([once, once])).select("rows", "duplicate_keys"))
+    single = bars(spark, sf_dir)
+    return portable(profile_bars(stack([single, single])).select("rows", "duplicate_keys"))
 
 
 def _doubled_store(spark, sf_dir, label):
     target = work_dir(spark, label)
-    once = store(spark, sf_dir).scan()
-    ingest.write_bars(once, target)
-    ingest.write_bars(once, target)
+    single = store(spark, sf_dir).scan()
+    ingest.write_bars(single, target)
+    ingest.write_bars(single, target)
     return target
 
 
@@ -269,7 +256,7 @@ def chunked_read(spark, sf_dir):
 @query("indexed_scan", sql(_ROWS_SQL + " WHERE ticker = 'SIGNUP'", "hours_bars"))
 def indexed_scan(spark, sf_dir):
     """Range-sorted files searched by ticker through row-group statistics."""
-    target = _once(spark, sf_dir, "indexed", lambda path: ingest.write_indexed(
+    target = once(spark, sf_dir, "indexed", lambda path: ingest.write_indexed(
         store(spark, sf_dir).scan(), path))
     return _clean(spark.read.parquet(target).filter(F.col("ticker") == "SIGNUP"))
 
@@ -290,7 +277,7 @@ def day_store(spark, sf_dir):
     f"SELECT ticker, {moment('window_start_et')} AS window_start_et, {r('close')} AS close FROM hours_bars "
     "WHERE CAST(window_start_et AS DATE) = DATE '2024-01-17'", "hours_bars"))
 def date_layout(spark, sf_dir):
-    target = _once(spark, sf_dir, "dates", lambda path: ingest.write_bars_by_date(
+    target = once(spark, sf_dir, "dates", lambda path: ingest.write_bars_by_date(
         store(spark, sf_dir).scan(), path))
     return portable(spark.read.parquet(target).filter("trade_date = DATE'2024-01-17'").select(
         "ticker", "window_start_et", "close"))

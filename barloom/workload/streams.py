@@ -11,13 +11,10 @@ from barloom.session import work_dir
 from barloom.streaming import bars as streambars
 from barloom.streaming import events, replay, sinks
 from barloom.workload import query
-from barloom.workload.inputs import bars, day, moment, portable, r, ratio, sql, trades
-from barloom.workload.store import _once
+from barloom.workload.inputs import BAR_LAYOUT, bars, day, moment, once, portable, r, ratio, sql, trades
 
 # Landed files are read in no certain time order, so lateness may span the whole input.
 ALL_LATE = "60 days"
-BAR_LAYOUT = ("ticker STRING, window_start_et TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, "
-              "close DOUBLE, volume BIGINT, transactions BIGINT, vwap DOUBLE")
 
 
 def stream_session(spark):
@@ -42,7 +39,7 @@ def messages(spark, sf_dir) -> str:
             F.col("size") >= 90, F.to_json(F.struct(F.lit("ZZ").alias("ev"), F.col("sequence").alias("q"))))
         line = F.concat(F.lit("["), F.concat_ws(",", trade, quote, other), F.lit("]"))
         trades(spark, sf_dir).select(line.alias("value")).repartition(8).write.text(target)
-    return _once(spark, sf_dir, "messages", build)
+    return once(spark, sf_dir, "messages", build)
 
 
 def _trade_stream(spark, sf_dir, files_per_trigger=4):
@@ -120,8 +117,8 @@ def batch_minute_bars(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Every trade arrives twice and is kept once."""
     target = work_dir(spark, "dedup")
-    once = _trade_stream(spark, sf_dir)
-    twice = once.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    single = _trade_stream(spark, sf_dir)
+    twice = single.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
     sinks.append_to_table(
         events.drop_repeated(twice, ALL_LATE).select("symbol", "sequence_number", "price", "size"),
         target, f"{target}-checkpoint").awaitTermination()
@@ -157,7 +154,7 @@ def stream_callback(spark, sf_dir):
 def replay_bars(spark, sf_dir):
     """Bars replayed week by week; a bar is in order if no earlier batch holds a later week."""
     target = work_dir(spark, "replay")
-    dated = _once(spark, sf_dir, "replay-source", lambda path: bars(spark, sf_dir).withColumn(
+    dated = once(spark, sf_dir, "replay-source", lambda path: bars(spark, sf_dir).withColumn(
         "trade_date", F.to_date("window_start_et")).write.partitionBy("trade_date").parquet(path))
     replay.stage_replay(spark.read.schema(BAR_LAYOUT).parquet(dated), f"{target}/staged", "week")
     stream = replay.replay_stream(stream_session(spark), f"{target}/staged", BAR_LAYOUT, 4)
