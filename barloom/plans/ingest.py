@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import logging
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.functions import clock
-from barloom.session import broadcast_if_small, path_exists
+from barloom.session import broadcast_if_small, build_session, path_exists
 from barloom.sources.barstore import BarStore
 from barloom.sources.flatfiles import read_raw_bars, require_columns
 
@@ -135,3 +136,21 @@ def ingest_day_files(spark: SparkSession, source: str | list[str], root: str,
 def trading_hours_only_any_day(bars: DataFrame, time: str = "window_start_et") -> DataFrame:
     """Bars from 09:30 to before 16:00 on every weekday and weekend day present."""
     return bars.filter(clock.in_trading_hours(F.col(time)))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``spark-submit .../ingest.py SOURCE ROOT [--year Y] [--tickers A,B] [--quarantine DIR]``"""
+    parser = argparse.ArgumentParser(description="Load daily flat files into the bar store.")
+    parser.add_argument("source")
+    parser.add_argument("root")
+    parser.add_argument("--year", type=int)
+    parser.add_argument("--tickers")
+    parser.add_argument("--quarantine")
+    args = parser.parse_args(argv)
+    print(ingest_bars(
+        build_session("barloom-ingest"), args.source, args.root, args.year,
+        args.tickers.split(",") if args.tickers else None, quarantine=args.quarantine))
+
+
+if __name__ == "__main__":
+    main()

@@ -59,6 +59,23 @@ class BarStore:
             condition = one if condition is None else condition | one
         return self.scan().filter(condition)
 
+    def scan_paths(self, folders: list[str], ignore_corrupt: bool = False) -> DataFrame:
+        """One read over partition folders, such as those of ``BarQuery.partition_paths``.
+
+        Folders that do not exist are logged and skipped. Prefer :meth:`get_bars`,
+        whose predicates let Spark prune by itself.
+        """
+        present = []
+        for folder in folders:
+            if "*" in folder or path_exists(self.spark, folder):
+                present.append(folder)
+            else:
+                log.warning("partition not found: %s", folder)
+        if not present:
+            raise PartitionNotFound(f"none of the partitions exists: {folders}")
+        return self.spark.read.schema(self.layout).option("basePath", self.root).option(
+            "ignoreCorruptFiles", ignore_corrupt).parquet(*present)
+
     def get_bars(self, tickers=None, years=None, start_date=None, end_date=None, columns=None,
                  ordered: bool = False, require_rows: bool = False, exact_case: bool = False,
                  default_year: int | None = None) -> DataFrame:

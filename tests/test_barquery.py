@@ -148,6 +148,15 @@ def test_listed_partitions_skip_missing_ones(small_store):
         small_store.scan_partitions([(1990, "MSFT")])
 
 
+def test_scan_of_partition_folders(small_store):
+    query = BarQuery.build(["AAPL", "MSFT"], [2023, 2024])
+    found = small_store.scan_paths(query.partition_paths(small_store.root))
+    assert {(r.year, r.ticker) for r in found.collect()} == {(2023, "AAPL"), (2024, "AAPL"), (2024, "MSFT")}
+    assert small_store.scan_paths(BarQuery().partition_paths(small_store.root)).count() == small_store.scan().count()
+    with pytest.raises(PartitionNotFound):
+        small_store.scan_paths(BarQuery.build("NONE", 2024).partition_paths(small_store.root))
+
+
 def test_missing_store(spark, tmp_path):
     nowhere = BarStore(spark, str(tmp_path / "none"))
     with pytest.raises(DataNotFound):

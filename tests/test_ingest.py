@@ -192,3 +192,28 @@ def test_splits_export_always_has_a_header(spark, tmp_path):
     assert [r.id for r in rows] == ["b", "a"]
     empty = export_splits(splits, str(tmp_path), "2020-01-01")
     assert spark.read.option("header", True).csv(empty).columns == schemas.SPLIT_EXPORT_COLUMNS
+
+
+def test_a_hot_partition_is_split_over_files(spark, tmp_path):
+    """Beyond the advisory size a ticker's year is written by several tasks, whole."""
+    minute = F.timestamp_add("MINUTE", F.col("id"), F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    bars = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 100 < 97, "HOT").otherwise(F.concat(F.lit("T"), F.col("id") % 100)).alias("ticker"),
+        minute.alias("window_start_et"), *[F.rand(i).alias(c) for i, c in enumerate(("open", "high", "low", "close"))],
+        F.col("id").alias("volume"), F.col("id").alias("transactions"), F.lit(2024).alias("year"))
+    root = str(tmp_path / "store")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        ingest.write_bars(bars, root)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128MB")
+    files = {r.ticker: r.files for r in BarStore(spark, root).partitions().collect()}
+    assert files["HOT"] > 2
+    assert BarStore(spark, root).scan().agg(F.sum("volume"), F.count("*")).first() == (60_000 * 59_999 // 2, 60_000)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    source = write_csv(tmp_path / "in", "2024-01-03.csv.gz", ROWS)
+    ingest.main([source, str(tmp_path / "store"), "--year", "2024", "--tickers", "AAPL,MSFT"])
+    assert "rows_written=4" in capsys.readouterr().out
+    assert BarStore(spark, str(tmp_path / "store")).scan().count() == 4
