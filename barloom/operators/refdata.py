@@ -9,7 +9,7 @@ from barloom import schemas
 from barloom.errors import DataValidationError
 from barloom.functions.ratios import midpoint
 from barloom.operators.rows import latest_row, sorted_limit
-from barloom.session import broadcast_if_small, estimated_bytes
+from barloom.session import broadcast_if_small, estimated_bytes, steering
 
 _COMPARISONS = {
     "lt": lambda c, v: c < v,
@@ -237,7 +237,7 @@ def convert_currency(amounts: DataFrame, quotes: DataFrame, precision: int = 2)
     latest = latest_row(quotes, ["pair"], ["timestamp", "sequence"]).select(
         "pair", midpoint(F.col("bid"), F.col("ask")).alias("rate"))
     keyed = amounts.withColumn("pair", F.concat_ws("/", "from_currency", "to_currency"))
-    return keyed.join(broadcast_if_small(latest), "pair", "left").withColumn(
+    return keyed.join(steering(latest, "rates"), "pair", "left").withColumn(
         "converted", F.round(F.col("amount") * F.col("rate"), precision))
 
 

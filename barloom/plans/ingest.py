@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.functions import clock
-from barloom.session import broadcast_if_small, build_session, path_exists
+from barloom.session import broadcast_if_small, build_session, path_exists, steering
 from barloom.sources.barstore import BarStore
 from barloom.sources.flatfiles import read_raw_bars, require_columns
 
@@ -108,8 +108,9 @@ def ingest_bars(spark: SparkSession, source: str | list[str], root: str, year: i
     raw = read_raw_bars(spark, source, tickers=tickers, **read_options)
     if quarantine:
         rejected_rows(raw).write.mode("append").parquet(quarantine)
-    # The listing inside this frame is taken now, so it stays the state before the load.
-    stored = BarStore(spark, root).stored_tickers()
+    # Listed now, so it stays the state before the load. Its estimate would count the
+    # bytes of all store files; settled, it is known to be small and bars are not shuffled.
+    stored = steering(BarStore(spark, root).stored_tickers(), "stored")
     write_bars(without_stored(clean_bars(raw, year), stored), root, mode)
     if not path_exists(spark, root):
         return IngestReport(0, 0)
