@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.errors import DataValidationError
 from barloom.operators import series
-from barloom.operators.series import BLOCK, OWN, ROWS_PER_BLOCK
+from barloom.operators.series import BLOCK, ROWS_PER_BLOCK
 
 SERIES_TYPES = ("open", "high", "low", "close")
 MAX_LIMIT = 5000
