@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from barloom.workload import load
 from tests.compare import difference, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -15,7 +16,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(load()))
 def test_query_equals_sql(spark, con, name):
     assert difference(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) is None
 
