@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, mixing, ngram_join, sharding
+from barloom.llm import (
+    exact_dedup, fingerprints, mixing, ngram_join, pii, quality, secret_scan, sentence_pieces, sharding, token_counts)
 
 # Target weights of the production mix; sources without one share OTHER_WEIGHT.
 WEIGHTS = {"src0": 0.16, "src1": 0.08, "src2": 0.08, "src3": 0.08, "src4": 0.06, "src5": 0.06, "src6": 0.06, "src7": 0.06}
@@ -28,16 +29,50 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir)).drop("text_tag")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir)).drop("findings")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_sets(documents(spark, sf_dir), width=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after four edits: a passage replaced by the document's beginning, a word put
+    in, the first characters removed, and a line added at the end."""
+    n = F.length("text")
+    edits = F.array(*[F.struct(F.expr(at).cast("int").alias("at"), F.lit(removed).alias("removed"), text.alias("inserted")) for at, removed, text in (
+        ("length(text) div 3", 40, F.substring("text", 1, 24)), ("length(text) * 2 div 3", 0, F.lit(" inserted")),
+        ("0", 5, F.lit("")), ("length(text) + 1000", 0, F.lit("\nThe last line.")))])
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.load(token_counts.VOCABULARY), F.when(n > 0, edits))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_exact_dedup, op4_ngram_jaccard_join, op8_sharding)}
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ranking = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, ranking)
+
+
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(documents(spark, sf_dir), sentence_pieces.load(sentence_pieces.MODEL))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_source_mixing, op2_exact_dedup, op3_secret_scan, op4_ngram_jaccard_join, op5_personal_data, op6_token_counts,
+    op7_fingerprints, op8_sharding, op9_quality_ranking, op10_sentence_pieces)}
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -34,13 +34,12 @@ def _splitters(sized: DataFrame, total: int, ranges: int) -> np.ndarray:
     dice = F.pmod(F.xxhash64("key", "id", F.lit(17)), F.lit(step))
     drawn = sized.select("key", F.expr(f"size div {step}").alias("whole"), (F.expr(f"size % {step}") > dice).cast("long").alias("rest"))
     # At most total / step + rows drawn by chance: about ranges * KEYS_PER_RANGE entries, summed by key.
-    sample = drawn.withColumn("n", F.col("whole") + F.col("rest")).where("n > 0").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    if sample.empty:
+    sample = drawn.withColumn("n", F.col("whole") + F.col("rest")).where("n > 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")
+    if not sample.num_rows:
         return np.empty(0, np.int64)
-    sample = sample.sort_values("key")
     weight = sample["n"].to_numpy().cumsum()
     cuts = np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges)
-    return np.unique(sample["key"].to_numpy(np.int64)[cuts])
+    return np.unique(sample["key"].to_numpy()[cuts])
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8,
