@@ -36,7 +36,7 @@ from barloom.llm.common import keep_rows, scrambled, settle, text_tag
 from barloom.llm.components import components
 from barloom.llm.shingles import shingle_set, word_hashes
 
-BLOOM_BITS = 1 << 26
+BLOOM_BITS = 1 << 25
 STAR_ROUNDS = 3
 SKETCH = ["s0", "s1", "s2", "s3"]
 CLASS = ["k1", "k2", "n"]
@@ -103,9 +103,9 @@ class Bloom:
                     [pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "mask"])
 
         found = df.select(*columns).mapInArrow(words, "word long, mask long").groupBy("word").agg(
-            F.bit_or("mask").alias("mask")).toPandas()
+            F.bit_or("mask").alias("mask")).toArrow()
         self.words = np.zeros(bits >> 6, np.int64)
-        self.words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+        self.words[found["word"].to_numpy()] = found["mask"].to_numpy()
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
         hit = np.ones(len(values), bool)
