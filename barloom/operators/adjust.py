@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions import clock
-from barloom.session import broadcast_if_small
 
 _FIRST_DAY = "1000-01-01"
 _LAST_DAY = "9999-12-31"
@@ -36,7 +35,7 @@ def split_adjusted(bars: DataFrame, splits: DataFrame, time: str = "window_start
                    key: str = "ticker") -> DataFrame:
     """Bars before a split scaled to today's share; a bar on the execution date is not scaled."""
     day = F.to_date(bars[time])
-    ranges = broadcast_if_small(split_factors(splits, key).withColumnRenamed(key, "_key"))
+    ranges = split_factors(splits, key).withColumnRenamed(key, "_key")
     joined = bars.join(
         ranges, (bars[key] == ranges["_key"]) & (day >= ranges["valid_from"]) & (day < ranges["valid_to"]),
         "left")
@@ -66,7 +65,7 @@ def current_symbols(bars: DataFrame, renames: DataFrame, time: str = "window_sta
                     key: str = "ticker") -> DataFrame:
     """Add ``current_ticker``: the symbol under which the bar's instrument trades now."""
     day = F.to_date(bars[time])
-    ranges = broadcast_if_small(rename_ranges(renames))
+    ranges = rename_ranges(renames)
     joined = bars.join(
         ranges,
         (bars[key] == ranges["old_ticker"]) & (day >= ranges["valid_from"]) & (day < ranges["valid_to"]),

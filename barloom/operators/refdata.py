@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom import schemas
 from barloom.errors import DataValidationError
 from barloom.functions.ratios import midpoint
 from barloom.operators.rows import latest_row, sorted_limit
-from barloom.session import broadcast_if_small, estimated_bytes, steering
 
 _COMPARISONS = {
     "lt": lambda c, v: c < v,
@@ -18,8 +18,6 @@ _COMPARISONS = {
     "gte": lambda c, v: c >= v,
     "any_of": lambda c, v: c.isin(list(v)),
 }
-# Condition codes are a vendor list of a few hundred entries; a larger table is joined instead.
-MAX_CODE_BYTES = 4 * 1024 * 1024
 
 
 def compare_filter(df: DataFrame, **criteria) -> DataFrame:
@@ -47,7 +45,12 @@ def _criterion(df: DataFrame, name: str, value) -> Column:
 
 
 def _listed(df: DataFrame, sort, order, limit) -> DataFrame:
-    return df if sort is None and limit is None else sorted_limit(df, sort or df.columns[0], order, limit)
+    """Sorted and cut; equal sort keys are ordered by the other plain columns, so that a cut is stable."""
+    if sort is None and limit is None:
+        return df
+    first = sort or df.columns[0]
+    plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType) and f.name != first]
+    return sorted_limit(df, first, order, limit, plain)
 
 
 def list_splits(splits: DataFrame, reverse_split: bool | None = None, sort: str | None = None,
@@ -107,7 +110,7 @@ def list_financials(filings: DataFrame, company_name_search: str | None = None,
 
 def list_ipos(ipos: DataFrame, sort: str = "listing_date", order: str = "desc",
               limit: int | None = None, **criteria) -> DataFrame:
-    return sorted_limit(compare_filter(ipos, **criteria), sort, order, limit)
+    return _listed(compare_filter(ipos, **criteria), sort, order, limit)
 
 
 def without_otc(df: DataFrame) -> DataFrame:
@@ -124,57 +127,30 @@ def ticks_between(ticks: DataFrame, ticker: str, time: str = "sip_timestamp", or
     return sorted_limit(out, time, order, limit, tie=["sequence_number"])
 
 
-def with_condition_names(trades: DataFrame, conditions: DataFrame, trade_key: list[str]) -> DataFrame:
+def with_condition_names(trades: DataFrame, conditions: DataFrame) -> DataFrame:
     """Add ``condition_names`` and whether all conditions update high and low.
 
-    Codes keep their order; unknown codes give a NULL name and do not block updates.
+    Codes keep their order; unknown codes give a NULL name and do not block
+    updates. Names are looked up once per distinct list of codes, whichever
+    trades have it, so trades without a key, or with a repeated one, keep their rows.
     """
     rule = F.col("update_rules.consolidated.updates_high_low")
     codes = conditions.groupBy("id").agg(
         F.min("name").alias("name"), F.min(F.coalesce(rule, F.lit(True))).alias("updates_high_low"))
-    if estimated_bytes(conditions) <= MAX_CODE_BYTES:
-        return _with_code_map(trades, codes)
-    return _with_code_join(trades, codes, trade_key)
-
-
-def _with_code_map(trades: DataFrame, codes: DataFrame) -> DataFrame:
-    """The table, checked to be small, becomes a constant map: trades are not shuffled."""
-    entries = codes.collect()
-    names = _constant_map({row.id: row.name for row in entries}, "map<int,string>")
-    updates = _constant_map({row.id: row.updates_high_low for row in entries}, "map<int,boolean>")
-    return trades.select(
-        "*",
-        F.transform("conditions", lambda c: F.try_element_at(names, c)).alias("condition_names"),
-        F.forall("conditions", lambda c: F.coalesce(F.try_element_at(updates, c), F.lit(True)))
-        .alias("updates_high_low"),
-    )
-
-
-def _constant_map(values: dict, kind: str) -> Column:
-    if not values:
-        return F.create_map().cast(kind)
-    return F.map_from_arrays(
-        F.array(*map(F.lit, values)), F.array(*map(F.lit, values.values()))).cast(kind)
-
-
-def _with_code_join(trades: DataFrame, codes: DataFrame, trade_key: list[str]) -> DataFrame:
-    """Only keys and codes are shuffled: one row per trade and code, at most a few per trade."""
-    named = trades.select(*trade_key, F.posexplode("conditions").alias("_at", "id")).join(codes, "id", "left")
-    per_trade = named.groupBy(*trade_key).agg(
+    lists = trades.select(F.col("conditions").alias("_list")).where("_list IS NOT NULL").distinct()
+    named = lists.select("_list", F.posexplode_outer("_list").alias("_at", "id")).join(codes, "id", "left")
+    per_list = named.groupBy("_list").agg(
         F.array_sort(F.collect_list(F.struct("_at", "name"))).alias("_names"),
-        F.min(F.coalesce("updates_high_low", F.lit(True))).alias("_updates"))
-    joined = trades.join(per_trade, trade_key, "left")
-    empty = F.when(F.col("conditions").isNotNull(), F.array().cast("array<string>"))
-    return joined.select(
-        *trades.columns,
-        F.coalesce(F.transform("_names", lambda n: n["name"]), empty).alias("condition_names"),
-        F.coalesce("_updates", F.when(F.col("conditions").isNotNull(), F.lit(True))).alias("updates_high_low"),
-    )
+        F.min(F.coalesce("updates_high_low", F.lit(True))).alias("updates_high_low"))
+    joined = trades.join(per_list, F.col("conditions") == F.col("_list"), "left")
+    known = F.filter("_names", lambda n: n["_at"].isNotNull())
+    return joined.select(*[trades[c] for c in trades.columns], F.transform(known, lambda n: n["name"]).alias("condition_names"),
+                         "updates_high_low")
 
 
 def with_lookup(facts: DataFrame, lookup: DataFrame, on: list[str]) -> DataFrame:
     """Left look-up in a reference table with one row per key, such as exchanges or ticker types."""
-    return facts.join(broadcast_if_small(lookup), on, "left")
+    return facts.join(lookup, on, "left")
 
 
 def related_companies(related: DataFrame, directory: DataFrame) -> DataFrame:
@@ -237,7 +213,7 @@ def convert_currency(amounts: DataFrame, quotes: DataFrame, precision: int = 2)
     latest = latest_row(quotes, ["pair"], ["timestamp", "sequence"]).select(
         "pair", midpoint(F.col("bid"), F.col("ask")).alias("rate"))
     keyed = amounts.withColumn("pair", F.concat_ws("/", "from_currency", "to_currency"))
-    return keyed.join(steering(latest, "rates"), "pair", "left").withColumn(
+    return keyed.join(latest, "pair", "left").withColumn(
         "converted", F.round(F.col("amount") * F.col("rate"), precision))
 
 

@@ -108,7 +108,7 @@ class BarQuery:
 
     def apply(self, bars: DataFrame, ordered: bool = False, require_rows: bool = False) -> DataFrame:
         if self.start is not None and TIME_COLUMN not in bars.columns:
-            raise DataValidationError(f"Columns not found: {[TIME_COLUMN]}")
+            raise DataValidationError(f"a date range needs the column {TIME_COLUMN}")
         self.check_columns(bars)
         out = bars
         for predicate in self.predicates():
@@ -124,13 +124,13 @@ class BarQuery:
     def check_columns(self, bars: DataFrame) -> None:
         missing = sorted(set(self.columns or []) - set(bars.columns))
         if missing:
-            raise DataValidationError(f"Columns not found: {missing}")
+            raise DataValidationError(f"the bars have no column {', '.join(missing)}")
 
     def partition_paths(self, root: str) -> list[str]:
         """Folders of the store that can hold selected rows."""
         years = self.partition_years()
         year_part = [f"year={y}" for y in years] if years is not None else ["year=*"]
-        ticker_part = [f"ticker={t}" for t in self.tickers or ["*"]]
+        ticker_part = [f"ticker={t}" for t in (["*"] if self.tickers is None else self.tickers)]
         return [f"{root.rstrip('/')}/{y}/{t}" for y in year_part for t in ticker_part]
 
     def to_sql(self, view: str, ordered: bool = False) -> tuple[str, dict]:

@@ -6,12 +6,12 @@ import argparse
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.functions import clock
-from barloom.session import broadcast_if_small, build_session, path_exists, steering
+from barloom.session import broadcast_if_counted, build_session, observed, settled
 from barloom.sources.barstore import BarStore
 from barloom.sources.flatfiles import read_raw_bars, require_columns
 
@@ -22,6 +22,7 @@ log = logging.getLogger(__name__)
 class IngestReport:
     rows_written: int
     tickers_written: int
+    rows_rejected: int = 0
 
 
 def valid_rows(raw: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def clean_bars(raw: DataFrame, year: int | None = None) -> DataFrame:
 
 def without_stored(bars: DataFrame, stored: DataFrame) -> DataFrame:
     """Bars whose (year, ticker) is not stored yet."""
-    return bars.join(broadcast_if_small(stored), ["year", "ticker"], "left_anti")
+    return bars.join(broadcast_if_counted(stored), ["year", "ticker"], "left_anti")
 
 
 def write_bars(bars: DataFrame, root: str, mode: str = "append",
@@ -102,23 +103,20 @@ def ingest_bars(spark: SparkSession, source: str | list[str], root: str, year: i
     """Load flat files into the store; tickers already stored for a year are left alone.
 
     Running it again on the same input writes nothing. ``quarantine`` names a
-    folder that receives the rows without ticker or time. The report is counted
-    on the partitions that were not there before, from file footers.
+    folder that receives the rows without ticker or time; a later load of the
+    same kind replaces it. The report is observed while the rows are written.
     """
     raw = read_raw_bars(spark, source, tickers=tickers, **read_options)
+    seen, added = Observation(), Observation()
     if quarantine:
-        rejected_rows(raw).write.mode("append").parquet(quarantine)
-    # Listed now, so it stays the state before the load. Its estimate would count the
-    # bytes of all store files; settled, it is known to be small and bars are not shuffled.
-    stored = steering(BarStore(spark, root).stored_tickers(), "stored")
-    write_bars(without_stored(clean_bars(raw, year), stored), root, mode)
-    if not path_exists(spark, root):
-        return IngestReport(0, 0)
-    added = BarStore(spark, root).scan().select("year", "ticker").join(
-        broadcast_if_small(stored), ["year", "ticker"], "left_anti")
-    rows, count = added.groupBy("ticker").count().agg(
-        F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    report = IngestReport(rows, count)
+        rejected_rows(raw).write.mode("overwrite").parquet(quarantine)
+    watched = raw.observe(seen, F.count_if(~_is_valid()).alias("rejected"))
+    # Listed now, so it stays the state before the load. Its size is that of the file names, not of the files.
+    stored = settled(BarStore(spark, root).stored_tickers(), "stored")
+    new = without_stored(clean_bars(watched, year), stored)
+    write_bars(new.observe(added, F.count(F.lit(1)).alias("rows"), F.collect_set("ticker").alias("tickers")), root, mode)
+    written, read = observed(added, rows=0, tickers=[]), observed(seen, rejected=0)
+    report = IngestReport(written["rows"], len(written["tickers"]), read["rejected"])
     log.info("ingest: %s", report)
     return report
 

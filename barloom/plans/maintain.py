@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import schemas
@@ -15,9 +15,9 @@ from barloom.errors import DataNotFound, DataValidationError
 from barloom.functions import paths
 from barloom.operators.rows import distinct_rows
 from barloom.plans.ingest import clean_bars, write_bars
-from barloom.session import work_dir
+from barloom.session import observed, scratch_dir
 from barloom.sources.barstore import BarStore
-from barloom.sources.flatfiles import list_files, read_raw_bars
+from barloom.sources.flatfiles import read_raw_bars
 
 log = logging.getLogger(__name__)
 
@@ -49,62 +49,78 @@ def compact(spark: SparkSession, root: str, year: int | None = None, tickers: li
     rows_before = picked.count()
     if rows_before == 0:
         raise DataNotFound(f"nothing to compact in {root}")
-    staging = work_dir(spark, "compact")
-    merged = distinct_rows(picked)
-    rows_after = merged.count()
-    write_bars(merged, staging, "overwrite", partition_by)
-    staged = BarStore(spark, staging, layout).scan()
-    if staged.count() != rows_after:
-        raise DataValidationError("staged rows differ from the distinct rows; store left unchanged")
-    write_bars(staged, root, "overwrite", partition_by)
+    with scratch_dir(spark, "compact") as staging:
+        counted = Observation("compact")
+        write_bars(distinct_rows(picked).observe(counted, F.count(F.lit(1)).alias("rows")), staging, "overwrite", partition_by)
+        rows_after = observed(counted, rows=0)["rows"]
+        staged = BarStore(spark, staging, layout).scan()
+        if staged.count() != rows_after:
+            raise DataValidationError("staged rows differ from the distinct rows; store left unchanged")
+        write_bars(staged, root, "overwrite", partition_by)
     return CompactionReport(files_before, chosen(store.files()).count(), rows_before, rows_after)
 
 
-def corrupt_files(spark: SparkSession, root: str, deep: bool = False) -> DataFrame:
-    """``path, ticker, year, error`` of Parquet files that cannot be read.
+def corrupt_files(spark: SparkSession, root: str, deep: bool = False, layout: str = schemas.CLEAN_BAR) -> DataFrame:
+    """``path, ticker, year, error`` of files below ``root`` that are not readable as Parquet.
 
-    Executors open each file's footer; ``deep`` also decodes every row group.
+    Spark's own reader decides, so any file system and any path it can read work
+    here. The row counts of all footers are taken with unreadable files passed
+    over; ``deep`` also decodes every column and compares the counts. A file that
+    misses is then read byte by byte: if that fails, the place is at fault, not
+    the format, and the job stops with that error. Files without rows are healthy.
     """
-    listing = list_files(spark, root, "*.parquet").select("path")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            bad = []
-            for path in batch["path"]:
-                try:
-                    place, name = pafs.FileSystem.from_uri(path)
-                    with place.open_input_file(name) as handle:
-                        parquet = pq.ParquetFile(handle)
-                        if deep:
-                            for group in range(parquet.num_row_groups):
-                                parquet.read_row_group(group)
-                except Exception as error:
-                    bad.append((path, f"{type(error).__name__}: {error}"[:300]))
-            yield pd.DataFrame(bad, columns=["path", "error"])
-
-    spread = listing.repartition(max(spark.sparkContext.defaultParallelism, 1), "path")
-    found = spread.mapInPandas(check, "path STRING, error STRING")
-    return found.select(
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.parquet").load(root).select("path", F.col("_metadata.file_path").alias("_file"))
+    files = spark.read.schema(layout).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.parquet").parquet(root)
+    by_file = files.groupBy(F.col("_metadata.file_path").alias("_file"))
+    seen = listed.join(by_file.agg(F.count(F.lit(1)).alias("rows")), "_file", "left").withColumn("decoded", F.col("rows"))
+    if deep:
+        decoded = by_file.agg(F.count(F.lit(1)).alias("decoded"), F.bit_xor(F.xxhash64(*files.columns)).alias("_all"))
+        seen = seen.drop("decoded").join(decoded.where("_all IS NOT NULL"), "_file", "left")
+    suspects = [tuple(r) for r in seen.where("rows IS NULL OR NOT decoded <=> rows").select("path", "rows", "decoded").collect()]
+    if suspects:
+        # Raises where the bytes themselves cannot be had.
+        spark.read.text([path for path, *_ in suspects]).agg(F.sum(F.length("value"))).collect()
+    bad = [(path, error) for path, rows, decoded in suspects if (error := _format_error(spark, path, rows, decoded))]
+    return spark.createDataFrame(bad, "path STRING, error STRING").select(
         "path", paths.partition_value(F.col("path"), "year").cast("int").alias("year"),
         paths.partition_value(F.col("path"), "ticker").alias("ticker"), "error")
 
 
+def _format_error(spark: SparkSession, path: str, rows: int | None, decoded: int | None) -> str | None:
+    """What the reader says about one suspect; None if it is healthy but empty."""
+    if rows is not None:
+        return f"{decoded or 0} of {rows} rows can be decoded"
+    try:
+        spark.read.option("ignoreCorruptFiles", False).parquet(path).count()
+    except (PySparkException, Py4JJavaError) as error:
+        # Its bytes could be had, so the reader objects to the format.
+        return str(error.java_exception.getMessage() if isinstance(error, Py4JJavaError) else error)
+    return None
+
+
 def repair(spark: SparkSession, root: str, source: str | list[str], deep: bool = False,
            **read_options) -> DataFrame:
-    """Rebuild the (year, ticker) partitions that hold unreadable files from the flat files.
+    """Rebuild the (year, ticker) partitions that hold unreadable files.
 
-    Each broken partition is replaced as a whole; others are not touched. Gives
-    the broken ``year, ticker`` pairs.
+    A broken partition is replaced as a whole by its readable rows and those of
+    the flat files, each row once; others are not touched. Gives the broken
+    ``year, ticker`` pairs with ``rebuilt``: false where the flat files hold no
+    bar of the pair, and then its files are left as they are.
     """
-    noted = work_dir(spark, "corrupt")
-    corrupt_files(spark, root, deep).select("year", "ticker").distinct().write.parquet(noted)
-    broken = spark.read.schema("year INT, ticker STRING").parquet(noted)
-    if broken.isEmpty():
-        return broken
-    fresh = clean_bars(read_raw_bars(spark, source, **read_options)).join(
-        broken, ["year", "ticker"], "left_semi")
-    write_bars(fresh, root, "overwrite")
-    return broken
+    broken = corrupt_files(spark, root, deep).select("year", "ticker").distinct()
+    pairs = spark.createDataFrame(broken.collect(), broken.schema)
+    if pairs.isEmpty():
+        return pairs.withColumn("rebuilt", F.lit(True))
+    fresh = clean_bars(read_raw_bars(spark, source, **read_options)).join(pairs, ["year", "ticker"], "left_semi")
+    backed = fresh.select("year", "ticker").distinct()
+    readable = BarStore(spark, root).scan(ignore_corrupt=True).join(pairs, ["year", "ticker"], "left_semi").join(
+        backed, ["year", "ticker"], "left_semi")
+    with scratch_dir(spark, "repair") as staging:
+        distinct_rows(fresh.select(*readable.columns).union(readable)).write.parquet(staging)
+        staged = spark.read.schema(readable.schema).parquet(staging)
+        rebuilt = staged.select("year", "ticker", F.lit(True).alias("rebuilt")).distinct().collect()
+        write_bars(staged, root, "overwrite")
+    done = spark.createDataFrame(rebuilt, "year INT, ticker STRING, rebuilt BOOLEAN")
+    return pairs.join(done, ["year", "ticker"], "left").select("year", "ticker", F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"))

@@ -18,6 +18,8 @@ from barloom.sources.flatfiles import list_files
 
 log = logging.getLogger(__name__)
 
+_EMPTY = "the store holds no partition"
+
 
 class BarStore:
     """Read access to one store root.
@@ -53,11 +55,10 @@ class BarStore:
             log.warning("partition not found: year=%s ticker=%s", *part)
         if not present:
             raise PartitionNotFound(f"none of the partitions exists: {parts}")
-        condition = None
-        for year, ticker in sorted(present):
-            one = (F.col("year") == year) & (F.col("ticker") == ticker)
-            condition = one if condition is None else condition | one
-        return self.scan().filter(condition)
+        # Folder names are compared as partition values, in one lookup however many there are.
+        keys = F.broadcast(self.spark.createDataFrame(sorted(present), "year INT, ticker STRING"))
+        years = sorted({year for year, _ in present})
+        return self.scan().where(F.col("year").isin(years)).join(keys, ["year", "ticker"], "left_semi")
 
     def scan_paths(self, folders: list[str], ignore_corrupt: bool = False) -> DataFrame:
         """One read over partition folders, such as those of ``BarQuery.partition_paths``.
@@ -130,27 +131,34 @@ class BarStore:
             return self.spark.createDataFrame([], "year INT, ticker STRING")
 
     def health(self) -> DataFrame:
-        """One row of store facts with the list of issues found."""
+        """One row of store facts with the list of issues found.
+
+        Files that the reader cannot open are an issue each, and their rows are not counted.
+        """
+        from barloom.plans.maintain import corrupt_files
+
         try:
-            bars = self.scan()
+            bars = self.scan(ignore_corrupt=True)
             listing = self.partitions().agg(F.count("*").alias("partitions"), F.sum("files").alias("files"))
         except DataNotFound:
             return self.spark.sql(
-                "SELECT 'unhealthy' AS status, 0L AS partitions, 0L AS files, 0L AS rows, 0L AS null_keys, "
+                f"SELECT 'unhealthy' AS status, 0L AS partitions, 0L AS files, 0L AS rows, 0L AS null_keys, "
                 "0L AS duplicate_keys, CAST(NULL AS TIMESTAMP_NTZ) AS first_bar, "
-                "CAST(NULL AS TIMESTAMP_NTZ) AS last_bar, array('No data partitions found') AS issues")
+                f"CAST(NULL AS TIMESTAMP_NTZ) AS last_bar, array('{_EMPTY}') AS issues")
+        unreadable = corrupt_files(self.spark, self.root, layout=self.layout).agg(
+            F.array_sort(F.collect_list(F.concat(F.lit("unreadable file "), F.col("path")))).alias("unreadable"))
         profile = profile_bars(bars).select(
             "*", listing.select("partitions").scalar().alias("partitions"),
-            listing.select("files").scalar().alias("files"))
+            listing.select("files").scalar().alias("files"), unreadable.scalar().alias("unreadable"))
         return profile.select(
-            F.when((F.col("null_keys") == 0) & (F.col("duplicate_keys") == 0) & (F.col("partitions") > 0),
-                   "healthy").otherwise("unhealthy").alias("status"),
+            F.when((F.col("null_keys") == 0) & (F.col("duplicate_keys") == 0) & (F.col("partitions") > 0)
+                   & (F.size("unreadable") == 0), "healthy").otherwise("unhealthy").alias("status"),
             "partitions", "files", "rows", "null_keys", "duplicate_keys", "first_bar", "last_bar",
-            F.array_compact(F.array(
-                F.when(F.col("partitions") == 0, "No data partitions found"),
-                F.when(F.col("null_keys") > 0, "Bars without ticker or time"),
-                F.when(F.col("duplicate_keys") > 0, "Several bars for one ticker and time"),
-            )).alias("issues"),
+            F.concat(F.array_compact(F.array(
+                F.when(F.col("partitions") == 0, _EMPTY),
+                F.when(F.col("null_keys") > 0, "some bars lack a ticker or a time"),
+                F.when(F.col("duplicate_keys") > 0, "a ticker and time has more than one bar"),
+            )), F.col("unreadable")).alias("issues"),
         )
 
 

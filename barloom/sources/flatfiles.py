@@ -25,7 +25,8 @@ def read_raw_bars(spark: SparkSession, path: str | list[str], recursive: bool =
     """Raw bars of one file, a glob, a list of paths or a folder tree.
 
     Columns are taken by header name. Every value is read as text and cast
-    safely; a volume such as ``1000.5`` becomes 1000. Files whose header differs
+    safely: whole numbers exactly, a volume such as ``1000.5`` becomes 1000, and
+    what is no number in the type's range (``NaN``, ``1e30``) becomes NULL. Files whose header differs
     from the first one's are refused rather than bound by position.
     """
     reader = spark.read.option("header", True).option("enforceSchema", False)
@@ -37,9 +38,7 @@ def read_raw_bars(spark: SparkSession, path: str | list[str], recursive: bool =
     require_columns(text, schemas.RAW_BAR_COLUMNS)
     typed = text.select(
         "ticker", _long("volume"), *[_double(c) for c in ("open", "close", "high", "low")],
-        F.expr("coalesce(try_cast(window_start AS BIGINT), "
-               "cast(try_cast(window_start AS DOUBLE) AS BIGINT))").alias("window_start"),
-        _long("transactions"),
+        _long("window_start"), _long("transactions"),
     )
     return typed.filter(F.col("ticker").isin(tickers)) if tickers else typed
 
@@ -60,7 +59,7 @@ def convert_flat_file(spark: SparkSession, source: str, target: str) -> DataFram
 def require_columns(df: DataFrame, names: list[str]) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:
-        raise DataValidationError(f"Missing columns: {missing}")
+        raise DataValidationError(f"the file header lacks {', '.join(missing)}")
 
 
 def list_files(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
@@ -114,4 +113,6 @@ def _double(name: str):
 
 
 def _long(name: str):
-    return F.col(name).try_cast("double").cast("bigint").alias(name)
+    """Whole numbers keep every digit; only other spellings go through double."""
+    text = F.col(name)
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint")).alias(name)

@@ -84,14 +84,14 @@ def dividends_filter(spark, sf_dir):
 
 _DIRECTORY_SQL = (
     "SELECT 'P' || p_partkey AS ticker, p_name AS name, p_type AS type, p_brand AS market, "
-    "CAST(p_size AS BIGINT) AS exchange, p_retailprice >= 1000 AS active FROM part")
+    "CAST(p_size AS BIGINT) AS exchange, p_retailprice >= 930 AS active FROM part")
 
 
 def directory(spark, sf_dir):
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("P"), F.col("p_partkey")).alias("ticker"), F.col("p_name").alias("name"),
         F.col("p_type").alias("type"), F.col("p_brand").alias("market"), F.col("p_size").alias("exchange"),
-        (F.col("p_retailprice") >= 1000).alias("active"))
+        (F.col("p_retailprice") >= 930).alias("active"))
 
 
 @query("tickers_search", sql(
@@ -230,14 +230,16 @@ def _named(found):
 
 @query("condition_lookup", sql(_CONDITIONS_SQL, "trades"))
 def condition_lookup(spark, sf_dir):
-    return _named(refdata.with_condition_names(
-        trades_with_conditions(spark, sf_dir), conditions(spark, sf_dir), ["sequence"]))
+    return _named(refdata.with_condition_names(trades_with_conditions(spark, sf_dir), conditions(spark, sf_dir)))
 
 
-@query("condition_lookup_joined", sql(_CONDITIONS_SQL, "trades"))
+@query("condition_lookup_joined", sql(
+    _CONDITIONS_SQL.replace("SELECT sequence", "SELECT CASE WHEN size > 5 THEN sequence END AS sequence").replace(
+        "FROM trades", "FROM (FROM trades UNION ALL FROM trades)"), "trades"))
 def condition_lookup_joined(spark, sf_dir):
-    codes = conditions(spark, sf_dir).select("id", "name", F.col("update_rules.consolidated.updates_high_low"))
-    return _named(refdata._with_code_join(trades_with_conditions(spark, sf_dir), codes, ["sequence"]))
+    """Trades that come twice, many of them without a key: each row keeps its own names."""
+    once = trades_with_conditions(spark, sf_dir).withColumn("sequence", F.when(F.col("size") > 5, F.col("sequence")))
+    return _named(refdata.with_condition_names(once.union(once), conditions(spark, sf_dir)))
 
 
 def news(spark, sf_dir):

@@ -15,12 +15,13 @@ from barloom.session import work_dir
 from barloom.sources import flatfiles
 from barloom.sources.barstore import BarStore, map_chunks
 from barloom.workload import query
-from barloom.workload.inputs import BASE, TICKERS, bars, corr, moment, once, portable, r, ratio, sql
+from barloom.workload.inputs import BASE, TICKERS, bars, corr, moment, once, portable, r, ratio, sql, table
 
 _BAR_SQL = (f"ticker, {moment('window_start_et')} AS window_start_et, {r('open')} AS open, {r('high')} AS high, "
             f"{r('low')} AS low, {r('close')} AS close, volume, transactions, year")
 _ROWS_SQL = f"SELECT {_BAR_SQL} FROM hours_bars"
 
+
 def raw_bars(spark, sf_dir):
     """Minute bars in the raw layout: epoch nanoseconds, columns in flat-file order."""
     utc = clock.to_utc(F.col("window_start_et"))
@@ -203,15 +204,23 @@ def compaction_report(spark, sf_dir):
         F.lit(report.files_after).cast("bigint").alias("files_after")))
 
 
-@query("corrupt_repair", sql(_ROWS_SQL, "hours_bars"))
+# A ticker with a slash and one with a space must not be taken for damage.
+_ODD_NAMES = "CASE ticker WHEN 'SIGNUP' THEN 'SIGN/UP' WHEN 'CLICK' THEN 'CL ICK' ELSE ticker END"
+
+
+def _store_with_odd_names(spark, sf_dir, label):
+    """A store with two odd tickers and one file of text in it."""
+    target = work_dir(spark, label)
+    ingest.write_bars(store(spark, sf_dir).scan().withColumn("ticker", F.expr(_ODD_NAMES)), target)
+    bars(spark, sf_dir).filter("ticker = 'VIEW'").select(F.to_json(F.struct("*"))).write.text(f"{target}-text")
+    _copy_as_parquet(spark, f"{target}-text", f"{target}/year=2024/ticker=VIEW")
+    return target
+
+
+@query("corrupt_repair", sql(f"SELECT * REPLACE ({_ODD_NAMES} AS ticker) FROM ({_ROWS_SQL})", "hours_bars"))
 def corrupt_repair(spark, sf_dir):
-    """A store with one file of text in it: found, and its partition rebuilt from the flat files."""
-    target = work_dir(spark, "repair")
-    ingest.write_bars(store(spark, sf_dir).scan(), target)
-    broken = f"{target}/year=2024/ticker=VIEW"
-    bars(spark, sf_dir).filter("ticker = 'VIEW'").select(F.to_json(F.struct("*"))).write.mode("append") \
-        .option("fileExtension", "parquet").text(f"{target}-text")
-    _copy_as_parquet(spark, f"{target}-text", broken)
+    """The damaged file is found, and its partition rebuilt from the flat files."""
+    target = _store_with_odd_names(spark, sf_dir, "repair")
     maintain.repair(spark, target, flat_files(spark, sf_dir))
     return _clean(BarStore(spark, target).scan())
 
@@ -229,13 +238,26 @@ def _copy_as_parquet(spark, source, folder):
 
 @query("corrupt_list", "SELECT DISTINCT CAST(2024 AS BIGINT) AS year, 'VIEW' AS ticker FROM events WHERE event_type = 'view'")
 def corrupt_list(spark, sf_dir):
-    target = work_dir(spark, "corrupt")
-    ingest.write_bars(store(spark, sf_dir).scan(), target)
-    bars(spark, sf_dir).filter("ticker = 'VIEW'").select(F.to_json(F.struct("*"))).write.text(f"{target}-text")
-    _copy_as_parquet(spark, f"{target}-text", f"{target}/year=2024/ticker=VIEW")
+    target = _store_with_odd_names(spark, sf_dir, "corrupt")
     return portable(maintain.corrupt_files(spark, target, deep=True).select("year", "ticker"))
 
 
+@query("ingest_dirty", "SELECT CASE WHEN l_linenumber > 3 THEN NULL WHEN l_linenumber = 1 THEN 9007199254740993 + l_orderkey "
+       "ELSE CAST(floor(l_quantity) AS BIGINT) END AS volume, count(*) AS n FROM lineitem GROUP BY 1")
+def ingest_dirty(spark, sf_dir):
+    """Flat files with volumes beyond 2^53, with fractions, not a number, out of range and empty."""
+    line = table(spark, sf_dir, "lineitem")
+    number = F.col("l_linenumber")
+    text = F.when(number == 1, (F.lit(9007199254740993) + F.col("l_orderkey")).cast("string")).when(
+        number <= 3, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(".75"))).when(
+        number == 4, "NaN").when(number == 5, "1e30").when(number == 6, "").otherwise("many")
+    target = work_dir(spark, "dirty")
+    line.select(F.concat(F.lit("P"), F.col("l_partkey")).alias("ticker"), text.alias("volume"), *[
+        F.col("l_extendedprice").alias(c) for c in ("open", "close", "high", "low")],
+        F.lit(1738767123000000000).alias("window_start"), number.alias("transactions")).write.option("header", True).csv(target)
+    return portable(flatfiles.read_raw_bars(spark, target).groupBy("volume").agg(F.count("*").alias("n")))
+
+
 @query("chunked_read", sql(
     f"SELECT ticker, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume, {r('sum(close)')} AS close "
     "FROM hours_bars WHERE window_start_et >= TIMESTAMP '2024-01-02 00:00:00' "

@@ -162,7 +162,7 @@ def test_missing_store(spark, tmp_path):
     with pytest.raises(DataNotFound):
         nowhere.scan()
     row = nowhere.health().first()
-    assert row.status == "unhealthy" and row.issues == ["No data partitions found"]
+    assert row.status == "unhealthy" and row.issues == ["the store holds no partition"]
     assert nowhere.stored_tickers().count() == 0
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom import schemas
 from barloom.errors import ConfigurationError, DataValidationError
 from barloom.operators import adjust, bars as barops, daily, refdata, rows, stats
-from barloom.session import broadcast_if_small, build_session, estimated_bytes, work_dir
+from barloom.session import broadcast_if_counted, build_session, counted_bytes, settled, steering, work_dir
 from barloom.sources import landed
 from barloom.sources.barstore import map_chunks
 
@@ -141,16 +141,16 @@ def test_comparison_filters(spark):
         kept(price_lt=1)
 
 
-def test_condition_names_by_map_and_by_join(spark):
+def test_condition_names_keep_every_trade(spark):
     trades = spark.createDataFrame(
-        [(1, [3, 9]), (2, []), (3, None), (4, [5])], "sequence INT, conditions ARRAY<INT>")
+        [(1, [3, 9]), (2, []), (3, None), (4, [5]), (4, [3]), (None, [5, 3]), (None, [5, 3])], "sequence INT, conditions ARRAY<INT>")
     codes = spark.createDataFrame([(3, "late", False), (5, "odd", True)], "id INT, name STRING, ok BOOLEAN").select(
         "id", "name", F.struct(F.struct(F.col("ok").alias("updates_high_low")).alias("consolidated")).alias("update_rules"))
-    want = {1: (["late", None], False), 2: ([], True), 3: (None, None), 4: (["odd"], True)}
-    flat = codes.select("id", "name", F.col("update_rules.consolidated.updates_high_low"))
-    for found in (refdata.with_condition_names(trades, codes, ["sequence"]),
-                  refdata._with_code_join(trades, flat, ["sequence"])):
-        assert {r.sequence: (r.condition_names, r.updates_high_low) for r in found.collect()} == want
+    found = refdata.with_condition_names(trades, codes)
+    assert found.columns == ["sequence", "conditions", "condition_names", "updates_high_low"]
+    assert sorted(((r.sequence, r.condition_names, r.updates_high_low) for r in found.collect()), key=str) == sorted([
+        (1, ["late", None], False), (2, [], True), (3, None, None), (4, ["odd"], True), (4, ["late"], False),
+        (None, ["odd", "late"], False), (None, ["odd", "late"], False)], key=str)
 
 
 def test_book_depth(spark):
@@ -220,20 +220,19 @@ def test_chunks_on_executors(spark, size):
     assert sum(got) == 12_345 and max(got) <= size
 
 
-def test_broadcast_only_below_the_limit(spark, tmp_path):
-    spark.range(10_000).write.parquet(str(tmp_path / "t"))
-    table = spark.read.parquet(str(tmp_path / "t"))
-    assert "broadcast" in broadcast_if_small(table)._jdf.queryExecution().logical().toString()
-    assert broadcast_if_small(table, estimated_bytes(table) - 1) is table
+def test_broadcast_goes_by_the_counted_size(spark):
+    packed = settled(spark.range(2000).select(F.repeat(F.lit("x"), 50_000).alias("t")), "packed")
+    hinted = "ResolvedHint"
+    assert counted_bytes(packed) > 100_000_000
+    assert hinted not in broadcast_if_counted(packed)._jdf.queryExecution().analyzed().toString()
+    small = settled(spark.range(100).toDF("k"), "small")
+    assert hinted in broadcast_if_counted(small)._jdf.queryExecution().analyzed().toString()
+    assert broadcast_if_counted(small, counted_bytes(small) - 1) is small
 
 
-def test_steering_tables_of_large_inputs_are_written(spark, tmp_path, monkeypatch):
-    from barloom import session
-    spark.range(1000).write.parquet(str(tmp_path / "t"))
-    counts = spark.read.parquet(str(tmp_path / "t")).groupBy((F.col("id") % 3).alias("k")).count()
-    assert "Aggregate" in session.steering(counts, "x")._jdf.queryExecution().analyzed().toString()
-    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 1)
-    read_back = session.steering(counts, "x")
+def test_steering_tables_are_always_written(spark):
+    counts = spark.range(1000).groupBy((F.col("id") % 3).alias("k")).count()
+    read_back = steering(counts, "x")
     assert "Aggregate" not in read_back._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, read_back.collect())) == sorted(map(tuple, counts.collect()))
 
