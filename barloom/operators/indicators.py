@@ -11,19 +11,16 @@ from pyspark.sql import functions as F
 from barloom.errors import DataValidationError
 from barloom.operators import series
 from barloom.operators.series import BLOCK, ROWS_PER_BLOCK
+from barloom.session import steering
 
 SERIES_TYPES = ("open", "high", "low", "close")
 MAX_LIMIT = 5000
-# exp(-42) is below double precision: older rows no longer change a smoothed value.
-_FORGET = 42.0
 # Powers of the decay stay within exp(+-600), inside the double range.
 _SPAN = 600.0
-# Up to this length a sliding frame is cheaper than differences of running sums.
-_SLIDING = 128
 
 
 def _cell(time: str, span: str) -> Column:
-    """Calendar cell of a bar. A month of minute bars is at most 45,000 rows; take days for denser series."""
+    """Calendar cell of a bar. A day of one-second bars is at most 86,400 rows."""
     day = F.to_date(time)
     return day if span == "day" else F.trunc(day, span)
 
@@ -35,7 +32,7 @@ def _price(series_type: str) -> str:
 
 
 def sma(bars: DataFrame, window: int, series_type: str = "close", out: str = "sma", key: str = "ticker",
-        time: str = "window_start_et", rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
+        time: str = "window_start_et", rows_per_block: int = ROWS_PER_BLOCK, cell: str = "day") -> DataFrame:
     """Mean of the last ``window`` bars; NULL until there are that many."""
     cut = series.cut_series(bars, [key], _cell(time, cell), window, rows_per_block)
     return series.keep_own(_add_mean(cut, [key], [time], _price(series_type), window, out))
@@ -43,21 +40,31 @@ def sma(bars: DataFrame, window: int, series_type: str = "close", out: str = "sm
 
 def _add_mean(cut: DataFrame, keys: list[str], order: list[str], price: str, window: int,
               out: str) -> DataFrame:
+    """Mean of the last ``window`` rows where all have a price, by sums of whole and part pieces.
+
+    Rows are cut into pieces of ``window`` rows. The last ``window`` rows of a row
+    are the end of the piece before and the beginning of its own: a running sum
+    from either side, added. Nothing is subtracted, so NaN, infinity and outliers
+    leave with their row, whatever the length.
+    """
     w = series.block_window(keys, order)
-    if window <= _SLIDING:
-        frame = w.rowsBetween(-(window - 1), W.currentRow)
-        full = F.count(price).over(frame) == window
-        return cut.withColumn(out, F.when(full, F.avg(price).over(frame)))
-    running = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = cut.withColumn("_s", F.sum(price).over(running)).withColumn("_n", F.count(price).over(running))
-    total = F.col("_s") - F.coalesce(F.lag("_s", window).over(w), F.lit(0.0))
-    count = F.col("_n") - F.coalesce(F.lag("_n", window).over(w), F.lit(0))
-    return summed.withColumn(out, F.when(count == window, total / window)).drop("_s", "_n")
+    placed = cut.withColumn("_at", F.row_number().over(w) - 1).withColumn("_piece", F.floor(F.col("_at") / window))
+    piece = W.partitionBy(*keys, BLOCK, "_piece")
+    head = piece.orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # What follows the row in its piece; NULL at the piece's end.
+    tail = piece.orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, -1)
+    summed = placed.withColumns({
+        "_head": F.sum(price).over(head), "_heads": F.count(price).over(head),
+        "_tail": F.sum(price).over(tail), "_tails": F.count(price).over(tail)})
+    before = W.partitionBy(*keys, BLOCK).orderBy("_at")
+    total = F.coalesce(F.lag("_tail", window).over(before), F.lit(0.0)) + F.col("_head")
+    count = F.coalesce(F.lag("_tails", window).over(before), F.lit(0)) + F.col("_heads")
+    return summed.withColumn(out, F.when(count == window, total / window)).drop("_at", "_piece", "_head", "_heads", "_tail", "_tails")
 
 
 def sma_cross(bars: DataFrame, fast: int = 10, slow: int = 40, series_type: str = "close",
               key: str = "ticker", time: str = "window_start_et",
-              rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
+              rows_per_block: int = ROWS_PER_BLOCK, cell: str = "day") -> DataFrame:
     """Bars where the fast average crosses the slow one: signal 1 upwards, -1 downwards.
 
     Upwards means fast below slow on the bar before and above it now; both
@@ -73,101 +80,106 @@ def sma_cross(bars: DataFrame, fast: int = 10, slow: int = 40, series_type: str
     return series.keep_own(cut.withColumn("signal", signal)).filter(F.col("signal").isNotNull())
 
 
-def _decay_rows(alpha: float) -> int:
-    """Rows after which a smoothed value has forgotten its start."""
-    return 1 if alpha >= 1 else math.ceil(_FORGET / -math.log1p(-alpha))
-
+def _smoothed(df: DataFrame, keys: list[str], order: list[str],
+              averages: list[tuple[str, str, float]]) -> DataFrame:
+    """Add ``out = alpha * x + (1 - alpha) * previous out`` per ``(x, out, alpha)``, for a frame with blocks.
 
-def _add_ema(cut: DataFrame, keys: list[str], order: list[str],
-             averages: list[tuple[str, str, float]]) -> DataFrame:
-    """Add ``out = alpha * x + (1 - alpha) * previous out`` per ``(x, out, alpha)``,
-    seeded with the first value.
-
-    Inside a block rows are dealt into short pieces, each preceded by enough rows
-    to forget its seed. There the recursion equals a running sum of ``x / decay^i``
-    times ``decay^i``, so it stays a built-in window expression; the pieces reuse
-    the block's partitioning and cause no shuffle.
+    Only values that are not NULL count: the first is the seed, and a NULL keeps
+    the last average. All ``x`` are NULL on the same rows. Over a piece of values
+    the recursion maps the average before it to the one after it: what it decays
+    to, plus what the piece adds by itself. The latter is a running sum of
+    ``x / decay^i`` times ``decay^i``. The few pieces of a key are chained, and each
+    row adds what its piece's beginning decays to. No history is cut off.
     """
-    plain = {out: F.col(x) for x, out, alpha in averages if alpha >= 1}
-    folded = [(x, out, alpha) for x, out, alpha in averages if alpha < 1]
-    if plain:
-        cut = cut.withColumns(plain)
-    if not folded:
-        return cut
-    rates = [-math.log1p(-alpha) for _, _, alpha in folded]
-    back = max(_decay_rows(alpha) for _, _, alpha in folded)
-    step = int(_SPAN / max(rates)) - back
-    if step < back and len(folded) > 1:
-        # Decays too different to share pieces.
-        for one in folded:
-            cut = _add_ema(cut, keys, order, [one])
-        return cut
-    step = max(step, 1)
-    w = W.partitionBy(*keys, BLOCK).orderBy(*order)
-    at, piece = F.col("_at"), F.col("_piece")
-    placed = cut.withColumns({
-        "_at": F.row_number().over(w) - 1,
-        **{f"_late{i}": F.lag(x).over(w).isNull() for i, (x, _, _) in enumerate(folded)}})
-    dealt = placed.withColumn(
-        "_piece", F.explode(F.sequence(F.floor(at / step), F.floor((at + back) / step))))
-    dealt = dealt.withColumn("_offset", at - F.greatest(piece * step - back, F.lit(0)))
-    running = W.partitionBy(*keys, BLOCK, "_piece").orderBy("_at").rowsBetween(
-        W.unboundedPreceding, W.currentRow)
-    values = {}
-    for i, ((x, out, alpha), rate) in enumerate(zip(folded, rates)):
-        # The seed is a piece's first row, or the second one of a series that starts with NULL.
-        seed = (F.col("_offset") == 0) | ((at == 1) & F.col(f"_late{i}"))
-        term = F.when(seed, 1.0).otherwise(alpha) * F.col(x) * F.exp(F.col("_offset") * rate)
-        total = F.sum(F.coalesce(term, F.lit(0.0))).over(running) * F.exp(F.col("_offset") * -rate)
-        values[out] = F.when((at > 0) | F.col(x).isNotNull(), total)
-    return dealt.withColumns(values).filter(F.floor(at / step) == piece).drop(
-        "_at", "_piece", "_offset", *[f"_late{i}" for i in range(len(folded))])
+    rates = [math.inf if alpha >= 1 else -math.log1p(-alpha) for _, _, alpha in averages]
+    step = max(1, int(_SPAN / max([r for r in rates if r < math.inf], default=1.0)))
+    w = series.block_window(keys, order)
+    running = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = df.withColumn("_at", F.row_number().over(w)).withColumn("_rank", F.count(averages[0][0]).over(running)).withColumn(
+        "_piece", F.expr(f"(greatest(_rank, 1) - 1) div {step}")).withColumn("_offset", F.col("_rank") - F.col("_piece") * step)
+    inside = W.partitionBy(*keys, BLOCK, "_piece").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def decay(rate: float, offset: Column) -> Column:
+        return F.when(offset == 0, 1.0).otherwise(0.0) if rate == math.inf else F.exp(offset * -rate)
+
+    added = {}
+    for i, ((x, _, alpha), rate) in enumerate(zip(averages, rates)):
+        value = F.last(x, True).over(inside) if rate == math.inf else \
+            F.sum(F.col(x) * F.exp(F.col("_offset") * rate)).over(inside) * alpha * F.exp(F.col("_offset") * -rate)
+        added[f"_own{i}"] = F.coalesce(value, F.lit(0.0))
+    pieces = ranked.withColumns(added)
+    n = range(len(averages))
+    summed = pieces.groupBy(*keys, BLOCK, "_piece").agg(
+        F.max("_offset").alias("_count"), *[F.max_by(f"_own{i}", "_at").alias(f"_own{i}") for i in n],
+        *[F.min_by(x, F.when(F.col(x).isNotNull(), F.col("_at"))).alias(f"_first{i}") for i, (x, _, _) in enumerate(averages)])
+    listed = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        BLOCK, "_piece", "_count", *[f"_own{i}" for i in n], *[f"_first{i}" for i in n]))).alias("_pieces"))
+    double = F.lit(None).cast("double")
+
+    def chain(state: Column, p: Column) -> Column:
+        start = [F.coalesce(state[f"s{i}"], p[f"_first{i}"]) for i in n]
+        end = [F.when(p["_count"] == 0, state[f"s{i}"]).otherwise(start[i] * decay(rates[i], p["_count"]) + p[f"_own{i}"]) for i in n]
+        before = F.struct(p[BLOCK].alias("_b"), p["_piece"].alias("_p"), state["s0"].isNotNull().alias("_known"),
+                          *[start[i].alias(f"_start{i}") for i in n])
+        return F.struct(*[e.alias(f"s{i}") for i, e in enumerate(end)], F.concat(state["out"], F.array(before)).alias("out"))
+
+    kind = "array<struct<_b:bigint,_p:bigint,_known:boolean," + ",".join(f"_start{i}:double" for i in n) + ">>"
+    chained = listed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.inline(F.aggregate(
+        "_pieces", F.struct(*[double.alias(f"s{i}") for i in n], F.array().cast(kind).alias("out")), chain)["out"]))
+    match = (F.col(BLOCK) == F.col("_b")) & (F.col("_piece") == F.col("_p"))
+    for i, k in enumerate(keys):
+        match = match & pieces[k].eqNullSafe(F.col(f"_k{i}"))
+    joined = pieces.join(steering(chained, "pieces"), match)
+    known = F.col("_known") | (F.col("_rank") > 0)
+    return joined.select(*df.columns, *[
+        F.when(known, F.col(f"_start{i}") * decay(rates[i], F.col("_offset")) + F.col(f"_own{i}")).alias(out)
+        for i, (_, out, _) in enumerate(averages)])
 
 
 def ema(bars: DataFrame, window: int, series_type: str = "close", out: str = "ema", key: str = "ticker",
-        time: str = "window_start_et", rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
-    """Exponential average with ``alpha = 2 / (window + 1)``, seeded with the first value."""
-    alpha = 2.0 / (window + 1)
-    cut = series.cut_series(bars, [key], _cell(time, cell), _decay_rows(alpha), rows_per_block)
-    return series.keep_own(_add_ema(cut, [key], [time], [(_price(series_type), out, alpha)]))
+        time: str = "window_start_et", rows_per_block: int = ROWS_PER_BLOCK, cell: str = "day") -> DataFrame:
+    """Exponential average with ``alpha = 2 / (window + 1)``, seeded with the first price; NULL prices keep it."""
+    cut = series.block_series(bars, [key], _cell(time, cell), rows_per_block)
+    return _smoothed(cut, [key], [time], [(_price(series_type), out, 2.0 / (window + 1))]).drop(BLOCK)
 
 
 def rsi(bars: DataFrame, window: int = 14, series_type: str = "close", out: str = "rsi",
         key: str = "ticker", time: str = "window_start_et",
-        rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
+        rows_per_block: int = ROWS_PER_BLOCK, cell: str = "day") -> DataFrame:
     """Relative strength index with Wilder smoothing, ``alpha = 1 / window``.
 
-    NULL on the first bar; 100 when the smoothed loss is zero.
+    NULL up to the first price; 100 when the smoothed loss is zero. A change is
+    taken from the last price that is not NULL; a NULL price keeps the index.
     """
     alpha = 1.0 / window
     price = _price(series_type)
-    cut = series.cut_series(bars, [key], _cell(time, cell), _decay_rows(alpha) + 1, rows_per_block)
-    change = F.col(price) - F.lag(price).over(series.block_window([key], [time]))
+    cut = series.block_series(bars, [key], _cell(time, cell), rows_per_block, {"_earlier": F.col(price)}, [time])
+    before = series.block_window([key], [time]).rowsBetween(W.unboundedPreceding, -1)
+    change = F.col(price) - F.coalesce(F.last(price, True).over(before), F.col("_earlier"))
     cut = cut.withColumn("_change", change)
     cut = cut.withColumn("_gain", F.greatest("_change", F.lit(0.0) * F.col("_change")))
     cut = cut.withColumn("_loss", F.greatest(-F.col("_change"), F.lit(0.0) * F.col("_change")))
-    smooth = _add_ema(
-        cut, [key], [time], [("_gain", "_up_avg", alpha), ("_loss", "_down_avg", alpha)])
+    smooth = _smoothed(cut, [key], [time], [("_gain", "_up_avg", alpha), ("_loss", "_down_avg", alpha)])
     strength = F.try_divide(F.col("_up_avg"), F.col("_down_avg"))
     index = F.when(F.col("_down_avg") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + strength))
-    return series.keep_own(smooth.withColumn(out, F.when(F.col("_down_avg").isNotNull(), index))).drop(
-        "_change", "_gain", "_loss", "_up_avg", "_down_avg")
+    return smooth.withColumn(out, F.when(F.col("_down_avg").isNotNull(), index)).drop(
+        BLOCK, "_earlier", "_change", "_gain", "_loss", "_up_avg", "_down_avg")
 
 
 def macd(bars: DataFrame, short: int = 12, long: int = 26, signal: int = 9, series_type: str = "close",
          key: str = "ticker", time: str = "window_start_et",
-         rows_per_block: int = ROWS_PER_BLOCK, cell: str = "month") -> DataFrame:
-    """``macd`` (short EMA minus long EMA), its EMA ``signal``, and their ``histogram``."""
+         rows_per_block: int = ROWS_PER_BLOCK, cell: str = "day") -> DataFrame:
+    """``macd`` (short EMA minus long EMA), its EMA ``signal``, and their ``histogram``; NULL prices keep all three."""
     if short >= long:
         raise DataValidationError("the short window must be below the long window")
     price = _price(series_type)
     alphas = [2.0 / (n + 1) for n in (short, long, signal)]
-    lookback = _decay_rows(alphas[1]) + _decay_rows(alphas[2])
-    cut = series.cut_series(bars, [key], _cell(time, cell), lookback, rows_per_block)
-    cut = _add_ema(cut, [key], [time], [(price, "_short", alphas[0]), (price, "_long", alphas[1])])
-    cut = cut.withColumn("macd", F.col("_short") - F.col("_long")).drop("_short", "_long")
-    cut = _add_ema(cut, [key], [time], [("macd", "signal", alphas[2])])
-    return series.keep_own(cut.withColumn("histogram", F.col("macd") - F.col("signal")))
+    cut = series.block_series(bars, [key], _cell(time, cell), rows_per_block)
+    cut = _smoothed(cut, [key], [time], [(price, "_short", alphas[0]), (price, "_long", alphas[1])])
+    cut = cut.withColumn("macd", F.col("_short") - F.col("_long")).withColumn(
+        "_value", F.when(F.col(price).isNotNull(), F.col("macd"))).drop("_short", "_long")
+    cut = _smoothed(cut, [key], [time], [("_value", "signal", alphas[2])])
+    return cut.withColumn("histogram", F.col("macd") - F.col("signal")).drop(BLOCK, "_value")
 
 
 def latest_values(indicator: DataFrame, limit: int = 10, order: str = "desc",

@@ -18,6 +18,21 @@ OWN = "_own"
 ROWS_PER_BLOCK = 200_000
 
 
+def _joined(df: DataFrame, keys: list[str], cell: Column, steer: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``steer`` for its key and cell; NULL keys and NULL cells find their own."""
+    named = steer.withColumnsRenamed({**{k: f"_k{i}" for i, k in enumerate(keys)}, "_cell": "_kc"})
+    match = cell.eqNullSafe(F.col("_kc"))
+    for i, k in enumerate(keys):
+        match = match & df[k].eqNullSafe(F.col(f"_k{i}"))
+    return df.join(named, match).drop("_kc", *[f"_k{i}" for i in range(len(keys))])
+
+
+def _ends(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with the number of rows up to their end; NULL times come first, as in a window."""
+    so_far = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return cells.withColumn("_end", F.sum("_rows").over(so_far))
+
+
 def cut_series(df: DataFrame, keys: list[str], cell: Column, lookback: int,
                rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Split each key's series into blocks that also carry the rows just before them.
@@ -29,13 +44,12 @@ def cut_series(df: DataFrame, keys: list[str], cell: Column, lookback: int,
     A window over ``keys + [_block]`` that looks back at most ``lookback`` rows is
     then exact on the ``_own`` rows.
 
-    Keys and cells must not be NULL. The window over cells is bounded by the
-    time span of the data, not by its rows. On large inputs the counts are taken
-    when this is called; the rows are then shuffled once, by key and block.
+    Rows with a NULL key or time stay, as they do in a plain window. The window
+    over cells is bounded by the time span of the data, not by its rows. The
+    counts are taken when this is called; the rows are then shuffled once, by key
+    and block.
     """
-    cells = df.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_rows"))
-    so_far = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = cells.withColumn("_end", F.sum("_rows").over(so_far)).select(
+    placed = _ends(df.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_rows")), keys).select(
         *keys, "_cell",
         F.floor((F.col("_end") - F.col("_rows")) / rows_per_block).alias("_home"),
         F.floor((F.col("_end") + (lookback - 1)) / rows_per_block).alias("_last"),
@@ -46,8 +60,24 @@ def cut_series(df: DataFrame, keys: list[str], cell: Column, lookback: int,
     real = F.max(F.col("_home") == F.col(BLOCK)).over(W.partitionBy(*keys, BLOCK))
     copies = copies.withColumn("_real", real).filter("_real").select(
         *keys, "_cell", BLOCK, (F.col("_home") == F.col(BLOCK)).alias(OWN))
-    steer = steering(copies, "cells")
-    return df.withColumn("_cell", cell).join(steer, [*keys, "_cell"]).drop("_cell")
+    return _joined(df, keys, cell, steering(copies, "cells"))
+
+
+def block_series(df: DataFrame, keys: list[str], cell: Column, rows_per_block: int = ROWS_PER_BLOCK,
+                 carried: dict[str, Column] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Number the blocks as :func:`cut_series` does, without copies.
+
+    ``carried`` adds, per name, the last value that is not NULL in the cells
+    before the row's own, with rows inside a cell in ``order``.
+    """
+    last = [F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias(f"_v_{name}")
+            for name, value in (carried or {}).items()]
+    cells = df.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_rows"), *last)
+    earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    steer = _ends(cells, keys).select(
+        *keys, "_cell", F.floor((F.col("_end") - F.col("_rows")) / rows_per_block).alias(BLOCK),
+        *[F.last(f"_v_{name}", True).over(earlier).alias(name) for name in carried or {}])
+    return _joined(df, keys, cell, steering(steer, "cells"))
 
 
 def block_window(keys: list[str], order: list[str]):
@@ -67,8 +97,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], cell: Colum
     before = cells.select(*keys, "_cell", *[
         F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_b_{name}") for name in totals])
     inside = W.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    steer = steering(before, "cells")
-    joined = df.withColumn("_cell", cell).join(steer, [*keys, "_cell"])
+    joined = _joined(df.withColumn("_cell", cell), keys, F.col("_cell"), steering(before, "cells"))
     return joined.select(*df.columns, *[
         (F.col(f"_b_{name}") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias(name)
         for name, value in totals.items()])

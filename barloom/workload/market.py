@@ -309,6 +309,24 @@ def sma_long(spark, sf_dir):
         "ticker", "window_start_et", "sma"))
 
 
+@query("sma_with_gaps", sql(
+    f"SELECT ticker, {moment('t')} AS window_start_et, CASE WHEN isnan(m) THEN -1 ELSE {r('m')} END AS sma FROM ("
+    "SELECT ticker, t, CASE WHEN count(close) OVER w = 25 THEN avg(close) OVER w END AS m FROM gappy "
+    "WINDOW w AS (PARTITION BY ticker ORDER BY t NULLS FIRST ROWS BETWEEN 24 PRECEDING AND CURRENT ROW))",
+    "bars", gappy=(
+        "SELECT ticker, CASE WHEN window_start_et > min(window_start_et) OVER (PARTITION BY ticker) THEN window_start_et END AS t, "
+        "CASE WHEN volume % 40 = 7 THEN NULL WHEN volume % 50 = 11 THEN CAST('NaN' AS DOUBLE) ELSE close END AS close FROM bars")))
+def sma_with_gaps(spark, sf_dir):
+    """NULL and NaN prices, and a NULL time per ticker: every row stays, and NaN leaves the mean with its row."""
+    base = stored_bars(spark, sf_dir)
+    first = base.groupBy(F.col("ticker").alias("_t")).agg(F.min("window_start_et").alias("_first"))
+    gappy = base.join(first, F.col("ticker") == F.col("_t")).select(
+        "ticker", F.when(F.col("window_start_et") > F.col("_first"), F.col("window_start_et")).alias("window_start_et"),
+        F.when(F.col("volume") % 40 == 7, None).when(F.col("volume") % 50 == 11, float("nan")).otherwise(F.col("close")).alias("close"))
+    found = indicators.sma(gappy, 25)
+    return portable(found.select("ticker", "window_start_et", F.when(F.isnan("sma"), -1.0).otherwise(F.col("sma")).alias("sma")))
+
+
 @query("sma_cross", sql(
     f"SELECT ticker, {moment('window_start_et')} AS window_start_et, {r('fast')} AS fast_sma, "
     f"{r('slow')} AS slow_sma, CAST(CASE WHEN before < 0 THEN 1 ELSE -1 END AS BIGINT) AS signal FROM ("
@@ -339,6 +357,23 @@ def ema(spark, sf_dir):
     return portable(indicators.ema(stored_bars(spark, sf_dir), 20).select("ticker", "window_start_et", "ema"))
 
 
+@query("ema_of_filled_bars", sql(
+    f"SELECT g.ticker, {moment('g.slot')} AS bar_start, "
+    + r("last_value(f.ema IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.slot ROWS UNBOUNDED PRECEDING)")
+    + " AS ema FROM grid g LEFT JOIN folded f ON f.ticker = g.ticker AND f.b = g.slot",
+    "bars", recursive=True, grid=_GRID, closes5=(
+        "SELECT ticker, b, close, row_number() OVER (PARTITION BY ticker ORDER BY b) AS n FROM ("
+        f"SELECT ticker, {_FIVE} AS b, arg_max(close, window_start_et) AS close FROM bars GROUP BY ALL)"),
+    folded=(
+        "SELECT ticker, b, n, close AS ema FROM closes5 WHERE n = 1 UNION ALL "
+        "SELECT x.ticker, x.b, x.n, x.close * 2.0 / 13 + f.ema * 11.0 / 13 "
+        "FROM folded f JOIN closes5 x ON x.ticker = f.ticker AND x.n = f.n + 1")))
+def ema_of_filled_bars(spark, sf_dir):
+    """Filled slots have no price: they keep the average and do not count."""
+    filled = barops.resample(stored_bars(spark, sf_dir), fill_gaps=True)
+    return portable(indicators.ema(filled, 12, time="bar_start").select("ticker", "bar_start", "ema"))
+
+
 @query("rsi", sql(
     f"SELECT ticker, {moment('window_start_et')} AS window_start_et, CASE WHEN n > 1 THEN "
     + r("CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END") + " END AS rsi FROM folded",

@@ -162,10 +162,81 @@ def test_argument_errors(bars):
         indicators.latest_values(bars, 0)
 
 
-def test_decay_is_below_double_precision():
-    for n in (2, 20, 5000):
-        alpha = 2 / (n + 1)
-        assert (1 - alpha) ** indicators._decay_rows(alpha) < math.ulp(1.0) / 100
+def gaps(spark):
+    """NULL, NaN and huge prices, NULL times and a NULL ticker."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for ticker in ("A", "B", None):
+        for i in range(600):
+            price = float(rng.integers(100, 200)) / 4
+            price = None if i < 3 or i % 7 == 2 or 200 <= i < 330 else price
+            rows.append((ticker, i * 3600, price))
+    rows += [("A", None, 7.0), ("B", None, None)]
+    return spark.createDataFrame(rows, "ticker STRING, s BIGINT, close DOUBLE").select(
+        "ticker", F.timestamp_add("SECOND", F.col("s"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("window_start_et"), "close")
+
+
+def by_key(df, *columns):
+    """Rows per ticker in window order: NULL times first."""
+    found = {}
+    for r in df.collect():
+        found.setdefault(r.ticker, []).append(r)
+    return {k: [tuple(r[c] for c in columns) for r in sorted(v, key=lambda r: (r.window_start_et is not None, r.window_start_et or 0))]
+            for k, v in found.items()}
+
+
+@pytest.mark.parametrize("block", [50, 100_000])
+def test_smoothing_skips_nulls_and_keeps_every_row(spark, block):
+    bars = gaps(spark)
+    for name, got in (("ema", by_key(indicators.ema(bars, 9, rows_per_block=block), "close", "ema")),
+                      ("macd", by_key(indicators.macd(bars, 3, 8, 4, rows_per_block=block), "close", "macd", "signal"))):
+        assert sum(map(len, got.values())) == 1802
+        for rows in got.values():
+            s = pd.Series([r[0] for r in rows], dtype=float)
+            real = s.dropna()
+            if name == "ema":
+                want = pd.DataFrame({"ema": real.ewm(span=9, adjust=False).mean()})
+            else:
+                m = real.ewm(span=3, adjust=False).mean() - real.ewm(span=8, adjust=False).mean()
+                want = pd.DataFrame({"macd": m, "signal": m.ewm(span=4, adjust=False).mean()})
+            want = want.reindex(s.index).ffill()
+            for k, column in enumerate(want.columns, 1):
+                same(pd.Series([r[k] for r in rows], dtype=float), want[column])
+
+
+@pytest.mark.parametrize("block", [50, 100_000])
+def test_rsi_skips_nulls(spark, block):
+    for rows in by_key(indicators.rsi(gaps(spark), 5, rows_per_block=block), "close", "rsi").values():
+        s = pd.Series([r[0] for r in rows], dtype=float)
+        same(pd.Series([r[1] for r in rows], dtype=float), pandas_rsi(s.dropna(), 5).reindex(s.index).ffill())
+
+
+def test_prices_after_a_gap(spark):
+    rows = [(i, p) for i, p in enumerate([None, None, 10.0, 10.0, None, None, None, 10.0])]
+    bars = spark.createDataFrame(rows, "i INT, close DOUBLE").select(
+        F.lit("X").alias("ticker"), F.timestamp_add("HOUR", F.col("i"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("window_start_et"), "close")
+    assert [r[0] for r in by_key(indicators.ema(bars, 3), "ema")["X"]] == [None, None] + [pytest.approx(10.0)] * 6
+
+
+@pytest.mark.parametrize("window", [127, 128, 129, 500])
+def test_outliers_leave_the_mean_with_their_row(spark, window):
+    values = [math.nan, 1e17, math.inf] + [1.0] * 1200
+    values[700] = None
+    bars = spark.createDataFrame(list(enumerate(values)), "i INT, close DOUBLE").select(
+        F.lit("X").alias("ticker"), F.timestamp_add("MINUTE", F.col("i"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("window_start_et"), "close")
+    for block in (100, 100_000):
+        got = [r[0] for r in by_key(indicators.sma(bars, window, rows_per_block=block), "sma")["X"]]
+        clean = [i for i in range(window + 2, len(values)) if not i - window < 700 <= i]
+        assert all(got[i] == 1.0 for i in clean)
+        assert got[:window - 1] == [None] * (window - 1) and math.isnan(got[window - 1])
+        assert all(got[i] is None for i in range(700, min(700 + window, len(values))))
+
+
+def test_running_totals_keep_rows_without_key_or_time(spark):
+    trades = spark.createDataFrame([("A", None, 1, 2.0), (None, "2024-01-01 10:00:00", 3, 4.0), ("A", "2024-01-01 10:00:00", 5, 6.0)],
+                                   "ticker STRING, t STRING, size BIGINT, price DOUBLE").selectExpr(
+        "ticker", "CAST(t AS TIMESTAMP_NTZ) AS ts_et", "size", "price", "0 AS sequence")
+    assert sorted(r.accumulated_volume for r in indicators.running_day_vwap_of_trades(trades).collect()) == [1, 3, 5]
 
 
 @pytest.mark.parametrize("made", [
