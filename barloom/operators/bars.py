@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,13 +46,24 @@ def _whole(value: Column, length: int) -> Column:
     return (F.floor(value / length) * length).cast("int")
 
 
+def in_sequence(time_number: Column, sequence: Column) -> Column:
+    """One number that orders by time, then sequence; NULL comes first in either.
+
+    A fixed-width value keeps the aggregation a hash aggregation; a struct would
+    sort every row by key before the first combine.
+    """
+    least = F.lit(-(1 << 63)).cast("bigint")
+    step = F.lit(Decimal(10) ** 19).cast("decimal(20,0)")
+    return F.coalesce(time_number, least).cast("decimal(19,0)") * step + F.coalesce(sequence.cast("bigint"), least).cast("decimal(20,0)")
+
+
 def bars_from_trades(trades: DataFrame, multiplier: int = 1, timespan: str = "minute", time: str = "ts",
                      sequence: str = "sequence", key: str = "ticker") -> DataFrame:
     """Trades with UTC times to market-time bars with VWAP and average size.
 
     Open and close follow ``(time, sequence)``, so equal times stay deterministic.
     """
-    first = F.struct(time, sequence)
+    first = in_sequence(clock.epoch_ns(F.col(time)), F.col(sequence))
     # Zone offsets are whole quarters of an hour: bars that fit into one are cut in
     # UTC, and only their starts are converted, not every trade.
     fits = timespan in _SECONDS and 900 % (multiplier * _SECONDS[timespan]) == 0
@@ -90,19 +103,28 @@ def resample(bars: DataFrame, multiplier: int = 5, timespan: str = "minute", fil
         raise DataValidationError("gaps are filled for bars of seconds, minutes or hours")
     # A ticker has one coarse bar per slot, so the calendar bounds this window.
     after = F.lead("bar_start").over(W.partitionBy(key).orderBy("bar_start"))
-    step = F.expr(f"INTERVAL {multiplier} {timespan.upper()}")
-    slots = F.when(F.col("_next").isNull(), F.array("bar_start")).otherwise(
-        F.sequence(F.col("bar_start"), F.col("_next") - step, step))
-    spread = coarse.withColumn("_next", after).select("*", F.explode(slots).alias("_slot"))
-    traded = F.col("_slot") == F.col("bar_start")
-    filled = spread.select(
-        key, F.col("_slot").alias("bar_start"),
+    step = multiplier * _SECONDS[timespan]
+    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+
+    def seconds(column: str) -> Column:
+        return F.timestamp_diff("SECOND", epoch, F.col(column))
+
+    # Slots are made day by day, and for the session only its own, so no row holds more than a day of them.
+    opens, closes = (clock.OPEN_MINUTE * 60, clock.CLOSE_MINUTE * 60 - 1) if session_only else (0, 86_399)
+    gaps = coarse.withColumn("_next", after).withColumn("_a", seconds("bar_start")).withColumn(
+        "_b", F.coalesce(seconds("_next") - step, F.col("_a")))
+    days = gaps.select("*", F.explode(F.sequence(F.expr("_a div 86400"), F.expr("_b div 86400"))).alias("_day"))
+    if session_only:
+        days = days.filter(F.weekday(F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day").cast("int"))) < 5)
+    low = F.greatest(F.col("_a"), F.col("_day") * 86_400 + opens)
+    spread = days.withColumn("_low", F.col("_a") + F.ceil((low - F.col("_a")) / step) * step).withColumn(
+        "_high", F.least(F.col("_b"), F.col("_day") * 86_400 + closes)).filter("_low <= _high")
+    slots = spread.select("*", F.explode(F.sequence("_low", "_high", F.lit(step).cast("bigint"))).alias("_slot"))
+    traded = F.col("_slot") == F.col("_a")
+    return slots.select(
+        key, F.timestamp_add("SECOND", F.col("_slot"), epoch).alias("bar_start"),
         *[F.when(traded, F.col(c)).alias(c) for c in ("open", "high", "low", "close")],
         *[F.when(traded, F.col(c)).otherwise(0).alias(c) for c in ("volume", "transactions")])
-    if not session_only:
-        return filled
-    start = F.col("bar_start")
-    return filled.filter(clock.in_trading_hours(start) & clock.is_weekday(start))
 
 
 def aggregate_bars(bars: DataFrame, multiplier: int, timespan: str, start=None, end=None,

@@ -36,13 +36,26 @@ def session_change(sessions: DataFrame) -> DataFrame:
 
 def top_movers(daily: DataFrame, day, direction: str = "gainers", n: int = 20,
                include_otc: bool = False) -> DataFrame:
-    """The ``n`` largest gains or losses in percent of one day against the previous close."""
+    """The ``n`` largest gains or losses in percent of one day against the previous close.
+
+    ``daily`` has one row per ticker and day; cut the bars it is made of at the
+    end of ``day`` so that later ones are not read.
+    """
     if direction not in ("gainers", "losers"):
         raise DataValidationError(f"direction is gainers or losers, not {direction!r}")
     rows = daily.filter(F.col("trade_date") <= F.lit(day).cast("date"))
     if not include_otc and "otc" in rows.columns:
         rows = rows.filter(~F.coalesce(F.col("otc"), F.lit(False)))
-    moved = with_previous_close(rows).filter(
-        (F.col("trade_date") == F.lit(day).cast("date")) & F.col("change_percent").isNotNull())
+    # The last close before the day combines before the shuffle; only rows of the day itself are kept whole.
+    today = F.lit(day).cast("date")
+    date = F.col("trade_date")
+    rest = [c for c in rows.columns if c != "ticker"]
+    picked = rows.groupBy("ticker").agg(
+        F.max_by("close", F.when(date < today, date)).alias("previous_close"),
+        F.max_by(F.struct(*rest), F.when(date == today, date)).alias("_today")).filter("_today IS NOT NULL")
+    moved = picked.select("ticker", "_today.*", "previous_close").withColumns({
+        "change": F.col("close") - F.col("previous_close"),
+        "change_percent": change_percent(F.col("close"), F.col("previous_close")),
+    }).filter("change_percent IS NOT NULL")
     by = F.col("change_percent").desc() if direction == "gainers" else F.col("change_percent").asc()
     return moved.orderBy(by, "ticker").limit(n)

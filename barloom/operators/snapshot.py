@@ -23,7 +23,10 @@ def last_quote(quotes: DataFrame, key: str = "ticker", time: str = "ts",
 
 
 def ticker_snapshot(bars: DataFrame, trades: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Latest day, previous day, last minute, last trade and last quote as nested structs."""
+    """Latest day, previous day, last minute, last trade and last quote as nested structs.
+
+    A ticker is listed if it has any of them.
+    """
     # One pass over the bars: days, each with its last minute.
     minute = F.struct(*[c for c in bars.columns if c != "ticker"])
     daily = bars.groupBy("ticker", F.to_date("window_start_et").alias("trade_date")).agg(
@@ -39,7 +42,7 @@ def ticker_snapshot(bars: DataFrame, trades: DataFrame, quotes: DataFrame) -> Da
     trade, quote = last_trade(trades), last_quote(quotes)
     trade = trade.select("ticker", F.struct(*[c for c in trade.columns if c != "ticker"]).alias("last_trade"))
     quote = quote.select("ticker", F.struct(*[c for c in quote.columns if c != "ticker"]).alias("last_quote"))
-    out = days.join(trade, "ticker", "left").join(quote, "ticker", "left")
+    out = days.join(trade, "ticker", "full").join(quote, "ticker", "full")
     return out.select(
         "ticker", "day", "prev_day", "min", "last_trade", "last_quote",
         (F.col("last_trade.price") - F.col("prev_day.close")).alias("todays_change"),

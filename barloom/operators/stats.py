@@ -10,8 +10,10 @@ from barloom.functions.ratios import correlation, vwap
 from barloom.session import steering
 
 QUARTILES = {"q1_price": 0.25, "median_price": 0.5, "q3_price": 0.75}
-# Value ranges per unit of log(1 + |value|): a range spans 0.2 percent of its value.
-RANGES_PER_LOG = 512
+# Value ranges per doubling: a range spans about 0.14 percent of its value, however small or large that is.
+RANGES_PER_DOUBLING = 512
+# Above the smallest exponent of a double, so that the ranges of positive values are positive.
+_SMALLEST = 1100
 
 
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
@@ -37,8 +39,9 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]
         one = (rank >= start) & (rank < F.col("_end"))
         holds = one if holds is None else holds | one
     wanted = cells.filter(holds).select(key, "_cell", "_total", start.alias("_before"))
-    steer = steering(wanted, "ranges")
-    counts = rows.join(steer, [key, "_cell"]).groupBy(key, "_cell", "_total", "_before", "_v").agg(
+    steer = steering(wanted.withColumnsRenamed({key: "_key", "_cell": "_range"}), "ranges")
+    met = rows.join(steer, rows[key].eqNullSafe(steer["_key"]) & (rows["_cell"] == steer["_range"]))
+    counts = met.groupBy(key, "_cell", "_total", "_before", "_v").agg(
         F.count("*").alias("_n"))
     inside = W.partitionBy(key, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).withColumn(
@@ -58,7 +61,8 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]
 
 def _value_range(number: Column) -> Column:
     """A whole number that never falls when the value rises."""
-    scaled = F.signum(number) * F.log1p(F.abs(number)) * RANGES_PER_LOG
+    size = F.when(number == 0, 0.0).otherwise(F.log2(F.abs(number)) + _SMALLEST)
+    scaled = F.signum(number) * size * RANGES_PER_DOUBLING
     return F.floor(F.greatest(F.least(scaled, F.lit(1e9)), F.lit(-1e9)))
 
 
@@ -78,7 +82,8 @@ def ticker_statistics(bars: DataFrame, key: str = "ticker") -> DataFrame:
         F.max("high").alias("max_price"),
         correlation(F.col("close"), F.col("volume")).alias("price_volume_correlation"),
     )
-    return plain.join(exact_quantiles(bars, key, "close", QUARTILES), key, "left")
+    quartiles = exact_quantiles(bars, key, "close", QUARTILES).withColumnRenamed(key, "_key")
+    return plain.join(quartiles, plain[key].eqNullSafe(quartiles["_key"]), "left").drop("_key")
 
 
 def daily_vwap(bars: DataFrame, key: str = "ticker", time: str = "window_start_et") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.ratios import vwap
+from barloom.operators.bars import in_sequence
 from barloom.streaming.events import market_time
 
 
@@ -17,7 +18,7 @@ def stream_bars(trades: DataFrame, size: str = "1 minute", delay: str | None = "
     input already carries one.
     """
     timed = trades.withWatermark("event_time", delay) if delay else trades
-    first = F.struct("timestamp", "sequence_number")
+    first = in_sequence(F.col("timestamp"), F.col("sequence_number"))
     grouped = timed.groupBy("symbol", F.window("event_time", size).alias("w")).agg(
         F.min_by("price", first).alias("open"),
         F.max("price").alias("high"),

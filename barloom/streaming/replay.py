@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import bar_start
+from barloom.session import scratch_dir
 
 ORDER = ["window_start_et", "ticker"]
 
@@ -18,17 +19,23 @@ def next_bars(bars: DataFrame) -> Iterator[Row]:
 
 
 def stage_replay(bars: DataFrame, path: str, timespan: str = "day") -> int:
-    """Write one folder of files per period, oldest first, and give the number of periods.
+    """Write one file per period, oldest first, and give the number of periods.
 
     A file stream takes older files first, so the write order is the replay
-    order. Periods are calendar values; only that list comes to the driver. Give
-    bars of a store partitioned by day, so that each step reads its own period.
+    order. The bars are cut into periods in one pass; each file is then made from
+    its own period alone. Only the list of periods, which the calendar bounds,
+    comes to the driver.
     """
+    spark = bars.sparkSession
     period = F.date_format(bar_start(F.col("window_start_et"), 1, timespan), "yyyy-MM-dd")
-    periods = [r[0] for r in bars.select(period.alias("p")).distinct().orderBy("p").collect()]
-    for label in periods:
-        bars.filter(period == label).sortWithinPartitions(*ORDER) \
-            .write.mode("overwrite").parquet(f"{path}/{label}")
+    with scratch_dir(spark, "periods") as cut:
+        bars.withColumn("_period", period).hint("rebalance", "_period").write.partitionBy("_period").parquet(cut)
+        folders = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(cut)
+        name = F.regexp_extract("path", "/_period=([0-9-]+)/", 1)
+        periods = [r[0] for r in folders.select(name.alias("p")).distinct().orderBy("p").collect()]
+        for label in periods:
+            spark.read.schema(bars.schema).parquet(f"{cut}/_period={label}").coalesce(1).sortWithinPartitions(*ORDER) \
+                .write.mode("overwrite").parquet(f"{path}/{label}")
     return len(periods)
 
 

@@ -460,7 +460,7 @@ def _movers_sql(direction: str) -> str:
 
 
 def _movers(spark, sf_dir, direction):
-    days = barops.aggregate_bars(stored_bars(spark, sf_dir, wide=True), 1, "day").withColumn(
+    days = barops.aggregate_bars(stored_bars(spark, sf_dir, wide=True), 1, "day", end="2024-01-16").withColumn(
         "trade_date", F.to_date("bar_start"))
     return portable(daily.top_movers(days, "2024-01-16", direction).select(
         "ticker", "close", "previous_close", "change_percent"))

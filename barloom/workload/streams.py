@@ -152,17 +152,16 @@ def stream_callback(spark, sf_dir):
     f"SELECT ticker, {moment('window_start_et')} AS window_start_et, {r('close')} AS close, "
     "true AS in_order FROM bars", "bars"))
 def replay_bars(spark, sf_dir):
-    """Bars replayed week by week; a bar is in order if no earlier batch holds a later week."""
+    """Bars replayed week by week: a batch is one week, and no bar comes before one of an earlier batch."""
     target = work_dir(spark, "replay")
-    dated = once(spark, sf_dir, "replay-source", lambda path: bars(spark, sf_dir).withColumn(
-        "trade_date", F.to_date("window_start_et")).write.partitionBy("trade_date").parquet(path))
-    replay.stage_replay(spark.read.schema(BAR_LAYOUT).parquet(dated), f"{target}/staged", "week")
-    stream = replay.replay_stream(stream_session(spark), f"{target}/staged", BAR_LAYOUT, 4)
+    replay.stage_replay(bars(spark, sf_dir), f"{target}/staged", "week")
+    stream = replay.replay_stream(stream_session(spark), f"{target}/staged", BAR_LAYOUT, 1)
     sinks.upsert_versions(stream, f"{target}/out", f"{target}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{target}/out").withColumn(
-        "_week", bar_start(F.col("window_start_et"), 1, "week"))
-    spans = out.groupBy("batch_id").agg(F.min("_week").alias("_first"), F.max("_week").alias("_last"))
+    out = spark.read.parquet(f"{target}/out")
+    week = bar_start(F.col("window_start_et"), 1, "week")
+    spans = out.groupBy("batch_id").agg(
+        F.min("window_start_et").alias("_first"), F.max("window_start_et").alias("_last"), F.count_distinct(week).alias("_weeks"))
     before = F.max("_last").over(W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1))
-    spans = spans.select("batch_id", F.coalesce(before <= F.col("_first"), F.lit(True)).alias("in_order"))
+    spans = spans.select("batch_id", (F.coalesce(before < F.col("_first"), F.lit(True)) & (F.col("_weeks") == 1)).alias("in_order"))
     return portable(out.join(F.broadcast(spans), "batch_id").select(
         "ticker", "window_start_et", "close", "in_order"))
