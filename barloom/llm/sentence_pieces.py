@@ -120,7 +120,7 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 def build(model: Model):
     """A tokenizer of the tokenizers library with the same behaviour; control pieces are never produced from text."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), None)
     if model.kind == BPE:
@@ -136,10 +136,6 @@ def build(model: Model):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    # No piece has a marker after another character, so no merge crosses such a place: words can be encoded one by one
-    # and their results reused.
-    if not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     if model.dummy_prefix:
         undo.append(decoders.Strip(" ", 1, 0))
@@ -160,6 +156,11 @@ def _reference(data: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
+def _piece_bytes(model: Model) -> list[bytes]:
+    """What each piece adds to a text; joined, these are the text behind its dummy prefix."""
+    return [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+
+
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about SLICE_BYTES characters."""
     start = size = 0
@@ -179,10 +180,11 @@ def load(path: str) -> bytes:
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", threads: int = 2,
            verify_every: int = 1) -> DataFrame:
-    """One row per input row: id, token_ids, n_tokens, n_bytes_tokens, n_unknown, round_trip, parity.
+    """One row per input row: id, token_ids, n_tokens, n_byte_tokens, n_unknown, round_trip, parity.
 
-    ``round_trip`` tells whether decoding gives the text back, which it does
-    unless the normaliser changes the text or a character has no piece.
+    ``round_trip`` tells whether the pieces' bytes give the text back, as decoding
+    them does; they do unless the normaliser changes the text or a character has
+    no piece.
     ``parity`` compares the ids with the reference implementation's, on every
     ``verify_every``-th row of a batch (0: none; null where not compared). Null
     text counts as empty and has no tokens. Texts are encoded whole. Repeated
@@ -190,7 +192,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     two named columns are read.
     """
     share = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = np.array([kind for _, _, kind in parse(model).pieces], np.int8)
+    parsed = parse(model)
+    kinds = np.array([kind for _, _, kind in parsed.pieces], np.int8)
+    parts, prefix = _piece_bytes(parsed), b" " if parsed.dummy_prefix else b""
     schema = T.StructType([
         docs.select(F.col(id_col)).schema[0], T.StructField("token_ids", T.ArrayType(T.IntegerType())),
         *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_byte_tokens", "n_unknown")],
@@ -205,7 +209,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             for low, high in _slices(texts):
                 part = texts[low:high]
                 ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                same = [d == t for d, t in zip(tokenizer.decode_batch(ids, skip_special_tokens=False), part)]
+                same = [b"".join(map(parts.__getitem__, i)) == (prefix if t else b"") + t.encode() for i, t in zip(ids, part)]
                 parity: list[bool | None] = [None] * len(part)
                 if reference is not None:
                     picked = range(0, len(part), verify_every)
