@@ -104,3 +104,11 @@ def test_trees_learn_from_decisive_candidates(spark):
     bad = [f"order 1{i:03d}.300.{i}.7 of 4111 1111 1111 {1112 + 10 * i}" for i in range(60)]
     docs = spark.createDataFrame([(i, t, "en", "s", "", "", "") for i, t in enumerate(good + bad)], SCHEMA)
     assert docs.count() == 120 and pii.personal_data(docs).where("n_phone = 1").count() == 60
+
+
+def test_digits_inside_a_token_are_not_personal_data(spark):
+    keys = [f"key a{i:02d}f1234567{i}bc0d99887766e and 77665544{i}abc" for i in range(40)]
+    phones = [f"call +1 (9{i:02d}) 555-{1000 + i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", "", "", "") for i, t in enumerate(keys + phones)], SCHEMA)
+    found = pii.personal_data(docs).collect()
+    assert all(r.spans == "" for r in found if r.doc_id < 40) and sum(r.n_phone for r in found) == 40
