@@ -11,10 +11,13 @@ the sampling error.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.common import settle, text_of
 
@@ -66,14 +69,16 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     target = max(1, total // ranges)
     cuts = _splitters(sized, total, ranges)
 
-    @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy(np.int64), side="right").astype(np.int32))
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = np.searchsorted(cuts, batch.column("key").to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number.astype(np.int32))], names=[*batch.schema.names, "range"])
 
     # Texts with more bytes than a range: fewer than total / target, that is about the number of ranges.
     heavy = settle(sized.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target), "heavy").select(
         "key", F.ceil(F.col("bytes") / target).cast("int").alias("parts"))
-    cells = sized.withColumn("range", range_of("key")).join(F.broadcast(heavy), "key", "left")
+    placed_keys = sized.mapInArrow(ranged, T.StructType([*sized.schema, T.StructField("range", T.IntegerType())]))
+    cells = placed_keys.join(F.broadcast(heavy), "key", "left")
     # Order of cells: (range, own, own key, part). A heavy text follows the light texts of its range.
     cells = cells.select("id", "size", "crc", "key", "row", "range",
                          F.when(F.col("parts").isNotNull(), F.col("key")).alias("own"),
