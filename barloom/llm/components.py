@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = _neighbours(current)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u")
         current = settle(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(

@@ -15,7 +15,8 @@ lower bound of the symmetric difference from 256 parity bits per set.
 
 Equal sets are one class from the start. Classes that share a frequent token are
 not paired with each other at once: in a few rounds each class is held against
-one class chosen for its tokens, and classes found linked get one label. Then
+the nearest of the classes drawn for its tokens, and classes found linked get one
+label. Then
 every remaining pair of prefix partners with different labels is held together,
 so no link that could join two components is left out, while a large group of
 near copies never meets in all its pairs.
@@ -37,7 +38,7 @@ from barloom.llm.components import components
 from barloom.llm.shingles import shingle_set, word_hashes
 
 BLOOM_BITS = 1 << 25
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 SKETCH = ["s0", "s1", "s2", "s3"]
 CLASS = ["k1", "k2", "n"]
 
@@ -180,12 +181,16 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(merged[1:] == merged[:-1]))
 
 
+def _apart(x: str, y: str) -> Column:
+    """The least symmetric difference that the parity bits allow."""
+    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SKETCH), F.lit(0))
+
+
 def _close(x: str, y: str, percent: int) -> Column:
-    """Size filter, and the least symmetric difference that the parity bits allow."""
+    """Size filter, and the bound that the parity bits give."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SKETCH), F.lit(0))
     # d differing tokens of n tokens in all: (n - d) / (n + d) >= p means d * (100 + p) <= n * (100 - p).
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (apart * (100 + percent) <= (nx + ny) * (100 - percent))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (_apart(x, y) * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
 class _Links:
@@ -224,13 +229,12 @@ def _partners(links: _Links, posts: DataFrame) -> DataFrame:
 
 
 def _stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For each class, the class of another label that most of its tokens chose."""
-    who = F.struct(F.xxhash64("node", F.lit(turn)).alias("dice"), "node", "label", "n", *SKETCH)
-    chosen = posts.groupBy("token").agg(F.min(who).alias("y"))
+    """For each class, the nearest by parity bits of the classes of another label that its tokens chose, two per token."""
+    who = F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("dice"), "node", "label", "n", *SKETCH)
+    chosen = posts.groupBy("token").agg(F.array(F.min(who), F.max(who)).alias("y")).select("token", F.explode("y").alias("y"))
     met = posts.alias("x").join(chosen, "token").where((F.col("x.label") != F.col("y.label")) & _close("x", "y", percent))
-    votes = met.groupBy("x.node", F.col("y.node").alias("v")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", "v")).alias("best"))
-    return best.select(F.least("node", "best.v").alias("u"), F.greatest("node", "best.v").alias("v"))
+    nearest = met.groupBy("x.node").agg(F.min(F.struct(_apart("x", "y").alias("apart"), F.col("y.node").alias("v"))).alias("best"))
+    return nearest.select(F.least("node", "best.v").alias("u"), F.greatest("node", "best.v").alias("v"))
 
 
 def _remaining(posts: DataFrame, percent: int) -> DataFrame:
