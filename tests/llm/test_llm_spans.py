@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import pii, secret_scan
@@ -112,3 +113,28 @@ def test_digits_inside_a_token_are_not_personal_data(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", "", "", "") for i, t in enumerate(keys + phones)], SCHEMA)
     found = pii.personal_data(docs).collect()
     assert all(r.spans == "" for r in found if r.doc_id < 40) and sum(r.n_phone for r in found) == 40
+
+
+def _card(n):
+    body = f"4{n * 7_919_317_411 % 10**14:014d}"
+    return next(f"{body}{d}" for d in range(10) if _luhn(f"{body}{d}"))
+
+
+def test_values_that_a_base_pattern_joined_are_found(spark):
+    good = [f"paid with {_card(i)} today" for i in range(60)] + [f"reach me at +1 (9{i:02d}) 555-{1000 + i} soon" for i in range(60)]
+    bad = [f"paid with {int(_card(100 + i)) + 1} today" for i in range(60)] + [f"reach me at +{i % 10}.{i}5 soon" for i in range(60)]
+    joined = [f"paid with {_card(300)} {_card(301)} today", "reach me at +1 (826) 555-4081 190.137.223.204 soon"]
+    joined += ["paid with 7536784127813050 4845168114407329 today", f"paid with {int(_card(302)) + 1} {_card(303)} today"]
+    docs = spark.createDataFrame([(i, t, "en", "s", "", "", "") for i, t in enumerate(joined + good + bad)], SCHEMA)
+    found = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert found[0].spans == found[2].spans == "card:10:26,card:27:43" and found[0].n_more == 2
+    assert found[1].spans == "phone:12:29,ip:30:45" and found[1].n_more == 1
+    assert found[3].spans == "card:27:43"
+    assert all(found[i].spans == "" for i in range(124, 184))
+
+
+def test_every_run_of_groups_is_proposed_without_cutting_a_group(spark):
+    chain = spark.createDataFrame([(5, 4, 27, "card", "123456789 987654321 12", "")], "start int, rank int, end int, kind string, value string, text string")
+    runs = chain.select(F.explode(pii._runs(F.struct(*chain.columns))).alias("c")).select("c.s.*").collect()
+    assert sorted((r.start, r.end, r.kind, r.value) for r in runs) == [
+        (5, 14, "number", "123456789"), (5, 24, "number", "123456789 987654321"), (15, 24, "number", "987654321"), (15, 27, "number", "987654321 12")]
