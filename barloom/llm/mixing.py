@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +144,26 @@ def interleave(docs: DataFrame, weights: Mapping[str, float], other: float, bloc
                         (offset + F.col("release")).alias("release"), (offset + F.col("due")).alias("due"), "at")
 
 
+def place(docs: DataFrame) -> Column:
+    """The place of each row of a written mix, read back: a struct that sorts as the mix does.
+
+    It has the numbers of the part file (``part``, ``piece``) and the row's number in it (``row``), so it is right however
+    the reader packs the files. For a frame that was not read from files it is the place in the frame's own order; in a
+    file that Spark did not name, ``part`` and ``piece`` are null.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["row_index"])
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return F.struct(F.shiftright(at, 33).cast("int").alias("part"), F.lit(0).alias("piece"), at.bitwiseAND(F.lit(2**33 - 1)).alias("row"))
+
+    def number(regex: str) -> Column:
+        return F.nullif(F.regexp_extract(meta["file_name"], regex, 1), F.lit("")).cast("int")
+
+    return F.struct(number("^part-([0-9]+)-").alias("part"), number(r"^part-.*-c([0-9]+)\.").alias("piece"), meta["row_index"].alias("row"))
+
+
 def mixed(docs: DataFrame, weights: Mapping[str, float], other: float, block_size: int, resolution: int = 100, **names) -> DataFrame:
     """The rows of ``docs`` in mixed order: sorted by place across and within partitions."""
     placed = interleave(docs, weights, other, block_size, resolution, **names)

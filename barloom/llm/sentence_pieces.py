@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -179,8 +179,8 @@ def load(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", threads: int = 2,
-           verify_every: int = 1) -> DataFrame:
-    """One row per input row: id, token_ids, n_tokens, n_byte_tokens, n_unknown, round_trip, parity.
+           verify_every: int = 1, place: Column | None = None) -> DataFrame:
+    """One row per input row: id, token_ids, n_tokens, n_byte_tokens, n_unknown, round_trip, parity, and ``place`` if it is given.
 
     ``round_trip`` tells whether the pieces' bytes give the text back, as decoding
     them does; they do unless the normaliser changes the text or a character has
@@ -189,16 +189,17 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     ``verify_every``-th row of a batch (0: none; null where not compared). Null
     text counts as empty and has no tokens. Texts are encoded whole. Repeated
     rows are encoded row by row; an empty table gives an empty result. Only the
-    two named columns are read.
+    two named columns are read, and what ``place`` needs.
     """
+    read = docs.select(F.col(id_col), F.col(text_col), *([] if place is None else [place.alias("place")]))
     share = docs.sparkSession.sparkContext.broadcast(model)
     parsed = parse(model)
     kinds = np.array([kind for _, _, kind in parsed.pieces], np.int8)
     parts, prefix = _piece_bytes(parsed), b" " if parsed.dummy_prefix else b""
     schema = T.StructType([
-        docs.select(F.col(id_col)).schema[0], T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+        read.schema[0], T.StructField("token_ids", T.ArrayType(T.IntegerType())),
         *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_byte_tokens", "n_unknown")],
-        T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())])
+        T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType()), *read.schema[2:]])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +221,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 kind = kinds[flat]
                 per = [np.add.reduceat(np.append(kind == k, False).astype(np.int64), ends[:-1]) * (np.diff(ends) > 0) for k in (BYTE, UNKNOWN)]
                 columns = [batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                           pa.array(np.diff(ends).astype(np.int64)), *[pa.array(p) for p in per], pa.array(same), pa.array(parity, pa.bool_())]
+                           pa.array(np.diff(ends).astype(np.int64)), *[pa.array(p) for p in per], pa.array(same), pa.array(parity, pa.bool_()),
+                           *[c.slice(low, high - low) for c in batch.columns[2:]]]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "token_ids", threads: int = 2) -> DataFrame:

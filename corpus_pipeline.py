@@ -36,8 +36,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return sentence_pieces.encode(docs, sentence_pieces.load(sentence_pieces.MODEL))
+    """Token ids of every document, and its place in the mix; rows in order of ``place`` are the mix."""
+    return sentence_pieces.encode(docs, sentence_pieces.load(sentence_pieces.MODEL), place=mixing.place(docs))
 
 
 STAGES = [

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from barloom.llm import quality, sentence_pieces
-from barloom.llm.queries import ORACLES, QUERIES
+from barloom.llm import mixing, quality, sentence_pieces
+from barloom.llm.queries import BLOCK_CHARS, ORACLES, OTHER_WEIGHT, QUERIES, WEIGHTS, documents
 from tests.compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +101,22 @@ def test_queries_are_registered_and_equal_their_sql(spark):
 def test_run_gives_the_last_stage(spark):
     found = corpus_pipeline.run(spark, SF)
     assert "token_ids" in found.columns and found.where("NOT parity OR NOT round_trip").count() == 0 and found.count() > 0
+
+
+def test_encoded_rows_keep_the_order_of_the_mix(spark, tmp_path):
+    docs = documents(spark, SF)
+    wanted = mixing.interleave(docs, WEIGHTS, OTHER_WEIGHT, BLOCK_CHARS).orderBy("slot", "at").select("row.doc_id").collect()
+    stages, kept = dict(corpus_pipeline.STAGES), {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        # Several files of unlike length, which the reader packs by size.
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        stages["source_mixing"](spark, docs, SF).write.option("maxRecordsPerFile", 9).parquet(str(tmp_path / "mix"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    written = spark.read.parquet(str(tmp_path / "mix"))
+    encoded = stages["sentence_pieces"](spark, written, SF)
+    assert [r.doc_id for r in encoded.orderBy("place").collect()] == [r.doc_id for r in wanted]
+    assert [r.doc_id for r in stages["sentence_pieces"](spark, stages["source_mixing"](spark, docs, SF), SF).orderBy("place").collect()] == [
+        r.doc_id for r in wanted]
