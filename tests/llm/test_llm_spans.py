@@ -138,3 +138,10 @@ def test_every_run_of_groups_is_proposed_without_cutting_a_group(spark):
     runs = chain.select(F.explode(pii._runs(F.struct(*chain.columns))).alias("c")).select("c.s.*").collect()
     assert sorted((r.start, r.end, r.kind, r.value) for r in runs) == [
         (5, 14, "number", "123456789"), (5, 24, "number", "123456789 987654321"), (15, 24, "number", "987654321"), (15, 27, "number", "987654321 12")]
+
+
+def test_addresses_with_a_written_at_are_proposed(spark):
+    texts = ["john[at]example.com", "john(at)example.com", "to john [AT] example.com, now", "(jo[hn(AT)example.com", "a@b.c (at)", "f(x)(at)y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: [(s.start, s.value) for s in r.address] for r in pii.with_matches(docs, pii.PATTERNS).collect()}
+    assert found == {0: [(0, texts[0])], 1: [(0, texts[1])], 2: [(3, "john [AT] example.com")], 3: [(0, texts[3])], 4: [(0, "a@b.c")], 5: [(0, texts[5])]}
