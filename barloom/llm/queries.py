@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import (
-    exact_dedup, fingerprints, mixing, ngram_join, pii, quality, secret_scan, sentence_pieces, sharding, token_counts)
+    exact_dedup, fingerprints, lexical, mixing, ngram_join, pii, quality, secret_scan, sentence_pieces, sharding, token_counts)
 
 # Target weights of the production mix; sources without one share OTHER_WEIGHT.
 WEIGHTS = {"src0": 0.16, "src1": 0.08, "src2": 0.08, "src3": 0.08, "src4": 0.06, "src5": 0.06, "src6": 0.06, "src7": 0.06}
 OTHER_WEIGHT = 0.36
 BLOCK_CHARS = 16_384
 SHARDS = 24
+TOP = 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +71,13 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(documents(spark, sf_dir), sentence_pieces.load(sentence_pieces.MODEL))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), TOP)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_exact_dedup, op3_secret_scan, op4_ngram_jaccard_join, op5_personal_data, op6_token_counts,
-    op7_fingerprints, op8_sharding, op9_quality_ranking, op10_sentence_pieces)}
+    op7_fingerprints, op8_sharding, op9_quality_ranking, op10_sentence_pieces, op13_lexical_search)}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -100,4 +105,18 @@ ORACLES = {
                CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY coalesce(sets.class, d.doc_id::VARCHAR)) END AS class_id
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id)
         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) q USING (doc_id)""",
+    "op13_lexical_search": """
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM documents),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY ALL),
+        c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM l),
+        m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM l, c),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+              FROM q JOIN f USING (term) JOIN m USING (doc_id) JOIN w USING (term) GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 20""",
 }
