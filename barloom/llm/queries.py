@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import (
-    exact_dedup, fingerprints, lexical, mixing, ngram_join, pii, quality, secret_scan, sentence_pieces, sharding, token_counts)
+    exact_dedup, fingerprints, kd_search, lexical, mixing, ngram_join, pii, quality, secret_scan, sentence_pieces, sharding, token_counts)
 
 # Target weights of the production mix; sources without one share OTHER_WEIGHT.
 WEIGHTS = {"src0": 0.16, "src1": 0.08, "src2": 0.08, "src3": 0.08, "src4": 0.06, "src5": 0.06, "src6": 0.06, "src7": 0.06}
@@ -71,13 +71,18 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(documents(spark, sf_dir), sentence_pieces.load(sentence_pieces.MODEL))
 
 
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return kd_search.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), TOP)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), TOP)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_exact_dedup, op3_secret_scan, op4_ngram_jaccard_join, op5_personal_data, op6_token_counts,
-    op7_fingerprints, op8_sharding, op9_quality_ranking, op10_sentence_pieces, op13_lexical_search)}
+    op7_fingerprints, op8_sharding, op9_quality_ranking, op10_sentence_pieces, op11_top_k_search, op13_lexical_search)}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -105,6 +110,13 @@ ORACLES = {
                CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY coalesce(sets.class, d.doc_id::VARCHAR)) END AS class_id
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id)
         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) q USING (doc_id)""",
+    "op11_top_k_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20""",
     "op13_lexical_search": """
         WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                             '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM documents),
