@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import (
-    exact_dedup, fingerprints, kd_search, lexical, mixing, ngram_join, pii, quality, secret_scan, sentence_pieces, sharding, token_counts)
+    alignment, exact_dedup, fingerprints, kd_search, lexical, mixing, ngram_join, pii, quality, secret_scan, sentence_pieces, sharding, token_counts)
 
 # Target weights of the production mix; sources without one share OTHER_WEIGHT.
 WEIGHTS = {"src0": 0.16, "src1": 0.08, "src2": 0.08, "src3": 0.08, "src4": 0.06, "src5": 0.06, "src6": 0.06, "src7": 0.06}
@@ -76,13 +76,19 @@ def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), TOP)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, model = (sentence_pieces.load(path) for path in (alignment.VOCABULARY, sentence_pieces.MODEL))
+    return alignment.align_tokenizers(documents(spark, sf_dir), vocabulary, model)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), TOP)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_exact_dedup, op3_secret_scan, op4_ngram_jaccard_join, op5_personal_data, op6_token_counts,
-    op7_fingerprints, op8_sharding, op9_quality_ranking, op10_sentence_pieces, op11_top_k_search, op13_lexical_search)}
+    op7_fingerprints, op8_sharding, op9_quality_ranking, op10_sentence_pieces, op11_top_k_search, op12_tokenizer_alignment,
+    op13_lexical_search)}
 
 ORACLES = {
     "op2_exact_dedup": """
