@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ from barloom.llm.token_counts import PATTERN
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Text per chunk; documents above LONG_BYTES are cut into pieces of about that size.
-CHUNK_BYTES = 4 << 20
-SLICE_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 CHUNK_ROWS = 1 << 16
 LONG_BYTES = 1 << 15
 FRAGMENT_BYTES = 1 << 13
@@ -62,7 +63,7 @@ class Side(tuple):
     """Tokens in order: their ids and their lengths in bytes."""
 
     def __new__(cls, ids, lengths):
-        return super().__new__(cls, (np.asarray(ids, np.int64), np.asarray(lengths, np.int64)))
+        return super().__new__(cls, (np.asarray(ids, np.int32), np.asarray(lengths, np.int32)))
 
     def __add__(self, other):
         return Side(*(np.concatenate(x) for x in zip(self, other)))
@@ -71,7 +72,7 @@ class Side(tuple):
         return Side(self[0][low:high], self[1][low:high])
 
     def packed(self) -> bytes:
-        return np.concatenate(self).astype(np.int32).tobytes()
+        return np.concatenate(self).tobytes()
 
     @staticmethod
     def of(data: bytes) -> Side:
@@ -105,7 +106,7 @@ class Tokenizers:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         parsed = parse(model)
         self.b_bytes = [bytes([self._byte(p)]) if self._byte(p) >= 0 else p.replace(MARK, " ").encode() for p, _, _ in parsed.pieces]
-        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int32) for t in (self.a_bytes, self.b_bytes))
         # A cut before a blank is safe if no piece holds a blank behind another character and nothing rewrites blanks.
         self.cuts = parsed.dummy_prefix and not parsed.collapse_spaces and not parsed.charsmap and not any(
             MARK in p.lstrip(MARK) for p, _, _ in parsed.pieces)
@@ -197,7 +198,7 @@ def from_planes(data: bytes) -> np.ndarray:
 def align(parts: list[tuple[Side, Side]], tokenizers: Tokenizers) -> Aligned:
     """Groups and links of parts whose two sides cover equal bytes."""
     a, b = (Side(*(np.concatenate(x) for x in zip(*(p[k] for p in parts)))) for k in (0, 1))
-    sizes = np.array([p[0][1].sum() for p in parts])
+    sizes = np.array([p[0][1].sum() for p in parts], np.int64)
     part_ends = np.cumsum(sizes)
     total = int(part_ends[-1])
     is_a, is_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
@@ -213,14 +214,14 @@ def align(parts: list[tuple[Side, Side]], tokenizers: Tokenizers) -> Aligned:
     before_b = np.concatenate(([0], upto_b[closes]))
     place_a = np.arange(len(a_ends)) + before_b[a_group]
     place_b = np.arange(len(b_ends)) + upto_a[closes][b_group]
-    shown = np.empty(len(a_ends) + len(b_ends), np.int64)
+    shown = np.empty(len(a_ends) + len(b_ends), np.int32)
     shown[place_a] = np.where(common[a_ends], 0, 2) * tokenizers.shown_step + a[0]
     shown[place_b] = np.where(common[b_ends], 1, 2) * tokenizers.shown_step + b[0]
     text_ends = (upto_a[part_ends] + upto_b[part_ends]).tolist()
     texts = [b"".join(tokenizers.shown[shown[low:high]].tolist()) for low, high in zip([0, *text_ends], text_ends)]
     # Between two neighbouring ends of either side lies one link.
     ends = np.flatnonzero(is_a | is_b)
-    pair = a[0][upto_a[ends] - is_a[ends]] * tokenizers.many + b[0][upto_b[ends] - is_b[ends]]
+    pair = a[0][upto_a[ends] - is_a[ends]].astype(np.int64) * tokenizers.many + b[0][upto_b[ends] - is_b[ends]]
     part = np.searchsorted(part_ends, ends)
     groups = np.diff(group_of[part_ends] + 1, prepend=0)
     links = np.bincount(part, minlength=len(parts))
@@ -353,9 +354,9 @@ def _read(files, schema: pa.Schema):
 
         for batch in batches:
             ids = batch.column(0)
-            data = [b" " + (t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for low, high in _slices(data):
-                part = data[low:high]
+            texts = batch.column(1).cast(pa.binary())
+            for low, high in _slices(texts):
+                part = [b" " + (t or b"") for t in texts.slice(low, high - low).to_pylist()]
                 short = [i for i, d in enumerate(part) if 1 < len(d) and (len(d) <= LONG_BYTES or not tokenizers.cuts)]
                 sides = dict(zip(short, tokenizers.encode([part[i] for i in short])))
                 for i, text in enumerate(part):
@@ -382,11 +383,11 @@ def _read(files, schema: pa.Schema):
     return run
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about SLICE_BYTES."""
     low = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        size += n
         if size >= SLICE_BYTES:
             yield low, i + 1
             low, size = i + 1, 0
