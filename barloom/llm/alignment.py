@@ -28,7 +28,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from barloom.llm.token_counts import PATTERN
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Text per chunk; documents above LONG_BYTES are cut into pieces of about that size.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SLICE_BYTES = 1 << 18
 CHUNK_ROWS = 1 << 16
 LONG_BYTES = 1 << 15
@@ -99,10 +99,8 @@ class Tokenizers:
         added = {t["content"]: t["id"] for t in settings["added_tokens"]}
         for text, i in ids.items():
             self.a_bytes[i] = text.encode() if text in added else bytes(letters[c] for c in text)
-        by_file = self._by_file(vocabulary)
-        by_rank = self._by_rank(settings, added) or by_file
-        # The faster backend's expression engine gives up on white space of this length.
-        self.encode_a = lambda text: (by_file if len(text) > BLANK_RUN and _BLANKS.search(text) else by_rank)(text)
+        self.by_rank = self._by_rank(settings, added)
+        self.vocabulary = vocabulary
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         parsed = parse(model)
         self.b_bytes = [bytes([self._byte(p)]) if self._byte(p) >= 0 else p.replace(MARK, " ").encode() for p, _, _ in parsed.pieces]
@@ -135,14 +133,20 @@ class Tokenizers:
             return None
         return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    @staticmethod
-    def _by_file(vocabulary: bytes):
+    @cached_property
+    def by_file(self):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(vocabulary.decode())
+        tokenizer = Tokenizer.from_str(self.vocabulary.decode())
         tokenizer.encode_special_tokens = True
         return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
+    def encode_a(self, text: str) -> list[int]:
+        # The faster backend's expression engine gives up on white space of that length.
+        if self.by_rank is None or len(text) > BLANK_RUN and _BLANKS.search(text):
+            return self.by_file(text)
+        return self.by_rank(text)
+
     def encode(self, texts: list[bytes]) -> list[tuple[Side, Side] | None]:
         """Both sides of texts that begin with their blank; nothing where a side's bytes differ from the text."""
         plain = [t.decode() for t in texts]
@@ -332,6 +336,7 @@ class Chunks:
             row |= {"n_a": len(a[0]), "n_b": len(b[0]), "n_groups": n_groups, "n_links": n_links}
         chunk = {"kind": CHUNK, "chunk": self.next, "keys": [r["key"] for r in rows], "pairs": found.pairs, "times": found.times, "spread": found.spread}
         self.rows, self.size, self.next = [], 0, self.next + 1
+        pa.default_memory_pool().release_unused()
         return rows, found.texts, chunk
 
 
