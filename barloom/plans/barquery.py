@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from barloom.errors import DataNotFound, DataValidationError, QueryError
 
 TIME_COLUMN = "window_start_et"
+# What Spark writes as %XX in the name of a partition folder, and the folder of null and empty values.
+ESCAPED = {*map(chr, range(1, 32)), "\x7f", *"\"#%'*/:=?\\{[]^"}
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def parse_day(value: str | date | datetime) -> date:
@@ -30,6 +33,12 @@ def parse_day(value: str | date | datetime) -> date:
     raise DataValidationError(f"not a date: {value!r}")
 
 
+def partition_folder(key: str, value: str | int | None) -> str:
+    """Name of the folder ``key=value``, escaped as the writer does."""
+    text = "" if value is None else str(value)
+    return f"{key}={''.join(f'%{ord(c):02X}' if c in ESCAPED else c for c in text) or NO_VALUE}"
+
+
 def _as_list(value) -> list:
     return [value] if isinstance(value, (str, int)) else list(value)
 
@@ -127,10 +136,10 @@ class BarQuery:
             raise DataValidationError(f"the bars have no column {', '.join(missing)}")
 
     def partition_paths(self, root: str) -> list[str]:
-        """Folders of the store that can hold selected rows."""
+        """Folders of the store that can hold selected rows; an unescaped ``*`` stands for all."""
         years = self.partition_years()
-        year_part = [f"year={y}" for y in years] if years is not None else ["year=*"]
-        ticker_part = [f"ticker={t}" for t in (["*"] if self.tickers is None else self.tickers)]
+        year_part = ["year=*"] if years is None else [partition_folder("year", y) for y in years]
+        ticker_part = ["ticker=*"] if self.tickers is None else [partition_folder("ticker", t) for t in self.tickers]
         return [f"{root.rstrip('/')}/{y}/{t}" for y in year_part for t in ticker_part]
 
     def to_sql(self, view: str, ordered: bool = False) -> tuple[str, dict]:

@@ -123,6 +123,33 @@ def get_bars_partitions(spark, sf_dir):
     return _clean(store(spark, sf_dir).scan_partitions([(2024, "VIEW"), (2024, "ERROR"), (1999, "VIEW")]))
 
 
+# Tickers whose folder names are escaped.
+ODD_NAMES = {"VIEW": "BRK/A", "CLICK": "A B", "ERROR": "50%:X=1"}
+
+
+@query("get_bars_paths", sql(
+    "SELECT CASE ticker WHEN 'VIEW' THEN 'BRK/A' WHEN 'CLICK' THEN 'A B' ELSE '50%:X=1' END AS ticker, "
+    f"{moment('window_start_et')} AS window_start_et, {r('close')} AS close, year FROM hours_bars "
+    "WHERE ticker IN ('VIEW', 'CLICK', 'ERROR') AND year = 2024", "hours_bars"))
+def get_bars_paths(spark, sf_dir):
+    """Bars by the folders of a selection, with tickers that a folder name cannot hold as they are."""
+    named = F.create_map(*[F.lit(x) for pair in ODD_NAMES.items() for x in pair])
+    target = work_dir(spark, "odd-names")
+    store(spark, sf_dir).scan().withColumn("ticker", F.coalesce(named[F.col("ticker")], "ticker")).write.partitionBy(
+        "year", "ticker").parquet(target)
+    folders = BarQuery.build([*ODD_NAMES.values(), "NONE"], 2024, exact_case=True).partition_paths(target)
+    return portable(BarStore(spark, target).scan_paths(folders).select("ticker", "window_start_et", "close", "year"))
+
+
+@query("partition_exists", sql(
+    "SELECT w.year, w.ticker, EXISTS (SELECT 1 FROM hours_bars b WHERE b.year = w.year AND b.ticker = w.ticker) AS present "
+    "FROM (VALUES (2024, 'VIEW'), (2024, 'NONE'), (1999, 'VIEW'), (2024, 'ERROR')) w(year, ticker)", "hours_bars"))
+def partition_exists(spark, sf_dir):
+    held = store(spark, sf_dir)
+    wanted = [(2024, "VIEW"), (2024, "NONE"), (1999, "VIEW"), (2024, "ERROR")]
+    return spark.createDataFrame([(y, t, held.exists(y, t)) for y, t in wanted], "year INT, ticker STRING, present BOOLEAN")
+
+
 @query("to_sql_roundtrip", sql(
     f"SELECT ticker, {moment('window_start_et')} AS window_start_et, {r('close')} AS close FROM hours_bars "
     "WHERE ticker IN ('PURCHASE', 'VIEW') AND window_start_et >= TIMESTAMP '2024-01-08 00:00:00' "

@@ -101,6 +101,9 @@ def test_partition_paths():
     query = BarQuery.build(["aapl"], [2023, 2024])
     assert query.partition_paths("/s/") == ["/s/year=2023/ticker=AAPL", "/s/year=2024/ticker=AAPL"]
     assert BarQuery().partition_paths("/s") == ["/s/year=*/ticker=*"]
+    odd = BarQuery.build(["BRK/A", "A B", "*", "50%[x]", ""], 2024, exact_case=True)
+    assert [p.rpartition("=")[2] for p in odd.partition_paths("/s")] == [
+        "BRK%2FA", "A B", "%2A", "50%25%5Bx%5D", "__HIVE_DEFAULT_PARTITION__"]
 
 
 @pytest.fixture(scope="module")
@@ -157,6 +160,19 @@ def test_scan_of_partition_folders(small_store):
         small_store.scan_paths(BarQuery.build("NONE", 2024).partition_paths(small_store.root))
 
 
+def test_every_ticker_is_found_by_its_folder(spark, tmp_path):
+    """The folder of each name is the one Spark wrote, whatever character it holds."""
+    names = ["BRK/A", "A B", "50%:X=1", "^GSPC", "a'b\"c", "x[1]{2}?", "*", "tab\tnl\n", "BCpC", "é漢", "back\\slash", "A#1", "%2F"]
+    rows = [(t, None, 1.0, 2.0, 0.5, float(i), 10, 1, 2024) for i, t in enumerate(names)]
+    root = str(tmp_path / "odd")
+    columns = "ticker STRING, window_start_et TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT, transactions BIGINT, year INT"
+    spark.createDataFrame(rows, columns).write.partitionBy("year", "ticker").parquet(root)
+    store = BarStore(spark, root)
+    for i, name in enumerate(names):
+        found = store.scan_paths(BarQuery.build(name, 2024, exact_case=True).partition_paths(root)).collect()
+        assert [(r.ticker, r.close) for r in found] == [(name, float(i))]
+
+
 def test_missing_store(spark, tmp_path):
     nowhere = BarStore(spark, str(tmp_path / "none"))
     with pytest.raises(DataNotFound):
