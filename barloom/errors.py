@@ -21,5 +21,9 @@ class PartitionNotFound(DataNotFound):
     """A requested store partition does not exist."""
 
 
+class ConflictError(BarloomError):
+    """Another writer published a version of the same table first."""
+
+
 class QueryError(BarloomError):
     """A generated query text could not be run."""

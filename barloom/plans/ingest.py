@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import argparse
 import logging
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import schemas
-from barloom.functions import clock
+from barloom.functions import clock, paths
 from barloom.session import broadcast_if_counted, build_session, observed, settled
 from barloom.sources.barstore import BarStore
 from barloom.sources.flatfiles import read_raw_bars, require_columns
+from barloom.sources.versions import Versions
 
 log = logging.getLogger(__name__)
 
@@ -70,14 +72,36 @@ def write_bars(bars: DataFrame, root: str, mode: str = "append",
 
     Rows are rebalanced by partition, so a partition beyond the advisory size is
     split over several tasks and files instead of passing through one.
-    ``overwrite`` replaces only the partitions present in ``bars``.
+    ``overwrite`` replaces only the partitions present in ``bars``. In a store
+    with versions the new files go live together, as its next version.
     """
     keys = list(partition_by)
-    writer = bars.hint("rebalance", *keys).sortWithinPartitions(*keys, time).write.mode(mode) \
+    writer = bars.hint("rebalance", *keys).sortWithinPartitions(*keys, time).write \
         .option("partitionOverwriteMode", "dynamic").option("compression", compression)
     if max_rows_per_file:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
-    writer.partitionBy(*keys).parquet(root)
+    versions = Versions(bars.sparkSession, root)
+    parent = versions.latest()
+    if parent is None:
+        writer.mode(mode).partitionBy(*keys).parquet(root)
+    else:
+        publish(versions, parent, written_beside(versions, writer.partitionBy(*keys)), replace=mode == "overwrite")
+
+
+def written_beside(versions: Versions, writer: DataFrameWriter) -> DataFrame:
+    """Add the writer's files to the folders of a store without making them live; their entries."""
+    tag = f"part-{uuid.uuid4().hex}"
+    writer.mode("append").option("mapreduce.output.basename", tag).parquet(versions.root)
+    return settled(versions.present(f"{tag}-*.parquet"), "entries")
+
+
+def publish(versions: Versions, parent: int, added: DataFrame, replace: bool) -> int:
+    """A version of the parent's files and the added ones; with ``replace`` without the parent's files in their folders."""
+    old = versions.entries(parent)
+    if replace:
+        folder = paths.partition_folder(F.col("path"))
+        old = old.withColumn("_folder", folder).join(added.select(folder.alias("_folder")).distinct(), "_folder", "left_anti").drop("_folder")
+    return versions.commit(old.union(added), parent)
 
 
 def write_bars_by_date(bars: DataFrame, root: str, mode: str = "append",

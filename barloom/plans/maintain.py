@@ -14,10 +14,11 @@ from barloom import schemas
 from barloom.errors import DataNotFound, DataValidationError
 from barloom.functions import paths
 from barloom.operators.rows import distinct_rows
-from barloom.plans.ingest import clean_bars, write_bars
-from barloom.session import observed, scratch_dir
+from barloom.plans.ingest import clean_bars, publish, write_bars, written_beside
+from barloom.session import observed, path_exists, scratch_dir
 from barloom.sources.barstore import BarStore
 from barloom.sources.flatfiles import read_raw_bars
+from barloom.sources.versions import Versions
 
 log = logging.getLogger(__name__)
 
@@ -32,32 +33,41 @@ class CompactionReport:
 
 def compact(spark: SparkSession, root: str, year: int | None = None, tickers: list[str] | None = None,
             layout: str = schemas.CLEAN_BAR,
-            partition_by: tuple[str, ...] = ("year", "ticker")) -> CompactionReport:
+            partition_by: tuple[str, ...] = ("year", "ticker"), keep_versions: int = 1) -> CompactionReport:
     """Drop duplicate rows and merge the files of each partition.
 
-    The result is staged and its row count verified before the partitions are
-    replaced, so a failure at any point leaves either the old or the new files.
+    New files are written beside the old ones and their rows counted again; then
+    one commit makes them live in all partitions at once. A failure before it
+    leaves the old version as it was, whatever was written. A store without
+    versions gets its first here. The last ``keep_versions`` versions stay
+    readable; files that none of them names are deleted at the end.
     """
     def chosen(df: DataFrame) -> DataFrame:
         if year is not None:
             df = df.filter(F.col("year") == year)
         return df.filter(F.col("ticker").isin(tickers)) if tickers is not None else df
 
-    store = BarStore(spark, root, layout)
+    if not path_exists(spark, root):
+        raise DataNotFound(f"no store at {root}")
+    versions = Versions(spark, root)
+    parent = versions.adopt()
+    store = BarStore(spark, root, layout, parent)
     picked = chosen(store.scan())
     files_before = chosen(store.files()).count()
     rows_before = picked.count()
     if rows_before == 0:
         raise DataNotFound(f"nothing to compact in {root}")
-    with scratch_dir(spark, "compact") as staging:
-        counted = Observation("compact")
-        write_bars(distinct_rows(picked).observe(counted, F.count(F.lit(1)).alias("rows")), staging, "overwrite", partition_by)
-        rows_after = observed(counted, rows=0)["rows"]
-        staged = BarStore(spark, staging, layout).scan()
-        if staged.count() != rows_after:
-            raise DataValidationError("staged rows differ from the distinct rows; store left unchanged")
-        write_bars(staged, root, "overwrite", partition_by)
-    return CompactionReport(files_before, chosen(store.files()).count(), rows_before, rows_after)
+    counted = Observation("compact")
+    merged = distinct_rows(picked).observe(counted, F.count(F.lit(1)).alias("rows"))
+    keys = list(partition_by)
+    added = written_beside(versions, merged.hint("rebalance", *keys).sortWithinPartitions(*keys, "window_start_et").write.partitionBy(*keys))
+    rows_after = observed(counted, rows=0)["rows"]
+    files = [f"{versions.root}/{r.path}" for r in added.select("path").collect()]
+    if spark.read.schema(layout).option("basePath", versions.root).parquet(*files).count() != rows_after:
+        raise DataValidationError("written rows differ from the distinct rows; store left unchanged")
+    publish(versions, parent, added, replace=True)
+    versions.vacuum(keep_versions)
+    return CompactionReport(files_before, chosen(BarStore(spark, root, layout).files()).count(), rows_before, rows_after)
 
 
 def corrupt_files(spark: SparkSession, root: str, deep: bool = False, layout: str = schemas.CLEAN_BAR) -> DataFrame:
@@ -71,6 +81,10 @@ def corrupt_files(spark: SparkSession, root: str, deep: bool = False, layout: st
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.parquet").load(root).select("path", F.col("_metadata.file_path").alias("_file"))
+    versions = Versions(spark, root)
+    if (number := versions.latest()) is not None:
+        # Files that no longer belong to the store, or not yet, are not its damage.
+        listed = listed.join(versions.entries(number).select(F.concat(F.lit(f"{versions.root}/"), "path").alias("path")), "path", "left_semi")
     files = spark.read.schema(layout).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.parquet").parquet(root)
     by_file = files.groupBy(F.col("_metadata.file_path").alias("_file"))

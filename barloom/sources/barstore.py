@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatchcase
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import schemas
@@ -15,6 +16,7 @@ from barloom.functions import paths
 from barloom.plans.barquery import BarQuery
 from barloom.session import path_exists
 from barloom.sources.flatfiles import list_files
+from barloom.sources.versions import Versions
 
 log = logging.getLogger(__name__)
 
@@ -25,13 +27,24 @@ class BarStore:
     """Read access to one store root.
 
     The layout is declared, so opening the store reads no footers, and listings
-    use file names only.
+    use file names only. A store with versions is read at the live one, or at
+    ``version``; other files in its folders are not seen.
     """
 
-    def __init__(self, spark: SparkSession, root: str, layout: str = schemas.CLEAN_BAR):
+    def __init__(self, spark: SparkSession, root: str, layout: str = schemas.CLEAN_BAR, version: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.layout = layout
+        self.version = version
+
+    def _live(self) -> tuple[Versions, int | None]:
+        versions = Versions(self.spark, self.root)
+        return versions, versions.latest() if self.version is None else self.version
+
+    def _read(self, reader: DataFrameReader, versions: Versions, files: list[str]) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], self.layout)
+        return reader.option("basePath", versions.root).parquet(*files)
 
     def scan(self, ignore_missing: bool = False, ignore_corrupt: bool = False) -> DataFrame:
         """All bars, lazily. Unreadable or vanished files are skipped only on request."""
@@ -42,7 +55,8 @@ class BarStore:
             reader = reader.option("ignoreMissingFiles", True)
         if ignore_corrupt:
             reader = reader.option("ignoreCorruptFiles", True)
-        return reader.parquet(self.root)
+        versions, number = self._live()
+        return reader.parquet(self.root) if number is None else self._read(reader, versions, versions.paths(number))
 
     def scan_partitions(self, parts: list[tuple[int, str]]) -> DataFrame:
         """One read over listed ``(year, ticker)`` partitions; missing ones are logged and skipped."""
@@ -66,6 +80,14 @@ class BarStore:
         Folders that do not exist are logged and skipped. Prefer :meth:`get_bars`,
         whose predicates let Spark prune by itself.
         """
+        reader = self.spark.read.schema(self.layout).option("ignoreCorruptFiles", ignore_corrupt)
+        versions, number = self._live()
+        if number is not None:
+            wanted = [f"{versions.root}/{f.removeprefix(versions.root).removeprefix(self.root).lstrip('/')}/*" for f in folders]
+            files = [p for p in versions.paths(number) if any(fnmatchcase(p, w) for w in wanted)]
+            if not files:
+                raise PartitionNotFound(f"none of the partitions exists: {folders}")
+            return self._read(reader, versions, files)
         present = []
         for folder in folders:
             if "*" in folder or path_exists(self.spark, folder):
@@ -74,8 +96,7 @@ class BarStore:
                 log.warning("partition not found: %s", folder)
         if not present:
             raise PartitionNotFound(f"none of the partitions exists: {folders}")
-        return self.spark.read.schema(self.layout).option("basePath", self.root).option(
-            "ignoreCorruptFiles", ignore_corrupt).parquet(*present)
+        return reader.option("basePath", self.root).parquet(*present)
 
     def get_bars(self, tickers=None, years=None, start_date=None, end_date=None, columns=None,
                  ordered: bool = False, require_rows: bool = False, exact_case: bool = False,
@@ -96,7 +117,12 @@ class BarStore:
         return iter_chunks(self.get_bars(**selection), chunk_size)
 
     def files(self) -> DataFrame:
-        return list_files(self.spark, self.root, "*.parquet").select(
+        versions, number = self._live()
+        if number is None:
+            listed = list_files(self.spark, self.root, "*.parquet")
+        else:
+            listed = versions.entries(number).withColumn("path", F.concat(F.lit(f"{versions.root}/"), "path"))
+        return listed.select(
             paths.partition_value(F.col("path"), "year").cast("int").alias("year"),
             paths.partition_value(F.col("path"), "ticker").alias("ticker"),
             paths.partition_folder(F.col("path")).alias("path"),

@@ -14,6 +14,7 @@ from barloom.plans.barquery import BarQuery
 from barloom.session import work_dir
 from barloom.sources import flatfiles
 from barloom.sources.barstore import BarStore, map_chunks
+from barloom.sources.versions import Versions
 from barloom.workload import query
 from barloom.workload.inputs import BASE, TICKERS, bars, corr, moment, once, portable, r, ratio, sql, table
 
@@ -231,6 +232,29 @@ def compaction_report(spark, sf_dir):
         F.lit(report.files_after).cast("bigint").alias("files_after")))
 
 
+_COUNTS = "ticker, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume"
+
+
+@query("store_as_of", sql(
+    f"SELECT 'first' AS state, {_COUNTS} FROM hours_bars WHERE ticker IN ('VIEW', 'CLICK') GROUP BY ticker "
+    f"UNION ALL SELECT 'doubled', ticker, 2 * count(*), CAST(2 * sum(volume) AS BIGINT) FROM hours_bars GROUP BY ticker "
+    f"UNION ALL SELECT 'compacted', {_COUNTS} FROM hours_bars GROUP BY ticker", "hours_bars"))
+def store_as_of(spark, sf_dir):
+    """One store at three of its versions: two tickers, every bar twice, and compacted."""
+    target, single = work_dir(spark, "as-of"), store(spark, sf_dir).scan()
+    ingest.write_bars(single.where("ticker IN ('VIEW', 'CLICK')"), target)
+    states = {"first": Versions(spark, target).adopt()}
+    ingest.write_bars(single, target)
+    ingest.write_bars(single.where("ticker NOT IN ('VIEW', 'CLICK')"), target)
+    states["doubled"] = Versions(spark, target).latest()
+    maintain.compact(spark, target, keep_versions=len(states) + 2)
+    states["compacted"] = None
+    return portable(stack([
+        BarStore(spark, target, version=number).scan().groupBy("ticker").agg(
+            F.count("*").alias("n"), F.sum("volume").alias("volume")).select(F.lit(state).alias("state"), "*")
+        for state, number in states.items()]))
+
+
 # A ticker with a slash and one with a space must not be taken for damage.
 _ODD_NAMES = "CASE ticker WHEN 'SIGNUP' THEN 'SIGN/UP' WHEN 'CLICK' THEN 'CL ICK' ELSE ticker END"
 
