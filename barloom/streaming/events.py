@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.errors import DataValidationError
 from barloom.functions import clock
+from barloom.session import broadcast_if_counted, settled
 
 log = logging.getLogger(__name__)
 
@@ -81,10 +82,21 @@ def subscriptions(spark: SparkSession, wanted: list[str]) -> DataFrame:
 
 
 def subscribed(messages: DataFrame, subs: DataFrame) -> DataFrame:
-    """Messages that any subscription asks for. ``subs`` is the caller's own short list."""
-    wanted = (messages["ev"] == subs["topic"]) & (
-        (subs["sym"] == "*") | (subs["sym"] == messages["symbol"]))
-    return messages.join(F.broadcast(subs), wanted, "left_semi")
+    """Messages that any subscription asks for.
+
+    Topics with a wildcard are a condition on the type alone, as many as there
+    are types. Exact (topic, symbol) pairs are an equi-join: broadcast if their
+    counted size allows, else shuffled by both.
+    """
+    of_all = [r.topic for r in subs.where("sym = '*'").select("topic").distinct().collect()]
+    exact = settled(subs.where("sym <> '*'").select(F.col("topic").alias("_topic"), F.col("sym").alias("_sym")).where(
+        ~F.col("topic").isin(of_all)).distinct(), "subscriptions")
+    whole = F.coalesce(F.col("ev").isin(of_all), F.lit(False))
+    if exact.isEmpty():
+        return messages.where(whole)
+    keyed = messages.where(whole | F.col("symbol").isNotNull())
+    picked = keyed.join(broadcast_if_counted(exact).withColumn("_asked", F.lit(True)), (F.col("ev") == F.col("_topic")) & (F.col("symbol") == F.col("_sym")), "left")
+    return picked.where(whole | F.col("_asked")).drop("_topic", "_sym", "_asked")
 
 
 def trades_with_time(trades: DataFrame) -> DataFrame:
@@ -92,10 +104,23 @@ def trades_with_time(trades: DataFrame) -> DataFrame:
     return trades.withColumn("event_time", F.timestamp_millis("timestamp"))
 
 
-def drop_repeated(trades: DataFrame, delay: str = "10 minutes",
+def clock_messages(lines: DataFrame, time_ms: Column, column: str = "value") -> DataFrame:
+    """One line more than ``lines``: a trade without symbol at the largest ``time_ms``. It moves the clock and nothing else."""
+    last = lines.agg(F.max(time_ms).alias("t"))
+    return last.where("t IS NOT NULL").select(F.to_json(F.struct(F.lit("T").alias("ev"), "t")).alias(column))
+
+
+def clocked(trades: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Timed trades with a watermark; trades without symbol have moved it and go."""
+    # One condition that names the time as well, so that no part of it is moved below the watermark.
+    return trades.withWatermark("event_time", delay).where(F.col("symbol").isNotNull() | F.col("event_time").isNull())
+
+
+def drop_repeated(trades: DataFrame, delay: str | None = "10 minutes",
                   keys: tuple[str, ...] = ("symbol", "sequence_number")) -> DataFrame:
-    """Each (symbol, sequence) once, for repeats that arrive within the watermark delay."""
-    return trades.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(keys))
+    """Each (symbol, sequence) once, for repeats that arrive within the watermark delay. Pass None if the input already carries a watermark."""
+    timed = trades.withWatermark("event_time", delay) if delay else trades
+    return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
 def market_time(column: str):

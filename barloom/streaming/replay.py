@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import bar_start
-from barloom.session import scratch_dir
+from barloom.streaming.manifest import land_by_time, read_manifest_stream
 
 ORDER = ["window_start_et", "ticker"]
 
@@ -19,27 +19,15 @@ def next_bars(bars: DataFrame) -> Iterator[Row]:
 
 
 def stage_replay(bars: DataFrame, path: str, timespan: str = "day") -> int:
-    """Write one file per period, oldest first, and give the number of periods.
+    """Land bars by period, oldest first, and give the number of periods.
 
-    A file stream takes older files first, so the write order is the replay
-    order. The bars are cut into periods in one pass; each file is then made from
-    its own period alone. Only the list of periods, which the calendar bounds,
-    comes to the driver.
+    All periods are written by one job, each as several sorted files if it is
+    large. Bars without a time are the first period.
     """
-    spark = bars.sparkSession
     period = F.date_format(bar_start(F.col("window_start_et"), 1, timespan), "yyyy-MM-dd")
-    with scratch_dir(spark, "periods") as cut:
-        bars.withColumn("_period", period).hint("rebalance", "_period").write.partitionBy("_period").parquet(cut)
-        folders = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(cut)
-        name = F.regexp_extract("path", "/_period=([0-9-]+)/", 1)
-        periods = [r[0] for r in folders.select(name.alias("p")).distinct().orderBy("p").collect()]
-        for label in periods:
-            spark.read.schema(bars.schema).parquet(f"{cut}/_period={label}").coalesce(1).sortWithinPartitions(*ORDER) \
-                .write.mode("overwrite").parquet(f"{path}/{label}")
-    return len(periods)
-
-
-def replay_stream(spark: SparkSession, path: str, layout: str, files_per_trigger: int = 1) -> DataFrame:
-    """Stream of a staged replay, ``files_per_trigger`` periods per micro-batch."""
-    return spark.readStream.schema(layout).option("maxFilesPerTrigger", files_per_trigger) \
-        .option("recursiveFileLookup", True).parquet(path)
+    return land_by_time(bars, path, period, ORDER)
+
+
+def replay_stream(spark: SparkSession, path: str, layout: str, periods_per_batch: int = 1, progress: str | None = None) -> DataFrame:
+    """Stream of a staged replay, ``periods_per_batch`` periods per micro-batch; see :func:`read_manifest_stream`."""
+    return read_manifest_stream(spark, path, layout, periods_per_batch, progress)

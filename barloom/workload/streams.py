@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from barloom.functions import clock
 from barloom.operators.bars import bar_start
 from barloom.session import work_dir
+from barloom.sources.versions import Versions
 from barloom.streaming import bars as streambars
-from barloom.streaming import events, replay, sinks
+from barloom.streaming import events, manifest, replay, running, sinks
 from barloom.workload import query
 from barloom.workload.inputs import BAR_LAYOUT, bars, day, moment, once, portable, r, ratio, sql, trades
 
-# Landed files are read in no certain time order, so lateness may span the whole input.
-ALL_LATE = "60 days"
+# Messages are landed by day and streamed in that order, so what comes late is late by minutes.
+DELAY = "10 minutes"
+DAYS_PER_BATCH = 8
 
 
 def stream_session(spark):
@@ -22,6 +24,7 @@ def stream_session(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", str(max(spark.sparkContext.defaultParallelism, 4)))
     session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", running.ROCKS)
     return session
 
 
@@ -38,14 +41,35 @@ def messages(spark, sf_dir) -> str:
         other = F.when(F.col("size") < 10, F.lit('{"ev":"status","message":"connected"}')).when(
             F.col("size") >= 90, F.to_json(F.struct(F.lit("ZZ").alias("ev"), F.col("sequence").alias("q"))))
         line = F.concat(F.lit("["), F.concat_ws(",", trade, quote, other), F.lit("]"))
-        trades(spark, sf_dir).select(line.alias("value")).repartition(8).write.text(target)
+        trades(spark, sf_dir).repartitionByRange("ts", "sequence").select(line.alias("value")).write.text(target)
     return once(spark, sf_dir, "messages", build)
 
 
+def landed_messages(spark, sf_dir) -> str:
+    """The same lines landed by day, and behind them one that only moves the clock by a day."""
+    def build(target):
+        lines = spark.read.text(messages(spark, sf_dir))
+        time = F.get_json_object("value", "$[0].t").cast("bigint")
+        landed = lines.withColumn("_t", time).union(
+            events.clock_messages(lines, time + 86_400_000).withColumn("_t", F.get_json_object("value", "$.t").cast("bigint")))
+        period = F.date_format(F.timestamp_millis("_t").cast("timestamp_ntz"), "yyyy-MM-dd")
+        manifest.land_by_time(landed, target, period, ["_t", "value"])
+    return once(spark, sf_dir, "landed-messages", build)
+
+
+def _routed(lines):
+    return events.trades_with_time(events.route(events.known_messages(events.parse_messages(lines)), "equity_trade"))
+
+
 def _trade_stream(spark, sf_dir, files_per_trigger=4):
-    lines = events.read_message_stream(stream_session(spark), messages(spark, sf_dir), files_per_trigger)
-    return events.trades_with_time(events.route(events.known_messages(
-        events.parse_messages(lines)), "equity_trade"))
+    return _routed(events.read_message_stream(stream_session(spark), messages(spark, sf_dir), files_per_trigger))
+
+
+def _timed_trades(spark, sf_dir, target):
+    """Trades in order of their day, with a watermark of minutes."""
+    lines = manifest.read_manifest_stream(
+        stream_session(spark), landed_messages(spark, sf_dir), "value STRING", DAYS_PER_BATCH, f"{target}-progress/at")
+    return events.clocked(_routed(lines), DELAY)
 
 
 _KINDS_SQL = (
@@ -99,9 +123,9 @@ _STREAM_BARS_SQL = sql(
 @query("stream_minute_bars", _STREAM_BARS_SQL)
 def stream_minute_bars(spark, sf_dir):
     target = work_dir(spark, "streambars")
-    made = streambars.stream_bars(_trade_stream(spark, sf_dir), delay=ALL_LATE)
-    sinks.upsert_versions(made, target, f"{target}-checkpoint").awaitTermination()
-    return portable(sinks.read_latest(spark, target, ["symbol", "window_start_et"]))
+    made = streambars.stream_bars(_timed_trades(spark, sf_dir, target), delay=None)
+    sinks.drain_to_table(made, target, f"{target}-checkpoint")
+    return portable(spark.read.parquet(target))
 
 
 @query("batch_minute_bars", _STREAM_BARS_SQL)
@@ -117,22 +141,56 @@ def batch_minute_bars(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Every trade arrives twice and is kept once."""
     target = work_dir(spark, "dedup")
-    single = _trade_stream(spark, sf_dir)
+    single = _timed_trades(spark, sf_dir, target)
     twice = single.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    sinks.append_to_table(
-        events.drop_repeated(twice, ALL_LATE).select("symbol", "sequence_number", "price", "size"),
-        target, f"{target}-checkpoint").awaitTermination()
+    sinks.drain_to_table(
+        events.drop_repeated(twice, None).select("symbol", "sequence_number", "price", "size"), target, f"{target}-checkpoint")
     return portable(spark.read.parquet(target))
 
 
+@query("stream_running_vwap", sql(
+    "SELECT ticker AS symbol, sequence AS sequence_number, CAST(sum(size) OVER w AS BIGINT) AS accumulated_volume, "
+    f"{r(ratio('sum(price * size) OVER w', 'sum(size) OVER w'))} AS aggregate_vwap FROM ("
+    "SELECT *, epoch_us(ts) // 1000 AS t FROM trades) "
+    "WINDOW w AS (PARTITION BY ticker, CAST(ts_et AS DATE) ORDER BY t, sequence ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "trades"))
+def stream_running_vwap(spark, sf_dir):
+    """Volume and VWAP of the day so far for every trade of the stream."""
+    target = work_dir(spark, "running")
+    totals = running.running_vwap(_timed_trades(spark, sf_dir, target))
+    sinks.drain_to_table(totals, target, f"{target}-checkpoint")
+    return portable(spark.read.parquet(target).select("symbol", "sequence_number", "accumulated_volume", "aggregate_vwap"))
+
+
+@query("stream_late_trades", sql(
+    "SELECT ticker AS symbol, sequence AS sequence_number FROM trades t WHERE size >= 95 AND EXISTS ("
+    "SELECT 1 FROM trades o WHERE epoch_us(o.ts) // 1000 - 600000 >= epoch_us(t.ts) // 1000)", "trades"))
+def stream_late_trades(spark, sf_dir):
+    """Large trades arrive again after the last day; those more than the delay behind the latest trade go to the side table."""
+    target = work_dir(spark, "late")
+
+    def build(path):
+        lines = spark.read.text(messages(spark, sf_dir)).withColumn("_t", F.get_json_object("value", "$[0].t").cast("bigint"))
+        day_of = F.date_format(F.timestamp_millis("_t").cast("timestamp_ntz"), "yyyy-MM-dd")
+        manifest.land_by_time(lines, path, day_of, ["_t", "value"])
+        again = lines.where(F.get_json_object("value", "$[0].s").cast("bigint") >= 95)
+        manifest.land_by_time(again, path, F.lit("again"), ["_t", "value"])
+
+    landed = once(spark, sf_dir, "landed-again", build)
+    days = Versions(spark, landed).entries(columns=manifest.MANIFEST).where("period <> 'again'").select("period").distinct().count()
+    lines = manifest.read_manifest_stream(stream_session(spark), landed, "value STRING", days, f"{target}-progress/at")
+    sinks.late_rows(_routed(lines), "event_time", DELAY, target, f"{target}-checkpoint")
+    return portable(spark.read.parquet(f"{target}/late").select("symbol", "sequence_number"))
+
+
 @query("stream_day_vwap", sql(
     f"SELECT ticker AS symbol, {day('CAST(ts_et AS DATE)')} AS trade_date, "
     f"CAST(sum(size) AS BIGINT) AS accumulated_volume, {r(ratio('sum(price * size)', 'sum(size)'))} AS aggregate_vwap, "
     "count(*) AS transactions FROM trades GROUP BY 1, 2", "trades"))
 def stream_day_vwap(spark, sf_dir):
     target = work_dir(spark, "daytotals")
-    totals = streambars.stream_day_totals(_trade_stream(spark, sf_dir), ALL_LATE)
-    sinks.upsert_versions(totals, target, f"{target}-checkpoint").awaitTermination()
+    totals = streambars.stream_day_totals(_timed_trades(spark, sf_dir, target), None)
+    sinks.drain_versions(totals, target, f"{target}-checkpoint")
     return portable(sinks.read_latest(spark, target, ["symbol", "trade_date"]))
 
 
@@ -155,8 +213,8 @@ def replay_bars(spark, sf_dir):
     """Bars replayed week by week: a batch is one week, and no bar comes before one of an earlier batch."""
     target = work_dir(spark, "replay")
     replay.stage_replay(bars(spark, sf_dir), f"{target}/staged", "week")
-    stream = replay.replay_stream(stream_session(spark), f"{target}/staged", BAR_LAYOUT, 1)
-    sinks.upsert_versions(stream, f"{target}/out", f"{target}/checkpoint").awaitTermination()
+    stream = replay.replay_stream(stream_session(spark), f"{target}/staged", BAR_LAYOUT, 1, f"{target}/progress/at")
+    sinks.drain_versions(stream, f"{target}/out", f"{target}/checkpoint")
     out = spark.read.parquet(f"{target}/out")
     week = bar_start(F.col("window_start_et"), 1, "week")
     spans = out.groupBy("batch_id").agg(
