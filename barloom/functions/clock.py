@@ -27,6 +27,10 @@ def epoch_ns(utc: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), utc) * F.lit(1000)
 
 
+def epoch_us(utc: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), utc)
+
+
 def epoch_ms(utc: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), utc)
 

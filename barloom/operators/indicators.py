@@ -80,8 +80,8 @@ def sma_cross(bars: DataFrame, fast: int = 10, slow: int = 40, series_type: str
     return series.keep_own(cut.withColumn("signal", signal)).filter(F.col("signal").isNotNull())
 
 
-def _smoothed(df: DataFrame, keys: list[str], order: list[str],
-              averages: list[tuple[str, str, float]]) -> DataFrame:
+def _smoothed(df: DataFrame, keys: list[str], order: list[str], averages: list[tuple[str, str, float]],
+              of_gap: tuple[str, float] | None = None) -> DataFrame:
     """Add ``out = alpha * x + (1 - alpha) * previous out`` per ``(x, out, alpha)``, for a frame with blocks.
 
     Only values that are not NULL count: the first is the seed, and a NULL keeps
@@ -90,8 +90,18 @@ def _smoothed(df: DataFrame, keys: list[str], order: list[str],
     to, plus what the piece adds by itself. The latter is a running sum of
     ``x / decay^i`` times ``decay^i``. The few pieces of a key are chained, and each
     row adds what its piece's beginning decays to. No history is cut off.
+
+    ``of_gap`` (out, alpha) adds the average of the first average less the second.
+    It is linear in the same state: over ``k`` values a beginning that decays by
+    ``a`` adds ``alpha * a * (g^k - a^k) / (g - a)`` of itself to an average that
+    decays by ``g``. So it needs no pass of its own. Its seed is 0, since both
+    averages begin with the first value.
     """
+    n = range(len(averages))
     rates = [math.inf if alpha >= 1 else -math.log1p(-alpha) for _, _, alpha in averages]
+    if of_gap:
+        rates.append(math.inf if of_gap[1] >= 1 else -math.log1p(-of_gap[1]))
+    every = range(len(rates))
     step = max(1, int(_SPAN / max([r for r in rates if r < math.inf], default=1.0)))
     w = series.block_window(keys, order)
     running = w.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -108,32 +118,53 @@ def _smoothed(df: DataFrame, keys: list[str], order: list[str],
             F.sum(F.col(x) * F.exp(F.col("_offset") * rate)).over(inside) * alpha * F.exp(F.col("_offset") * -rate)
         added[f"_own{i}"] = F.coalesce(value, F.lit(0.0))
     pieces = ranked.withColumns(added)
-    n = range(len(averages))
+    if of_gap:
+        gap = F.col("_own0") - F.col("_own1")
+        counted = F.when(F.col(averages[0][0]).isNotNull(), gap)
+        total = gap if rates[-1] == math.inf else \
+            F.sum(counted * F.exp(F.col("_offset") * rates[-1])).over(inside) * of_gap[1] * F.exp(F.col("_offset") * -rates[-1])
+        pieces = pieces.withColumn(f"_own{len(averages)}", F.coalesce(total, F.lit(0.0)))
+
+    def carried(i: int, offset: Column) -> Column:
+        """What one unit of the average ``i`` at a piece's beginning adds to the average of the gap."""
+        g, a = (math.exp(-rates[k]) for k in (-1, i))
+        if g == a:
+            return of_gap[1] * offset * decay(rates[-1], offset)
+        return (decay(rates[-1], offset) - decay(rates[i], offset)) * (of_gap[1] * a / (g - a))
+
+    def moved(start: list[Column], offset: Column, own: list[Column]) -> list[Column]:
+        """The averages so many values behind a beginning."""
+        out = [start[i] * decay(rates[i], offset) + own[i] for i in every]
+        if of_gap:
+            out[-1] = out[-1] + start[0] * carried(0, offset) - start[1] * carried(1, offset)
+        return out
+
     summed = pieces.groupBy(*keys, BLOCK, "_piece").agg(
-        F.max("_offset").alias("_count"), *[F.max_by(f"_own{i}", "_at").alias(f"_own{i}") for i in n],
+        F.max("_offset").alias("_count"), *[F.max_by(f"_own{i}", "_at").alias(f"_own{i}") for i in every],
         *[F.min_by(x, F.when(F.col(x).isNotNull(), F.col("_at"))).alias(f"_first{i}") for i, (x, _, _) in enumerate(averages)])
     listed = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        BLOCK, "_piece", "_count", *[f"_own{i}" for i in n], *[f"_first{i}" for i in n]))).alias("_pieces"))
+        BLOCK, "_piece", "_count", *[f"_own{i}" for i in every], *[f"_first{i}" for i in n]))).alias("_pieces"))
     double = F.lit(None).cast("double")
 
     def chain(state: Column, p: Column) -> Column:
-        start = [F.coalesce(state[f"s{i}"], p[f"_first{i}"]) for i in n]
-        end = [F.when(p["_count"] == 0, state[f"s{i}"]).otherwise(start[i] * decay(rates[i], p["_count"]) + p[f"_own{i}"]) for i in n]
+        start = [F.coalesce(state[f"s{i}"], p[f"_first{i}"] if i in n else F.lit(0.0)) for i in every]
+        after = moved(start, p["_count"], [p[f"_own{i}"] for i in every])
+        end = [F.when(p["_count"] == 0, state[f"s{i}"]).otherwise(after[i]) for i in every]
         before = F.struct(p[BLOCK].alias("_b"), p["_piece"].alias("_p"), state["s0"].isNotNull().alias("_known"),
-                          *[start[i].alias(f"_start{i}") for i in n])
+                          *[start[i].alias(f"_start{i}") for i in every])
         return F.struct(*[e.alias(f"s{i}") for i, e in enumerate(end)], F.concat(state["out"], F.array(before)).alias("out"))
 
-    kind = "array<struct<_b:bigint,_p:bigint,_known:boolean," + ",".join(f"_start{i}:double" for i in n) + ">>"
+    kind = "array<struct<_b:bigint,_p:bigint,_known:boolean," + ",".join(f"_start{i}:double" for i in every) + ">>"
     chained = listed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.inline(F.aggregate(
-        "_pieces", F.struct(*[double.alias(f"s{i}") for i in n], F.array().cast(kind).alias("out")), chain)["out"]))
+        "_pieces", F.struct(*[double.alias(f"s{i}") for i in every], F.array().cast(kind).alias("out")), chain)["out"]))
     match = (F.col(BLOCK) == F.col("_b")) & (F.col("_piece") == F.col("_p"))
     for i, k in enumerate(keys):
         match = match & pieces[k].eqNullSafe(F.col(f"_k{i}"))
     joined = pieces.join(steering(chained, "pieces"), match)
     known = F.col("_known") | (F.col("_rank") > 0)
-    return joined.select(*df.columns, *[
-        F.when(known, F.col(f"_start{i}") * decay(rates[i], F.col("_offset")) + F.col(f"_own{i}")).alias(out)
-        for i, (_, out, _) in enumerate(averages)])
+    values = moved([F.col(f"_start{i}") for i in every], F.col("_offset"), [F.col(f"_own{i}") for i in every])
+    names = [out for _, out, _ in averages] + ([of_gap[0]] if of_gap else [])
+    return joined.select(*df.columns, *[F.when(known, value).alias(out) for value, out in zip(values, names)])
 
 
 def ema(bars: DataFrame, window: int, series_type: str = "close", out: str = "ema", key: str = "ticker",
@@ -175,11 +206,10 @@ def macd(bars: DataFrame, short: int = 12, long: int = 26, signal: int = 9, seri
     price = _price(series_type)
     alphas = [2.0 / (n + 1) for n in (short, long, signal)]
     cut = series.block_series(bars, [key], _cell(time, cell), rows_per_block)
-    cut = _smoothed(cut, [key], [time], [(price, "_short", alphas[0]), (price, "_long", alphas[1])])
-    cut = cut.withColumn("macd", F.col("_short") - F.col("_long")).withColumn(
-        "_value", F.when(F.col(price).isNotNull(), F.col("macd"))).drop("_short", "_long")
-    cut = _smoothed(cut, [key], [time], [("_value", "signal", alphas[2])])
-    return cut.withColumn("histogram", F.col("macd") - F.col("signal")).drop(BLOCK, "_value")
+    cut = _smoothed(cut, [key], [time], [(price, "_short", alphas[0]), (price, "_long", alphas[1])], ("signal", alphas[2]))
+    cut = cut.withColumn("macd", F.col("_short") - F.col("_long"))
+    cut = cut.withColumn("histogram", F.col("macd") - F.col("signal"))
+    return cut.select(*[c for c in cut.columns if c not in (BLOCK, "_short", "_long", "macd", "signal", "histogram")], "macd", "signal", "histogram")
 
 
 def latest_values(indicator: DataFrame, limit: int = 10, order: str = "desc",

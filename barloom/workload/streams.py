@@ -16,7 +16,7 @@ from barloom.workload.inputs import BAR_LAYOUT, bars, day, moment, once, portabl
 
 # Messages are landed by day and streamed in that order, so what comes late is late by minutes.
 DELAY = "10 minutes"
-DAYS_PER_BATCH = 8
+DAYS_PER_BATCH = 16
 
 
 def stream_session(spark):
@@ -24,7 +24,6 @@ def stream_session(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", str(max(spark.sparkContext.defaultParallelism, 4)))
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", running.ROCKS)
     return session
 
 
@@ -65,10 +64,10 @@ def _trade_stream(spark, sf_dir, files_per_trigger=4):
     return _routed(events.read_message_stream(stream_session(spark), messages(spark, sf_dir), files_per_trigger))
 
 
-def _timed_trades(spark, sf_dir, target):
+def _timed_trades(spark, sf_dir, target, session=None):
     """Trades in order of their day, with a watermark of minutes."""
     lines = manifest.read_manifest_stream(
-        stream_session(spark), landed_messages(spark, sf_dir), "value STRING", DAYS_PER_BATCH, f"{target}-progress/at")
+        session or stream_session(spark), landed_messages(spark, sf_dir), "value STRING", DAYS_PER_BATCH, f"{target}-progress/at")
     return events.clocked(_routed(lines), DELAY)
 
 
@@ -156,8 +155,9 @@ def stream_dedup(spark, sf_dir):
     "trades"))
 def stream_running_vwap(spark, sf_dir):
     """Volume and VWAP of the day so far for every trade of the stream."""
-    target = work_dir(spark, "running")
-    totals = running.running_vwap(_timed_trades(spark, sf_dir, target))
+    target, session = work_dir(spark, "running"), stream_session(spark)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", running.ROCKS)
+    totals = running.running_vwap(_timed_trades(spark, sf_dir, target, session))
     sinks.drain_to_table(totals, target, f"{target}-checkpoint")
     return portable(spark.read.parquet(target).select("symbol", "sequence_number", "accumulated_volume", "aggregate_vwap"))
 

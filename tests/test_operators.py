@@ -1,6 +1,7 @@
 """Bars, day-over-day, adjustment, reference data and set operators on small hand-made tables."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -213,6 +214,26 @@ def test_latest_row_breaks_ties_by_sequence(spark):
     assert [tuple(r) for r in rows.latest_row(frame, ["ticker"], ["ts", "sequence"]).collect()] == [("A", 5, 2, "y")]
 
 
+def test_latest_row_by_one_number(spark):
+    """Rows of numbers and times: NULL comes first in every place of the order, and whole rows stay together."""
+    rng = random.Random(4)
+    times = [None, *(f"2024-01-0{d} 10:00:00.{u:06d}" for d in (1, 2) for u in (0, 1, 999_999)), "1900-01-01 00:00:00", "9999-12-31 23:59:59"]
+    picks = [(rng.choice("ABCDEFGH"), rng.choice(times), rng.choice([None, -(1 << 63), -1, 0, 7, (1 << 63) - 1]), rng.choice([None, 1.0, 2.0]), i)
+             for i in range(400)] + [("N", None, None, 5.0, 900)]
+    frame = spark.createDataFrame(picks, "k STRING, t STRING, q BIGINT, price DOUBLE, i BIGINT").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    for kind in ("timestamp_ntz", "timestamp", "date"):
+        typed = frame.withColumn("t", F.col("t").cast(kind))
+        for order in (["t", "q"], ["t"], ["q"]):
+            plan = rows.latest_row(typed, ["k"], order)
+            best = typed.groupBy("k").agg(F.max(F.struct(*order)).alias("o")).select("k", "o.*")
+            found = {(r.k, *(r[c] for c in order)) for r in plan.collect()}
+            assert found == {tuple(r) for r in best.collect()}
+            assert {tuple(r) for r in plan.collect()} <= {tuple(r) for r in typed.collect()}
+            assert "SortAggregate" not in plan._jdf.queryExecution().toString()
+    texts = frame.withColumn("t", F.col("t").cast("string"))
+    assert {(r.k, r.t) for r in rows.latest_row(texts, ["k"], ["t"]).collect()} == {tuple(r) for r in texts.groupBy("k").agg(F.max("t")).collect()}
+
+
 @pytest.mark.parametrize("size", [1, 7, 1000, 20_000])
 def test_chunks_on_executors(spark, size):
     sizes = map_chunks(spark.range(0, 12_345, 1, 3), lambda p: pd.DataFrame({"n": [len(p)]}), "n BIGINT", size)
