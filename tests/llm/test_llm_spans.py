@@ -137,7 +137,7 @@ def test_every_run_of_groups_is_proposed_without_cutting_a_group(spark):
     chain = spark.createDataFrame([(5, 4, 27, "card", "123456789 987654321 12", "")], "start int, rank int, end int, kind string, value string, text string")
     runs = chain.select(F.explode(pii._runs(F.struct(*chain.columns))).alias("c")).select("c.s.*").collect()
     assert sorted((r.start, r.end, r.kind, r.value) for r in runs) == [
-        (5, 14, "number", "123456789"), (5, 24, "number", "123456789 987654321"), (15, 24, "number", "987654321"), (15, 27, "number", "987654321 12")]
+        (5, 14, "number", "123456789"), (5, 24, "card", "123456789 987654321"), (15, 24, "number", "987654321"), (15, 27, "number", "987654321 12")]
 
 
 def test_addresses_with_a_written_at_are_proposed(spark):
