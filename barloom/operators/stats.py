@@ -141,9 +141,7 @@ def pair_correlation(daily: DataFrame, bases: list[str], key: str = "ticker") ->
     """Correlation of every ticker with each listed base ticker, in long form."""
     reference = daily.filter(F.col(key).isin(bases)).select(
         F.col(key).alias("base"), "trade_date", F.col("daily_close").alias("base_close"))
-    # At most one row per base and day, so a short list bounds the broadcast.
-    if len(bases) <= 100:
-        reference = F.broadcast(reference)
+    # One row per base and day; its size as it turns out decides how the sides meet, whatever the list.
     joint = daily.join(reference, "trade_date").filter(F.col(key) != F.col("base"))
     return joint.groupBy("base", key).agg(
         correlation(F.col("base_close"), F.col("daily_close")).alias("correlation"),

@@ -96,18 +96,31 @@ def corrupt_files(spark: SparkSession, root: str, deep: bool = False, layout: st
     if suspects:
         # Raises where the bytes themselves cannot be had.
         spark.read.text([path for path, *_ in suspects]).agg(F.sum(F.length("value"))).collect()
-    bad = [(path, error) for path, rows, decoded in suspects if (error := _format_error(spark, path, rows, decoded))]
+    bad = [(path, f"{decoded or 0} of {rows} rows can be decoded") for path, rows, decoded in suspects if rows is not None]
+    bad += _unreadable(spark, [path for path, rows, _ in suspects if rows is None])
     return spark.createDataFrame(bad, "path STRING, error STRING").select(
         "path", paths.partition_value(F.col("path"), "year").cast("int").alias("year"),
         paths.partition_value(F.col("path"), "ticker").alias("ticker"), "error")
 
 
-def _format_error(spark: SparkSession, path: str, rows: int | None, decoded: int | None) -> str | None:
-    """What the reader says about one suspect; None if it is healthy but empty."""
-    if rows is not None:
-        return f"{decoded or 0} of {rows} rows can be decoded"
+def _unreadable(spark: SparkSession, suspects: list[str]) -> list[tuple[str, str]]:
+    """(path, error) of the suspects that the reader objects to; the others are healthy but empty.
+
+    Suspects are read together and halved where that fails: one job if all are
+    healthy, about two times the logarithm of their number for each broken one.
+    """
+    if not suspects or (error := _reader_error(spark, suspects)) is None:
+        return []
+    if len(suspects) == 1:
+        return [(suspects[0], error)]
+    half = len(suspects) // 2
+    return _unreadable(spark, suspects[:half]) + _unreadable(spark, suspects[half:])
+
+
+def _reader_error(spark: SparkSession, files: list[str]) -> str | None:
+    """What the reader says about files whose bytes can be had; None if it reads them all."""
     try:
-        spark.read.option("ignoreCorruptFiles", False).parquet(path).count()
+        spark.read.option("ignoreCorruptFiles", False).parquet(*files).count()
     except (PySparkException, Py4JJavaError) as error:
         # Its bytes could be had, so the reader objects to the format.
         return str(error.java_exception.getMessage() if isinstance(error, Py4JJavaError) else error)

@@ -203,8 +203,8 @@ def test_a_place_that_fails_is_not_called_corrupt(spark, tmp_path, monkeypatch):
     # A file that vanishes between the listing and the look at its bytes.
     bad = root / "year=2025" / "ticker=KOVA" / "part-bad.parquet"
     bad.write_bytes(b"not parquet")
-    real = maintain._format_error
-    monkeypatch.setattr(maintain, "_format_error", lambda *a: pytest.fail("asked for the format of a file that cannot be read"))
+    real = maintain._reader_error
+    monkeypatch.setattr(maintain, "_reader_error", lambda *a: pytest.fail("asked for the format of a file that cannot be read"))
     text = type(spark.read).text
     monkeypatch.setattr(type(spark.read), "text", lambda self, paths, *a: (bad.unlink(), text(self, paths, *a))[1])
     with pytest.raises(Exception):
@@ -262,3 +262,25 @@ def test_command_line(spark, tmp_path, capsys):
     ingest.main([source, str(tmp_path / "store"), "--year", "2025", "--tickers", "KOVA,BRK/A"])
     assert "rows_written=4" in capsys.readouterr().out
     assert BarStore(spark, str(tmp_path / "store")).scan().count() == 4
+
+
+def test_suspects_are_halved_not_read_one_by_one(spark, tmp_path, monkeypatch):
+    """200 files without rows cost one job; two broken ones among them about two times the logarithm each."""
+    layout = "ticker STRING, close DOUBLE, year INT"
+    empty = tmp_path / "one"
+    spark.createDataFrame([], "ticker STRING, close DOUBLE").coalesce(1).write.parquet(str(empty))
+    whole = next(empty.glob("*.parquet")).read_bytes()
+    root = tmp_path / "store" / "year=2025"
+    root.mkdir(parents=True)
+    for i in range(200):
+        (root / f"part-{i:03d}.parquet").write_bytes(whole)
+    asked = []
+    plain = maintain._reader_error
+    monkeypatch.setattr(maintain, "_reader_error", lambda spark, files: asked.append(len(files)) or plain(spark, files))
+    assert maintain.corrupt_files(spark, str(tmp_path / "store"), layout=layout).count() == 0 and asked == [200]
+    asked.clear()
+    for name in ("part-bad.parquet", "part-007-bad.parquet"):
+        (root / name).write_bytes(b"PAR1 of old times")
+    found = maintain.corrupt_files(spark, str(tmp_path / "store"), deep=True, layout=layout).collect()
+    assert sorted(r.path.rpartition("/")[2] for r in found) == ["part-007-bad.parquet", "part-bad.parquet"] and all(r.error for r in found)
+    assert len(asked) <= 2 * 2 * 9
