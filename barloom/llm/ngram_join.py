@@ -10,16 +10,20 @@ of all tokens. Three orders are used:
 2. ascending hash;
 3. descending hash.
 
-A pair is verified only if it passes all three, besides a size filter and a
-lower bound of the symmetric difference from 256 parity bits per set.
+Pairs that meet under the first order pass a size filter and a lower bound of the
+symmetric difference from parity bits, 256 per set and 1024 for sets of
+``WIDE_FROM`` shingles or more. Those that also meet under the other two orders
+are verified; only for them whole sets are fetched.
 
 Equal sets are one class from the start. Classes that share a frequent token are
-not paired with each other at once: in a few rounds each class is held against
-the nearest of the classes drawn for its tokens, and classes found linked get one
-label. Then
-every remaining pair of prefix partners with different labels is held together,
-so no link that could join two components is left out, while a large group of
-near copies never meets in all its pairs.
+not paired with each other at once: in rounds, until one links nothing, each class
+is held against the nearest of the classes drawn for its tokens, and classes found
+linked get one label. Then every remaining pair of prefix partners with different
+labels is held together, so no link that could join two components is left out,
+while a large group of near copies never meets in all its pairs. Each posting
+carries a few of its set's prefix tokens, the most frequent and the smallest; a
+pair that shares some of them is made at one of these only, not at every token of
+a common passage.
 """
 
 from __future__ import annotations
@@ -38,8 +42,11 @@ from barloom.llm.components import components
 from barloom.llm.shingles import shingle_set, word_hashes
 
 BLOOM_BITS = 1 << 25
-STAR_ROUNDS = 2
+STAR_ROUNDS = 8
 SKETCH = ["s0", "s1", "s2", "s3"]
+WIDE = 16
+WIDE_FROM = 256
+MARKS = 8
 CLASS = ["k1", "k2", "n"]
 
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -49,36 +56,45 @@ def prefix_size(n, percent: int):
     return n - (-(-percent * n // 100)) + 1
 
 
-def _described(tokens: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """Two sums that identify the set, and 256 parity bits."""
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _described(tokens: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Two sums that identify the set, its 256 parity bits, and 1024 of them where the set is large."""
     mixed = scrambled(tokens + _SALT)
-    bits = np.bincount((mixed & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
-    return int(mixed.sum(dtype=np.uint64).view(np.int64)), int(scrambled(mixed).sum(dtype=np.uint64).view(np.int64)), sketch
+    bits = np.bincount((mixed & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+    wide = _packed(bits) if len(tokens) >= WIDE_FROM else np.empty(0, np.int64)
+    return (int(mixed.sum(dtype=np.uint64).view(np.int64)), int(scrambled(mixed).sum(dtype=np.uint64).view(np.int64)),
+            _packed(bits.reshape(-1, 256).sum(axis=0) & 1), wide)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(a) for a in arrays], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int64()))
 
 
 def _sets(width: int, percent: int, limit: int, schema: pa.Schema):
-    """Per row: size, set identity, parity bits, and the universe tokens, filled up to the prefix with the next hashes."""
+    """Per row: size, set identity, universe tokens, filled up to the prefix with the next hashes, and parity bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, kept, sketches = [], [], [], [], []
+            sizes, first, second, kept, sketches, wides = [], [], [], [], [], []
             for _, words in word_hashes(batch.column(1)):
                 tokens = shingle_set(words, width) >> np.uint64(1)
                 n = len(tokens)
-                a, b, sketch = _described(tokens)
+                a, b, sketch, wide = _described(tokens)
                 need = prefix_size(n, percent) if n else 0
                 sizes.append(n)
                 first.append(a)
                 second.append(b)
                 sketches.append(sketch)
+                wides.append(wide)
                 kept.append(tokens[:max(need, int(np.searchsorted(tokens, np.uint64(limit))))].astype(np.int64))
             if not sizes:
                 continue
-            ends = np.cumsum([0] + [len(k) for k in kept], dtype=np.int32)
             table = np.stack(sketches)
             columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                       pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept), pa.int64())),
-                       *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(SKETCH))]]
+                       _lists(kept), *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(SKETCH))], _lists(wides)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
     return run
 
@@ -155,7 +171,7 @@ def _whole_sets(width: int, bloom):
 
 
 def _verified(percent: int):
-    """Pairs that pass the second and third order's filters and whose exact similarity reaches ``percent``."""
+    """Pairs whose exact similarity reaches ``percent``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
@@ -165,10 +181,8 @@ def _verified(percent: int):
             linked = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 a, b = (values[ends[i]:ends[i + 1]] for values, ends in sides)
-                na, nb = prefix_size(len(a), percent), prefix_size(len(b), percent)
-                if _common(a[:na], b[:nb]) and _common(a[-na:], b[-nb:]):
-                    both = _common(a, b)
-                    linked[i] = 100 * both >= percent * (len(a) + len(b) - both)
+                both = _common(a, b)
+                linked[i] = 100 * both >= percent * (len(a) + len(b) - both)
             keep = pa.array(linked)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
     return run
@@ -183,7 +197,11 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def _apart(x: str, y: str) -> Column:
     """The least symmetric difference that the parity bits allow."""
-    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SKETCH), F.lit(0))
+    def differing(names: list[str]) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in names), F.lit(0))
+
+    # Null where one of the sets is small.
+    return F.coalesce(differing([f"wide.w{i}" for i in range(WIDE)]), differing(SKETCH))
 
 
 def _close(x: str, y: str, percent: int) -> Column:
@@ -198,22 +216,36 @@ class _Links:
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
-        self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def add(self, pairs: DataFrame) -> int:
-        """Verify distinct pairs (u, v); the number of new links."""
-        pairs = settle(pairs.select("u", "v").distinct(), "pairs")
-        a = self.sets.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
-        b = self.sets.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
-        met = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-        found = settle(met.mapInArrow(_verified(self.percent), "u long, v long"), "links")
+        """Verify pairs (u, v) that meet under the first order; the number of new links."""
+        size = F.size("tokens")
+        prefix = (size - F.expr(f"({self.percent} * size(tokens) + 99) div 100") + 1).cast("int")
+        ends = self.sets.select("node", F.slice("tokens", F.lit(1), prefix).alias("low"), F.slice("tokens", -prefix, prefix).alias("high"))
+        x, y = ends.toDF("u", "xl", "xh"), ends.toDF("v", "yl", "yh")
+        met = settle(pairs.select("u", "v").distinct().join(x, "u").join(y, "v").where(
+            F.arrays_overlap("xl", "yl") & F.arrays_overlap("xh", "yh")).select("u", "v"), "pairs")
+        a, b = self.sets.select("node", "tokens").toDF("u", "a"), self.sets.select("node", "tokens").toDF("v", "b")
+        both = met.join(a, "u").join(b, "v").select("u", "v", "a", "b")
+        found = settle(both.mapInArrow(_verified(self.percent), "u long, v long"), "links")
         new = found.count()
         if new:
-            self.edges = found if self.edges is None else self.edges.union(found)
-            self.labels = components(self.edges)
+            self._join(found)
         return new
 
+    def _join(self, found: DataFrame) -> None:
+        """Labels after new links; only labels that a new link touches are looked at again."""
+        if self.labels is None:
+            self.labels = settle(components(found), "labels")
+            return
+        sides = self.labels.toDF("u", "lu"), self.labels.toDF("v", "lv")
+        between = found.join(sides[0], "u", "left").join(sides[1], "v", "left").select(
+            F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+        merged = settle(components(between), "merged")
+        moved = self.labels.join(merged.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        self.labels = settle(moved.union(merged.join(self.labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+
     def labelled(self, posts: DataFrame) -> DataFrame:
         """``posts`` with the label of each node, its own number while nothing is linked to it."""
         if self.labels is None:
@@ -230,7 +262,7 @@ def _partners(links: _Links, posts: DataFrame) -> DataFrame:
 
 def _stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each class, the nearest by parity bits of the classes of another label that its tokens chose, two per token."""
-    who = F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("dice"), "node", "label", "n", *SKETCH)
+    who = F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("dice"), "node", "label", "n", *SKETCH, "wide")
     chosen = posts.groupBy("token").agg(F.array(F.min(who), F.max(who)).alias("y")).select("token", F.explode("y").alias("y"))
     met = posts.alias("x").join(chosen, "token").where((F.col("x.label") != F.col("y.label")) & _close("x", "y", percent))
     nearest = met.groupBy("x.node").agg(F.min(F.struct(_apart("x", "y").alias("apart"), F.col("y.node").alias("v"))).alias("best"))
@@ -238,10 +270,12 @@ def _stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _remaining(posts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different label that share a prefix token and may reach the threshold."""
+    """All pairs of different label that share a prefix token and may reach the threshold, at one of the marks they share if any."""
     x, y = posts.alias("x"), posts.alias("y")
+    # A mark is a prefix token of both sets, and open because their labels differ.
+    place = F.coalesce(F.array_min(F.array_intersect("x.marks", "y.marks")), F.col("x.token"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
-                 & (F.col("x.label") != F.col("y.label")) & _close("x", "y", percent))
+                 & (F.col("x.label") != F.col("y.label")) & _close("x", "y", percent) & (place == F.col("x.token")))
     return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
@@ -265,12 +299,13 @@ def similar_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_i
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_tag(text_col).alias("tag"))
     schema = T.StructType([
         T.StructField("id", texts.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("tag", "n", "k1", "k2")],
-        T.StructField("tokens", T.ArrayType(T.LongType())), *[T.StructField(c, T.LongType()) for c in SKETCH]])
+        T.StructField("tokens", T.ArrayType(T.LongType())), *[T.StructField(c, T.LongType()) for c in SKETCH],
+        T.StructField("wide", T.ArrayType(T.LongType()))])
     sets = settle(texts.mapInArrow(_sets(width, percent, limit, to_arrow_schema(schema)), schema).withColumn(
         "row", F.monotonically_increasing_id()), "sets")
     # Equal sets have equal tokens and bits, so any row of a class stands for it; combined before the shuffle.
     classes = settle(sets.where("n > 0").groupBy(*CLASS).agg(
-        F.first(F.struct("tokens", *SKETCH)).alias("c"),
+        F.first(F.struct("tokens", *SKETCH, "wide")).alias("c"),
         F.min(F.struct("row", "id")).alias("one"),
         F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("least")).select(
         F.col("one.row").alias("node"), F.col("one.id").alias("node_id"), *CLASS, "least", "c.*"), "classes")
@@ -305,7 +340,7 @@ def spark_context(df: DataFrame):
 
 
 def _prefixes(classes: DataFrame, percent: int, limit: int, share) -> DataFrame:
-    """Postings (node, n, parity bits, token) of the first order's prefixes, without tokens that one class has."""
+    """Postings (node, n, parity bits, marks, token) of the first order's prefixes, without tokens that one class has."""
     in_universe = F.col("token") < F.lit(limit)
     shared = settle(classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
@@ -314,14 +349,18 @@ def _prefixes(classes: DataFrame, percent: int, limit: int, share) -> DataFrame:
     # Beyond the universe tokens follow in hash order, whatever their count. A list is bounded by its text.
     per_class = postings.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(
         (~in_universe).alias("outside"), F.when(in_universe, F.col("df")).otherwise(F.lit(0)).alias("df"), "token"))).alias("shared"))
-    sizes = classes.select("node", "n", *SKETCH, F.size(F.filter("tokens", lambda t: t < F.lit(limit))).alias("inside"))
+    wide = F.when(F.size("wide") > 0, F.struct(*[F.element_at("wide", i + 1).alias(f"w{i}") for i in range(WIDE)]))
+    sizes = classes.select("node", "n", *SKETCH, wide.alias("wide"), F.size(F.filter("tokens", lambda t: t < F.lit(limit))).alias("inside"))
     # The universe tokens of one class only come first; what the prefix still needs is taken from the shared ones.
     need = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     own = F.col("inside") - F.size(F.filter("shared", lambda s: ~s["outside"]))
     take = F.when(F.col("inside") >= need, F.greatest(need - own, F.lit(0))).otherwise(F.size("shared")).cast("int")
+    # The last of the order are the most frequent, which sets with a passage in common have in common.
+    marks = F.array_union(F.slice(F.reverse("prefix"), 1, MARKS), F.slice(F.array_sort("prefix"), 1, MARKS))
+    held = ["node", "n", *SKETCH, "wide"]
     return settle(per_class.join(sizes, "node").select(
-        "node", "n", *SKETCH, F.explode(F.slice("shared", F.lit(1), take)).alias("s")).select(
-        "node", "n", *SKETCH, F.col("s.token").alias("token")), "postings")
+        *held, F.transform(F.slice("shared", F.lit(1), take), lambda s: s["token"]).alias("prefix")).select(
+        *held, marks.alias("marks"), F.explode("prefix").alias("token")), "postings")
 
 
 def keep_one_of_each(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
