@@ -16,14 +16,14 @@ symmetric difference from parity bits, 256 per set and 1024 for sets of
 are verified; only for them whole sets are fetched.
 
 Equal sets are one class from the start. Classes that share a frequent token are
-not paired with each other at once: in rounds, until one links nothing, each class
+not paired with each other at once: in rounds, until one links few (``STAR_SHARE`` of the first), each class
 is held against the nearest of the classes drawn for its tokens, and classes found
 linked get one label. Then every remaining pair of prefix partners with different
 labels is held together, so no link that could join two components is left out,
-while a large group of near copies never meets in all its pairs. Each posting
-carries a few of its set's prefix tokens, the most frequent and the smallest; a
-pair that shares some of them is made at one of these only, not at every token of
-a common passage.
+while a large group of near copies never meets in all its pairs. There each posting
+carries a few of its set's prefix tokens, the most frequent and the smallest, and
+the wide parity bits; a pair that shares some of these tokens is made at one of
+them only, not at every token of a common passage.
 """
 
 from __future__ import annotations
@@ -43,10 +43,11 @@ from barloom.llm.shingles import shingle_set, word_hashes
 
 BLOOM_BITS = 1 << 25
 STAR_ROUNDS = 8
+STAR_SHARE = 0.05
 SKETCH = ["s0", "s1", "s2", "s3"]
 WIDE = 16
-WIDE_FROM = 256
-MARKS = 8
+WIDE_FROM = 512
+MARKS = 4
 CLASS = ["k1", "k2", "n"]
 
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -195,20 +196,20 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(merged[1:] == merged[:-1]))
 
 
-def _apart(x: str, y: str) -> Column:
+def _apart(x: str, y: str, wide: bool = False) -> Column:
     """The least symmetric difference that the parity bits allow."""
     def differing(names: list[str]) -> Column:
         return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in names), F.lit(0))
 
-    # Null where one of the sets is small.
-    return F.coalesce(differing([f"wide.w{i}" for i in range(WIDE)]), differing(SKETCH))
+    # The wide bits are null where one of the sets is small.
+    return F.coalesce(differing([f"wide.w{i}" for i in range(WIDE)]), differing(SKETCH)) if wide else differing(SKETCH)
 
 
-def _close(x: str, y: str, percent: int) -> Column:
+def _close(x: str, y: str, percent: int, wide: bool = False) -> Column:
     """Size filter, and the bound that the parity bits give."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     # d differing tokens of n tokens in all: (n - d) / (n + d) >= p means d * (100 + p) <= n * (100 - p).
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (_apart(x, y) * (100 + percent) <= (nx + ny) * (100 - percent))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (_apart(x, y, wide) * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
 class _Links:
@@ -262,20 +263,21 @@ def _partners(links: _Links, posts: DataFrame) -> DataFrame:
 
 def _stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each class, the nearest by parity bits of the classes of another label that its tokens chose, two per token."""
-    who = F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("dice"), "node", "label", "n", *SKETCH, "wide")
+    who = F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("dice"), "node", "label", "n", *SKETCH)
     chosen = posts.groupBy("token").agg(F.array(F.min(who), F.max(who)).alias("y")).select("token", F.explode("y").alias("y"))
     met = posts.alias("x").join(chosen, "token").where((F.col("x.label") != F.col("y.label")) & _close("x", "y", percent))
     nearest = met.groupBy("x.node").agg(F.min(F.struct(_apart("x", "y").alias("apart"), F.col("y.node").alias("v"))).alias("best"))
     return nearest.select(F.least("node", "best.v").alias("u"), F.greatest("node", "best.v").alias("v"))
 
 
-def _remaining(posts: DataFrame, percent: int) -> DataFrame:
+def _remaining(posts: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """All pairs of different label that share a prefix token and may reach the threshold, at one of the marks they share if any."""
-    x, y = posts.alias("x"), posts.alias("y")
+    full = posts.join(prefixes.select("node", "wide", "marks"), "node")
+    x, y = full.alias("x"), full.alias("y")
     # A mark is a prefix token of both sets, and open because their labels differ.
     place = F.coalesce(F.array_min(F.array_intersect("x.marks", "y.marks")), F.col("x.token"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
-                 & (F.col("x.label") != F.col("y.label")) & _close("x", "y", percent) & (place == F.col("x.token")))
+                 & (F.col("x.label") != F.col("y.label")) & _close("x", "y", percent, wide=True) & (place == F.col("x.token")))
     return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
@@ -310,7 +312,8 @@ def similar_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_i
         F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("least")).select(
         F.col("one.row").alias("node"), F.col("one.id").alias("node_id"), *CLASS, "least", "c.*"), "classes")
 
-    posts = _prefixes(classes, percent, limit, share)
+    prefixes = _prefixes(classes, percent, limit, share)
+    posts = prefixes.select("node", "n", *SKETCH, F.explode("prefix").alias("token"))
     partnered = posts.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     ends = posts.join(partnered, "token", "left_semi").select("node").distinct()
     wanted = settle(classes.select("node", "node_id", *CLASS).join(ends, "node", "left_semi"), "wanted")
@@ -319,10 +322,15 @@ def similar_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_i
         wanted.select("node", *CLASS), CLASS).dropDuplicates(CLASS).select("node", "tokens"), "whole")
 
     links = _Links(whole, percent)
+    first = 0
     for turn in range(star_rounds):
-        if not links.add(_stars(_partners(links, posts), turn, percent)):
+        # A token whose sets have one label stays closed.
+        posts = _partners(links, posts)
+        new = links.add(_stars(posts, turn, percent))
+        posts, first = posts.drop("label"), first or new
+        if new <= STAR_SHARE * first:
             break
-    links.add(_remaining(_partners(links, posts), percent))
+    links.add(_remaining(_partners(links, posts), prefixes, percent))
 
     labelled = links.labelled(classes.select("node", *CLASS, "least"))
     groups = labelled.groupBy("label").agg(F.min("least").alias("group_least"))
@@ -340,7 +348,7 @@ def spark_context(df: DataFrame):
 
 
 def _prefixes(classes: DataFrame, percent: int, limit: int, share) -> DataFrame:
-    """Postings (node, n, parity bits, marks, token) of the first order's prefixes, without tokens that one class has."""
+    """Per class (node, n, parity bits, prefix, marks): the first order's prefix without tokens that one class has."""
     in_universe = F.col("token") < F.lit(limit)
     shared = settle(classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
@@ -357,10 +365,9 @@ def _prefixes(classes: DataFrame, percent: int, limit: int, share) -> DataFrame:
     take = F.when(F.col("inside") >= need, F.greatest(need - own, F.lit(0))).otherwise(F.size("shared")).cast("int")
     # The last of the order are the most frequent, which sets with a passage in common have in common.
     marks = F.array_union(F.slice(F.reverse("prefix"), 1, MARKS), F.slice(F.array_sort("prefix"), 1, MARKS))
-    held = ["node", "n", *SKETCH, "wide"]
-    return settle(per_class.join(sizes, "node").select(
-        *held, F.transform(F.slice("shared", F.lit(1), take), lambda s: s["token"]).alias("prefix")).select(
-        *held, marks.alias("marks"), F.explode("prefix").alias("token")), "postings")
+    held = ["node", "n", *SKETCH, "wide", "prefix"]
+    return settle(per_class.join(sizes, "node").withColumn(
+        "prefix", F.transform(F.slice("shared", F.lit(1), take), lambda s: s["token"])).select(*held, marks.alias("marks")), "prefixes")
 
 
 def keep_one_of_each(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
