@@ -34,11 +34,13 @@ def _uniform(h: Column, high: bool) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """(term hash, weight) of each distinct word; a text without words has one fixed term."""
-    words = F.filter(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    ordered = F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
-    hashes = F.when(F.size(ordered) == 0, F.array(F.lit(0).cast("long"))).otherwise(ordered)
-    return hashes
+    """Sorted hashes of all words; a text without words has one fixed term."""
+    # In a text of ASCII alone lower() does the same, by bytes.
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    words = F.array_remove(F.split(lowered, r"[\x20\x09-\x0D]+"), "")
+    # sort_array compares longs themselves; array_sort would evaluate a comparator for each pair.
+    ordered = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.when(ordered == F.array().cast("array<bigint>"), F.array(F.lit(0).cast("long"))).otherwise(ordered)
 
 
 def _weighted(hashes: Column) -> Column:
