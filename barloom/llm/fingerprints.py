@@ -21,7 +21,6 @@ from barloom.llm.common import ascii_lower, settle, text_of
 
 SAMPLES = 32
 ROWS_PER_CELL = 4_000
-ROWS_PER_PART = 2_000
 MOST_CELLS = 100_000
 
 _HALF = 1 << 32
@@ -34,13 +33,12 @@ def _uniform(h: Column, high: bool) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Sorted hashes of all words; a text without words has one fixed term."""
+    """Sorted hashes of all words."""
     # In a text of ASCII alone lower() does the same, by bytes.
     lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
     words = F.array_remove(F.split(lowered, r"[\x20\x09-\x0D]+"), "")
     # sort_array compares longs themselves; array_sort would evaluate a comparator for each pair.
-    ordered = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.when(ordered == F.array().cast("array<bigint>"), F.array(F.lit(0).cast("long"))).otherwise(ordered)
+    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def _weighted(hashes: Column) -> Column:
@@ -51,49 +49,28 @@ def _weighted(hashes: Column) -> Column:
 
 
 def _sample(k: int) -> Column:
-    """Sample ``k`` of a row (term, weight): its value in the upper half of a long, (term, t) hashed in the lower."""
-    term, log_weight = F.col("term"), F.log(F.col("weight").cast("double"))
+    """Sample ``k`` of a row (term, log_weight): its value in the upper half of a long, (term, t) hashed in the lower."""
+    term = F.col("term")
     first, second, third = (F.xxhash64(term, F.lit(3 * k + i)) for i in range(3))
     r = -F.log(_uniform(first, True) * _uniform(first, False))
     c = -F.log(_uniform(second, True) * _uniform(second, False))
     b = _uniform(third, True)
-    t = F.floor(log_weight / r + b)
+    t = F.floor(F.col("log_weight") / r + b)
     value = F.log(c) - r * (t.cast("double") - b + 1.0)
     # 24 fractional bits; values lie far inside -64..64.
     place = F.least(F.greatest((value + 64.0) * float(1 << 24), F.lit(0.0)), F.lit(float((1 << 31) - 1))).cast("long")
     return F.shiftleft(place, 32).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(_HALF - 1)))
 
 
-def signatures(rows: DataFrame, scope: list[str], keys: list[str], facts: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``fingerprint`` (an array of ints) and ``facts`` per ``scope`` and ``keys`` of rows with an array ``hashes`` of sorted term hashes.
-
-    A sample depends on the term and its weight alone, so it is made once per
-    ``scope`` and given to all rows of the scope that hold the term with that
-    weight. ``facts`` are columns of fixed width; they travel with a row's first
-    term only. With rows dealt by columns of ``scope`` nothing is shuffled.
-    """
-    counted = rows.select(*scope, *keys, *facts, "hashes", _weighted(F.col("hashes")).alias("firsts"))
-    runs = counted.select(*scope, *keys, *facts, "hashes", F.explode(F.arrays_zip(
+def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """``fingerprint`` (an array of ints) per ``keys`` of rows with an array column ``hashes`` of sorted term hashes."""
+    counted = rows.select(*keys, "hashes", _weighted(F.col("hashes")).alias("firsts"))
+    runs = counted.select(*keys, "hashes", F.explode(F.arrays_zip(
         F.col("firsts").alias("at"), F.concat(F.expr("slice(firsts, 2, size(firsts))"), F.array(F.size("hashes") + 1)).alias("next"))).alias("x"))
-    holder = F.struct(*keys, F.when(F.col("x.at") == 1, F.struct(*facts)).alias("facts"))
-    weighted = runs.select(*scope, F.element_at("hashes", F.col("x.at")).alias("term"),
-                           (F.col("x.next") - F.col("x.at")).alias("weight"), holder.alias("holder"))
-    held = weighted.groupBy(*scope, "term", "weight").agg(F.collect_list("holder").alias("holders"))
-    made = held.select(*scope, "holders", *[_sample(k).alias(f"m{k}") for k in range(samples)])
-    given = made.select(*scope, F.explode("holders").alias("holder"), *[f"m{k}" for k in range(samples)]).select(
-        *scope, "holder.*", *[f"m{k}" for k in range(samples)])
-    least = given.groupBy(*scope, *keys).agg(*[F.max(f"facts.{f}").alias(f) for f in facts], *[F.min(f"m{k}").alias(f"m{k}") for k in range(samples)])
-    return least.select(*scope, *keys, *facts, F.array(*[F.col(f"m{k}").bitwiseAND(F.lit(_HALF - 1)) for k in range(samples)]).alias("fingerprint"))
-
-
-def _digest_parts(text: Column) -> list[Column]:
-    """SHA-256 as four longs, so that it can travel as numbers."""
-    digest = F.sha2(text.cast("binary"), 256)
-    return [F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)]
-
-
-def _digest_text(parts: list[Column]) -> Column:
-    return F.lower(F.concat(*[F.lpad(F.hex(p), 16, "0") for p in parts]))
+    weighted = runs.select(*keys, F.element_at("hashes", F.col("x.at")).alias("term"),
+                           F.log((F.col("x.next") - F.col("x.at")).cast("double")).alias("log_weight"))
+    least = weighted.groupBy(*keys).agg(*[F.min(_sample(k)).alias(f"m{k}") for k in range(samples)])
+    return least.select(*keys, F.array(*[F.col(f"m{k}").bitwiseAND(F.lit(_HALF - 1)) for k in range(samples)]).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -152,16 +129,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     half = F.expr("length(text) div 2")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     made = placed.select("id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "cell", "pos", "next_cell", "next_pos")
-    digest = _digest_parts(F.col("edited"))
-    texts = made.select("cell", F.expr(f"pos div {ROWS_PER_PART}").alias("part"), "pos", "id", "n_chars", "next_cell", "next_pos",
-                        *[d.alias(f"d{i}") for i, d in enumerate(digest)],
+    keys = ["cell", "pos", "kind", "id", "n_chars", "sha", "next_cell", "next_pos"]
+    texts = made.select("cell", "pos", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "next_cell", "next_pos",
                         F.explode(F.array(F.struct(F.lit(0).alias("kind"), terms(F.col("text")).alias("hashes")),
                                           F.struct(F.lit(1).alias("kind"), terms(F.col("edited")).alias("hashes")))).alias("v"))
-    facts = ["id", "n_chars", "next_cell", "next_pos", *[f"d{i}" for i in range(4)]]
-    # Rows of a cell are together already, so grouping within it needs no further shuffle.
-    signed = settle(signatures(texts.select("cell", "part", "pos", "v.kind", *facts, "v.hashes"), ["cell", "part"], ["pos", "kind"], facts, samples), "signatures")
-    own = signed.where("kind = 0").select("cell", "pos", "id", "n_chars", _digest_text([F.col(f"d{i}") for i in range(4)]).alias("sha"),
-                                          "next_cell", "next_pos", "fingerprint")
+    # A text without words has one fixed term. Put in here, where the hashes are made already: an expression with a lambda that
+    # is named twice in one step is evaluated twice.
+    hashes = F.when(F.size("v.hashes") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("v.hashes")).alias("hashes")
+    # Rows of a cell are together already, so grouping by document needs no further shuffle.
+    signed = settle(signatures(texts.select(*[k for k in keys if k != "kind"], "v.kind", hashes), keys, samples), "signatures")
+    own = signed.where("kind = 0").select("cell", "pos", "id", "n_chars", "sha", "next_cell", "next_pos", "fingerprint")
     other = signed.where("kind = 1").select("cell", "pos", F.col("fingerprint").alias("edited_fingerprint"))
     after = own.select(F.col("cell").alias("next_cell"), F.col("pos").alias("next_pos"), F.col("fingerprint").alias("next_fingerprint"))
     full = own.join(other, ["cell", "pos"]).join(after, ["next_cell", "next_pos"])
