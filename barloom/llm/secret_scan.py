@@ -14,11 +14,13 @@ in a third of all rows does not meet in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import settle, text_of
-from barloom.llm.spans import SPAN, Pattern, ordered, overlaps, with_matches, written
+from barloom.llm.spans import SPAN, Pattern, ordered, overlaps_ordered, with_matches, written
 
 # The kinds and their expressions. Possessive quantifiers never give back characters, which changes no
 # match here and keeps very long runs linear.
@@ -56,11 +58,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("string"), unknown).alias("owner"),
         F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), unknown) for c in repository_cols]).alias("repository"))
     found = with_matches(rows, PATTERNS)
-    base = ordered(F.filter("assign", lambda s: F.length(s["value"]) >= 6), F.col("access"), F.col("hex"))
-    scanned = settle(found.select(
-        "id", "owner", "repository", F.monotonically_increasing_id().alias("row"), base.alias("base"), F.col("mixed")).select(
-        "id", "owner", "repository", "row", "base",
-        F.filter("mixed", lambda s: ~overlaps(F.col("base"), s["start"], s["end"])).alias("more")), "scanned")
+    kinds = found.withColumn("assign", F.filter("assign", lambda s: F.length(s["value"]) >= 6))
+    # Spans of one kind do not overlap, so each kind is searched on its own.
+    more = F.filter("mixed", lambda s: ~reduce(Column.__or__, [overlaps_ordered(F.col(k), s["start"], s["end"]) for k in BASE]))
+    scanned = settle(kinds.select(
+        "id", "owner", "repository", F.monotonically_increasing_id().alias("row"), ordered(*[F.col(k) for k in BASE]).alias("base"),
+        more.alias("more")), "scanned")
     hit = scanned.select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("s")).select(
         "row", "owner", "repository", "s", F.sha2("s.value", 256).alias("value_hash"))
     # Distinct (value, owner, repository), then repositories per owner, then both per value.

@@ -2,12 +2,12 @@
 
 ``regexp_extract_all`` gives the matched strings and ``split`` the text between
 them, both from the same leftmost, non-overlapping search; positions are their
-running lengths.
+running lengths, summed in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,20 +48,49 @@ def with_matches(df: DataFrame, patterns: Sequence[Pattern], text_col: str = "te
         *[_positions(text, p, rank).alias(p.kind) for rank, p in enumerate(patterns)])
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, also inside a lambda."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(items: Column, size_of: Callable[[Column], Column], made: Callable[[Column, Column], Column]) -> Column:
+    """``made(item, before)`` of each item, ``before`` being the sum of ``size_of`` over the items ahead of it.
+
+    Sums are made in blocks: a fold that gathers an array copies it at each step,
+    so one over n items costs their square. Blocks have the cube root of n items,
+    which balances the copies within blocks and those of the blocks' sums.
+    """
+    def sums(sizes: Column, start: Column) -> Column:
+        # Running sums, the last one is the sum of all.
+        return F.aggregate(sizes, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def total(sizes: Column) -> Column:
+        return F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+
+    def in_blocks(kept: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(kept).cast("double"))).cast("int"))
+        firsts = F.sequence(F.lit(1), F.size(kept), width)
+        blocks = F.transform(firsts, lambda i: F.slice(kept, i, width))
+        return once(blocks, lambda every: F.flatten(F.zip_with(
+            every, F.slice(sums(F.transform(every, lambda block: total(F.transform(block, size_of))), F.lit(0)), F.lit(1), F.size(every)),
+            lambda block, before: once(sums(F.transform(block, size_of), before), lambda at: F.transform(
+                block, lambda x, i: made(x, F.get(at, i)))))))
+
+    return once(items, lambda kept: F.when(F.size(kept) > 0, in_blocks(kept)))
+
+
 def _positions(text: Column, p: Pattern, rank: int) -> Column:
     whole = F.col(f"{p.kind}_all")
     value = F.col(f"{p.kind}_part") if p.group else whole
     between = F.slice(F.split(text, p.regex, -1), F.lit(1), F.size(whole))
     zipped = F.arrays_zip(between.alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(p.kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def span(x: Column, before: Column) -> Column:
+        start = before + F.length(x["gap"])
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["whole"])).alias("end"), F.lit(p.kind).alias("kind"), x["value"].alias("value"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.when(F.size(whole) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(zipped, start, step)["spans"])
+    spans = running(zipped, lambda x: F.length(x["gap"]) + F.length(x["whole"]), span)
+    return F.when(F.size(whole) == 0, F.array().cast(SPAN)).otherwise(spans.cast(SPAN))
 
 
 def ordered(*arrays: Column) -> Column:
@@ -74,5 +103,16 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def overlaps_ordered(spans: Column, start: Column, end: Column) -> Column:
+    """As ``overlaps`` for spans that are ordered and do not overlap each other, such as one kind's: a binary search.
+
+    Of the spans that begin before ``end`` only the last can end after ``start``.
+    """
+    bits = F.sequence(F.floor(F.log2(F.size(spans).cast("double") + 1)).cast("int"), F.lit(0), F.lit(-1))
+    ahead = F.aggregate(bits, F.lit(0), lambda n, bit: once(n + F.pow(F.lit(2.0), bit).cast("int"), lambda more: F.when(
+        F.get(spans, more - 1)["start"] < end, more).otherwise(n)))
+    return F.coalesce(F.get(spans, ahead - 1)["end"] > start, F.lit(False))
+
+
 def overlaps(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
