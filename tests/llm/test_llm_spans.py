@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm import pii, secret_scan
+from barloom.llm import pii, secret_scan, spans
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -145,3 +145,21 @@ def test_addresses_with_a_written_at_are_proposed(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = {r.doc_id: [(s.start, s.value) for s in r.address] for r in pii.with_matches(docs, pii.PATTERNS).collect()}
     assert found == {0: [(0, texts[0])], 1: [(0, texts[1])], 2: [(3, "john [AT] example.com")], 3: [(0, texts[3])], 4: [(0, "a@b.c")], 5: [(0, texts[5])]}
+
+
+def test_positions_of_very_many_matches(spark):
+    text = "".join(f"secret=abcd{i:05d} é🙂 " for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "no"), (3, "secret=abcdefg")], "doc_id int, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.assign] for r in secret_scan.with_matches(docs, secret_scan.PATTERNS[:1]).collect()}
+    assert found == {1: [(m.start(), m.end()) for m in re.finditer("secret=[a-z0-9]+", text)], 2: [], 3: [(0, 14)]}
+
+
+def test_overlaps_by_halving_equal_the_plain_form(spark):
+    rng = __import__("random").Random(3)
+    rows = []
+    for n in range(60):
+        marks = sorted(rng.sample(range(200), 2 * (n % 40)))
+        rows.append(([(a, b) for a, b in zip(marks[::2], marks[1::2])], (s := rng.randint(0, 190)), s + rng.randint(1, 12)))
+    docs = spark.createDataFrame(rows, "spans array<struct<start:int,end:int>>, s int, e int")
+    pair = docs.select(spans.overlaps("spans", F.col("s"), F.col("e")).alias("a"), spans.overlaps_ordered(F.col("spans"), F.col("s"), F.col("e")).alias("b")).collect()
+    assert all(r.a == r.b for r in pair) and {r.a for r in pair} == {True, False}
