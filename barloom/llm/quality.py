@@ -3,13 +3,16 @@
 Preference pairs (a document labelled good, one labelled bad) are fitted by
 logistic loss on the differences of their features, without intercept: the model
 is a score per document whose difference is the log odds of being preferred. A
-quantile of the scores of the training sample, the share of bad labels in it,
+quantile of the scores of all learned rows, the share of bad labels in them,
 becomes the threshold, and scores are mapped to 0..1 so that the threshold lies
 at ``CUT``.
 
 The features are computed from whole texts by DataFrame functions. Learning uses
-at most about ``TRAINING_ROWS`` labelled documents, and never one whose CRC of
-the id is divisible by five: those are held out.
+every labelled document but those whose CRC of the id is divisible by five: those
+are held out. All pairs are used up to ``PAIRS``. Their number grows with the
+square of the rows, so beyond that rows are dealt into groups that hold both
+labels, and each row is held against all of the other label in its group: every
+row takes part, in pairs that grow in proportion to the rows.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.llm.common import as_row, settle, text_of
+from barloom.operators.stats import exact_quantiles
 
-TRAINING_ROWS = 20_000
 PAIRS = 100_000
+PAIRS_A_ROW = 5
+BUCKET_ROWS = 2_000
 CUT = 0.3
 HELD_OUT_EVERY = 5
 
@@ -91,33 +97,52 @@ class Ranking:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, pairs: int = PAIRS, id_col: str = "doc_id",
+def dealt(rows: DataFrame, counts: dict[float, int], pairs: int = PAIRS) -> DataFrame:
+    """``rows`` with ``bucket`` and ``slot``, the group in which a row meets those of the other label.
+
+    ``counts`` has the rows of each label, both above zero. There is one group
+    while all pairs are at most ``pairs``; beyond that, groups make that many or
+    ``PAIRS_A_ROW`` per row. Rows are numbered within hashed parts of a label, and
+    a part has more rows than its bucket has slots, so no group lacks a label.
+    """
+    every, least = counts[0.0] * counts[1.0], min(counts.values())
+    buckets = max(1, least // BUCKET_ROWS) if every > pairs else 1
+    slots = max(1, every // max(pairs, PAIRS_A_ROW * sum(counts.values())) // buckets)
+    if slots == 1:
+        return rows.withColumns({"bucket": F.pmod("dice", F.lit(buckets)), "slot": F.lit(0)})
+    parts = F.when(F.col("label") == 1, max(1, counts[1.0] // buckets // BUCKET_ROWS)).otherwise(max(1, counts[0.0] // buckets // BUCKET_ROWS))
+    placed = rows.withColumns({"bucket": F.pmod("dice", F.lit(buckets)), "part": F.pmod(F.xxhash64("id", F.lit(6)), parts)})
+    number = F.row_number().over(W.partitionBy("label", "bucket", "part").orderBy("dice", "id", *FEATURES))
+    return placed.withColumn("slot", number % slots).drop("part")
+
+
+def fit(docs: DataFrame, labels: DataFrame, pairs: int = PAIRS, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "quality") -> Ranking:
-    """Learn from a bounded sample of labelled rows; without both labels every document scores the same, above the cut."""
+    """Learn from every labelled row that is not held out; without both labels every document scores the same, above the cut."""
     usable = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
-    share = min(1.0, rows / max(1, usable.count()))
-    drawn = F.broadcast(usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(math.ceil(share * 1_000_003))))
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    sample = settle(with_features(texts.join(drawn, "id")).withColumn("dice", F.xxhash64("id", F.lit(5))), "sample")
-    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    # Features meet labels, not texts: a shuffle moves a row's few numbers, at any size.
+    learned = settle(with_features(texts).join(usable.hint("merge"), "id").withColumn("dice", F.xxhash64("id", F.lit(5))), "learned")
+    counts = {r["label"]: r["count"] for r in learned.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Ranking({name: 0.0 for name in FEATURES}, -1.0, 1.0)
-    # Good and bad rows of one slot are paired; the number of slots keeps the pairs of the sample at about `pairs`.
-    slots = max(1, counts[0.0] * counts[1.0] // pairs)
-    slotted = sample.withColumn("slot", F.pmod(F.col("dice"), F.lit(slots)))
-    good, bad = slotted.where("label = 1").alias("g"), slotted.where("label = 0").alias("b")
+    grouped = dealt(learned, counts, pairs)
+    good, bad = grouped.where("label = 1").alias("g"), grouped.where("label = 0").alias("b")
     turned = F.when(F.pmod(F.xxhash64("g.id", "b.id"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    differences = good.join(bad, F.col("g.slot") == F.col("b.slot")).select(
+    differences = good.join(bad, (F.col("g.bucket") == F.col("b.bucket")) & (F.col("g.slot") == F.col("b.slot"))).select(
         *[((F.col(f"g.{f}") - F.col(f"b.{f}")) * turned).alias(f) for f in FEATURES], ((turned + 1) / 2).alias("label"))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(settle(differences, "differences"))
     model = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=100).fit(vectors)
     ranking = Ranking(dict(zip(FEATURES, (float(x) for x in model.coefficients))), 0.0, 1.0)
-    bad_share = counts[0.0] / sum(counts.values())
-    raw = sample.select(ranking.raw().alias("raw"))
-    low, high, near = raw.approxQuantile("raw", [bad_share * 0.98, min(1.0, bad_share * 1.02), 0.5], 0.0)
-    threshold = (low + high) / 2
-    return Ranking(ranking.weights, threshold, max(1e-9, abs(near - threshold) / 4))
+    total = sum(counts.values())
+    bad_share = counts[0.0] / total
+    # Of n rows, a share p is reached at the row of rank ceil(p * n).
+    places = {name: (max(1, math.ceil(p * total)) - 1) / (total - 1) for name, p in (
+        ("low", bad_share * 0.98), ("high", min(1.0, bad_share * 1.02)), ("near", 0.5))}
+    at = exact_quantiles(learned.select(F.lit(0).alias("all"), ranking.raw().alias("raw")), "all", "raw", places).first()
+    threshold = (at["low"] + at["high"]) / 2
+    return Ranking(ranking.weights, threshold, max(1e-9, abs(at["near"] - threshold) / 4))
 
 
 def classify(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -147,3 +147,34 @@ def test_ranking_of_odd_rows(spark):
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted for r in found)
     nothing = quality.fit(docs, labels.limit(0))
     assert quality.classify(odd, nothing).where("predicted = 0").count() == 0
+
+
+def _prose(i):
+    """Good rows are prose, bad ones marks."""
+    good = F.concat(F.lit("the words of "), i.cast("string"), F.lit(" are plain and long enough to read."))
+    return F.when(i % 6 > 0, good).otherwise(F.concat(F.lit("!!! | | "), i.cast("string"), F.lit(" !!!")))
+
+
+def test_ranking_learns_from_every_labelled_row(spark, monkeypatch):
+    """27,000 labelled rows, more than a sample of 20,000 would hold."""
+    ids = spark.range(27_000).select(F.col("id").alias("doc_id"))
+    docs, labels = ids.withColumn("text", _prose(F.col("doc_id"))), ids.withColumn("quality", (F.col("doc_id") % 6 > 0).cast("int"))
+    written = []
+    settle = quality.settle
+    monkeypatch.setattr(quality, "settle", lambda df, label: written.append(settle(df, label)) or written[-1])
+    ranking = quality.fit(docs, labels)
+    assert written[0].count() == labels.where(~quality.held_out()).count() > 20_000
+    found = quality.classify(docs, ranking).join(labels, "doc_id")
+    assert found.where("predicted = quality").count() > 0.9 * 27_000
+
+
+@pytest.mark.parametrize("good, bad", [(30_000, 30_000), (60_000, 700), (40_000, 9), (300, 300)])
+def test_every_row_is_in_a_pair_and_pairs_grow_with_the_rows(spark, good, bad):
+    rows = spark.range(good + bad).select("id", (F.col("id") >= bad).cast("double").alias("label"), F.xxhash64("id", F.lit(5)).alias("dice"),
+                                          *[F.lit(0.0).alias(f) for f in quality.FEATURES])
+    counts = {0.0: bad, 1.0: good}
+    groups = quality.dealt(rows, counts).groupBy("bucket", "slot").agg(
+        F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).collect()
+    assert all(g.good and g.bad for g in groups) and sum(g.good + g.bad for g in groups) == good + bad
+    pairs = sum(g.good * g.bad for g in groups)
+    assert pairs == good * bad if good * bad <= quality.PAIRS else pairs <= 2 * max(quality.PAIRS, quality.PAIRS_A_ROW * (good + bad))
