@@ -6,10 +6,12 @@ dotted number. Strict format rules (valid parts, check digits, digit counts) mar
 some of them as certain; these are always reported. A chain that fails its rule
 may still be two values side by side, so its runs are candidates of their own. All
 that no rule accepts or refuses are scored by boosted trees on format and context
-features, trained on a bounded sample of candidates whose format is decisive:
-certain ones against ones that fail their rule and digits amid letters. Per
-generator, the threshold is the lowest score at which a calibration part of the
-sample keeps the wanted precision. Of added spans that overlap the best stays.
+features, learned from every candidate whose format is decisive: certain ones
+against ones that fail their rule and digits amid letters. A quarter of these,
+which the trees do not see, calibrates: per generator, the threshold is the lowest
+score at which the whole quarter keeps the wanted precision. Candidates with equal
+features are learned as one, with their number as weight. Of added spans that
+overlap the best stays.
 
 DataFrame functions and Spark's own tree learner only; nothing runs in Python on
 the executors.
@@ -43,7 +45,6 @@ MORE = ("address", "number")
 CONTEXT = 24
 # Digits of a run of groups, from the least of the `number` generator to the most of a card.
 FEWEST_DIGITS, MOST_DIGITS = 7, 19
-TRAINING_ROWS = 20_000
 TREES = 10
 DEPTH = 4
 PRECISION = 0.98
@@ -187,27 +188,22 @@ def _vectors(described: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described)
 
 
-def fit(candidates: DataFrame, rows: int = TRAINING_ROWS, trees: int = TREES, depth: int = DEPTH, precision: float = PRECISION):
-    """The model and its threshold per generator, from at most about ``rows`` candidates with a decisive format.
+def fit(candidates: DataFrame, trees: int = TREES, depth: int = DEPTH, precision: float = PRECISION):
+    """The model and its threshold per generator, from every candidate with a decisive format.
 
     Without candidates of both kinds there is nothing to learn, and None comes back.
     """
-    decisive = candidates.where("sure IS NOT NULL")
-    count = decisive.count()
-    if not count:
-        return None
-    share = min(1.0, rows / count)
-    drawn = settle(_described(decisive.where(F.pmod(F.xxhash64("row", "start", "end"), F.lit(1_000_003)) < int(share * 1_000_003))).select(
-        *FEATURES, "kind", F.col("sure").cast("double").alias("label"),
-        (F.pmod(F.xxhash64("start", "row"), F.lit(4)) == 0).alias("calibrates")), "candidates")
-    kinds = {r["label"] for r in drawn.where("NOT calibrates").select("label").distinct().collect()}
+    decisive = _described(candidates.where("sure IS NOT NULL")).select(
+        *FEATURES, "kind", F.col("sure").cast("double").alias("label"), (F.pmod(F.xxhash64("start", "row"), F.lit(4)) == 0).alias("calibrates"))
+    decided = settle(decisive.groupBy(*decisive.columns).agg(F.count(F.lit(1)).cast("double").alias("weight")), "candidates")
+    kinds = {r["label"] for r in decided.where("NOT calibrates").select("label").distinct().collect()}
     if kinds != {0.0, 1.0}:
         return None
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1).fit(_vectors(drawn.where("NOT calibrates")))
-    scored = _scored(model, drawn.where("calibrates"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1, weightCol="weight").fit(_vectors(decided.where("NOT calibrates")))
+    scored = _scored(model, decided.where("calibrates"))
     # Kinds times 100 score steps: a bounded table.
     steps = scored.groupBy("kind", F.floor(F.col("score") * 100).alias("step")).agg(
-        F.sum("label").alias("right"), F.count(F.lit(1)).alias("all")).orderBy("kind", F.desc("step")).collect()
+        F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("all")).orderBy("kind", F.desc("step")).collect()
     thresholds, right, every = {}, {}, {}
     for r in steps:
         k = r["kind"]
@@ -221,7 +217,7 @@ def _scored(model, described: DataFrame) -> DataFrame:
     return model.transform(_vectors(described)).withColumn("score", vector_to_array("probability")[1])
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_rows: int = TRAINING_ROWS) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more.
 
     ``spans`` has the certain spans and those that the trees add; an added span
@@ -254,7 +250,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             c["s"].alias("s"), F.when(_amid_letters(c), 0).alias("sure"), F.lit(True).alias("open"), c["before"].alias("before"), c["after"].alias("after"))))
     scanned = settle(based.select("id", "row", "base", proposed.alias("proposed")), "scanned")
     candidates = scanned.select("row", F.explode("proposed").alias("c")).select("row", "c.s.*", "c.sure", "c.open", "c.before", "c.after")
-    fitted = fit(candidates, training_rows)
+    fitted = fit(candidates)
     if fitted is None or not fitted[1]:
         full = scanned.withColumn("added", F.array().cast(SPAN))
     else:

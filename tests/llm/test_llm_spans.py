@@ -163,3 +163,18 @@ def test_overlaps_by_halving_equal_the_plain_form(spark):
     docs = spark.createDataFrame(rows, "spans array<struct<start:int,end:int>>, s int, e int")
     pair = docs.select(spans.overlaps("spans", F.col("s"), F.col("e")).alias("a"), spans.overlaps_ordered(F.col("spans"), F.col("s"), F.col("e")).alias("b")).collect()
     assert all(r.a == r.b for r in pair) and {r.a for r in pair} == {True, False}
+
+
+def test_trees_and_thresholds_come_from_every_decisive_candidate(spark):
+    """Of 40,000 candidates the few cards calibrate; a sample of half by hash would hold none of them."""
+    at = F.pmod(F.xxhash64("row", "start", "end"), F.lit(1_000_003))
+    late = (at > 600_000) & (F.pmod(F.xxhash64("start", "row"), F.lit(4)) == 0) & (F.col("row") % 500 == 0)
+    rows = spark.range(40_000).select(F.col("id").alias("row"), F.lit(3).alias("start"), F.lit(19).alias("end"))
+    sure = (F.col("row") % 2 == 0).cast("int")
+    candidates = rows.select(
+        "*", F.when(late, "card").otherwise("ip").alias("kind"), sure.alias("sure"), F.lit("").alias("before"), F.lit("").alias("after"),
+        F.when(sure == 1, "4111 1111 1111 1111").otherwise("1.2.3.999").alias("value"))
+    assert 0 < candidates.where("kind = 'card'").count() < 40
+    model, thresholds = pii.fit(candidates)
+    assert set(thresholds) == {"card", "ip"}
+    assert [c for c in ("card", "ip") if thresholds[c] > 0.5] == ["card", "ip"]
