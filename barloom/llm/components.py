@@ -12,31 +12,33 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two smaller neighbours, or a smaller and a larger one; else every component is a star."""
+    sides = _neighbours(edges).groupBy("u").agg(
+        F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above"))
+    return sides.where("below > 1 or below = 1 and above > 0").count() > 0
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """Every node hands its larger neighbours to its smallest one, then every node its smaller neighbours to the smallest."""
+    both = _neighbours(edges)
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = large.groupBy("u").agg(F.min("v").alias("m"))
+    ends = F.explode(F.array("u", "v")).alias("u")
+    return large.join(small.hint("merge"), "u").select(ends, F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge (u, v); the label is the component's smallest node.
 
-    Alternates two steps until nothing changes: every node hands its larger
-    neighbours to its smallest one, then every node hands its smaller neighbours
-    to the smallest. The edge count never grows, and the number of rounds grows
-    with the logarithm of the size. Each round is written to the shared folder.
+    Repeats ``_round`` until every component is a star around its smallest node.
+    The edge count never grows, and the number of rounds grows with the logarithm
+    of the size. Each round is written to the shared folder. Joins are merge joins:
+    a broadcast would bring its table to the driver, once a join and round.
     """
-    state, current = None, edges.where("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    while True:
-        both = _neighbours(current)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small, "u")
-        current = settle(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _state(current)
-        if now == state:
-            break
-        state = now
+    current = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while _unfinished(current):
+        current = settle(_round(current), "edges")
     return current.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -240,12 +240,15 @@ class _Links:
         if self.labels is None:
             self.labels = settle(components(found), "labels")
             return
-        sides = self.labels.toDF("u", "lu"), self.labels.toDF("v", "lv")
+        # Merge joins, as in components: no table of each round passes through the driver.
+        sides = self.labels.toDF("u", "lu").hint("merge"), self.labels.toDF("v", "lv").hint("merge")
         between = found.join(sides[0], "u", "left").join(sides[1], "v", "left").select(
             F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
         merged = settle(components(between), "merged")
-        moved = self.labels.join(merged.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        self.labels = settle(moved.union(merged.join(self.labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+        moved = self.labels.join(merged.toDF("label", "to").hint("merge"), "label", "left").select(
+            "node", F.coalesce("to", "label").alias("label"))
+        self.labels = settle(moved.union(merged.join(self.labels.select("node").hint("merge"), "node", "left_anti").select(
+            "node", "label")), "labels")
 
     def labelled(self, posts: DataFrame) -> DataFrame:
         """``posts`` with the label of each node, its own number while nothing is linked to it."""

@@ -138,3 +138,37 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(a, b) for a, b in zip(order, order[1:])] + [(500, i) for i in range(501, 560)] + [(900, 900)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{i: 0 for i in order}, **{i: 500 for i in range(500, 560)}}
+
+
+def _jobs(spark, name, work):
+    """What ``work`` returns, and the number of Spark jobs it took."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        return work(), len(context.statusTracker().getJobIdsForGroup(name))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_random_edges_and_of_stars_in_few_jobs(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)]
+    edges += [(v, u) for u, v in edges[:30]] + edges[:10]
+    label = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in label:
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    found = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(found) == len(label) and {r.node: r.label for r in found} == label
+    stars = spark.createDataFrame([(hub, hub + i) for hub in (0, 100, 200) for i in range(1, 40)] + [(7, 7)], "u long, v long")
+    done, jobs = _jobs(spark, "stars", lambda: components(stars))
+    assert done.count() == 3 * 40 and jobs <= 6  # stars are the result as they are
+
+
+def test_labels_after_new_links_take_few_jobs(spark):
+    links = ngram_join._Links(None, 85)
+    links._join(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "u long, v long"))
+    _, jobs = _jobs(spark, "labels", lambda: links._join(spark.createDataFrame([(3, 11), (30, 31), (21, 20)], "u long, v long")))
+    assert {r.node: r.label for r in links.labels.collect()} == {**dict.fromkeys((1, 2, 3, 10, 11), 1), **dict.fromkeys((20, 21), 20), **dict.fromkeys((30, 31), 30)}
+    assert links.labels.count() == 9 and jobs <= 20
