@@ -3,30 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.llm.common import settle
 
 
-def _neighbours(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
 def _unfinished(edges: DataFrame) -> bool:
     """Whether some node has two smaller neighbours, or a smaller and a larger one; else every component is a star."""
-    sides = _neighbours(edges).groupBy("u").agg(
-        F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above"))
-    return sides.where("below > 1 or below = 1 and above > 0").count() > 0
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("smaller")), F.struct(F.col("v").alias("node"), F.lit(0).alias("smaller")))).alias("end"))
+    sides = ends.select("end.*").groupBy("node").agg(F.sum("smaller").alias("below"), F.count(F.lit(1)).alias("all"))
+    return sides.where("below > 1 or below = 1 and all > 1").count() > 0
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    """Every node hands its larger neighbours to its smallest one, then every node its smaller neighbours to the smallest."""
-    both = _neighbours(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    small = large.groupBy("u").agg(F.min("v").alias("m"))
+    """Every node hands its larger neighbours to its smallest one, then every node its smaller neighbours to the smallest.
+
+    Edges lead from the larger node to the smaller one. The table is scanned twice
+    and shuffled four times: a round costs the driver its stages, whatever its rows.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).toDF("v", "m")
+    large = edges.join(least.hint("merge"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+    small = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
     ends = F.explode(F.array("u", "v")).alias("u")
-    return large.join(small.hint("merge"), "u").select(ends, F.col("m").alias("v")).where("u <> v").distinct()
+    return small.select(ends, F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def _whole_sets(width: int, bloom):
 
 
 def _verified(percent: int):
-    """Pairs whose exact similarity reaches ``percent``."""
+    """Labels of the pairs (lu, lv, and the two sets) whose exact similarity reaches ``percent``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
@@ -220,31 +220,36 @@ class _Links:
         self.labels: DataFrame | None = None
 
     def add(self, pairs: DataFrame) -> int:
-        """Verify pairs (u, v) that meet under the first order; the number of new links."""
+        """Verify pairs (u, v, and their labels lu, lv) that meet under the first order; the number of new links.
+
+        Labels come with the pairs and are not joined again: every stage costs the
+        driver memory, however small.
+        """
         size = F.size("tokens")
         prefix = (size - F.expr(f"({self.percent} * size(tokens) + 99) div 100") + 1).cast("int")
         ends = self.sets.select("node", F.slice("tokens", F.lit(1), prefix).alias("low"), F.slice("tokens", -prefix, prefix).alias("high"))
         x, y = ends.toDF("u", "xl", "xh"), ends.toDF("v", "yl", "yh")
-        met = settle(pairs.select("u", "v").distinct().join(x, "u").join(y, "v").where(
-            F.arrays_overlap("xl", "yl") & F.arrays_overlap("xh", "yh")).select("u", "v"), "pairs")
+        met = settle(pairs.select("u", "v", "lu", "lv").distinct().join(x, "u").join(y, "v").where(
+            F.arrays_overlap("xl", "yl") & F.arrays_overlap("xh", "yh")).select("u", "v", "lu", "lv"), "pairs")
         a, b = self.sets.select("node", "tokens").toDF("u", "a"), self.sets.select("node", "tokens").toDF("v", "b")
-        both = met.join(a, "u").join(b, "v").select("u", "v", "a", "b")
+        both = met.join(a, "u").join(b, "v").select("lu", "lv", "a", "b")
         found = settle(both.mapInArrow(_verified(self.percent), "u long, v long"), "links")
         new = found.count()
         if new:
-            self._join(found)
+            self._join(found, labelled=True)
         return new
 
-    def _join(self, found: DataFrame) -> None:
-        """Labels after new links; only labels that a new link touches are looked at again."""
+    def _join(self, found: DataFrame, labelled: bool = False) -> None:
+        """Labels after new links between nodes, or between their labels if ``labelled``; only labels that a new link touches are looked at again."""
         if self.labels is None:
             self.labels = settle(components(found), "labels")
             return
         # Merge joins, as in components: no table of each round passes through the driver.
-        sides = self.labels.toDF("u", "lu").hint("merge"), self.labels.toDF("v", "lv").hint("merge")
-        between = found.join(sides[0], "u", "left").join(sides[1], "v", "left").select(
-            F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-        merged = settle(components(between), "merged")
+        if not labelled:
+            sides = self.labels.toDF("u", "lu").hint("merge"), self.labels.toDF("v", "lv").hint("merge")
+            found = found.join(sides[0], "u", "left").join(sides[1], "v", "left").select(
+                F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+        merged = settle(components(found), "merged")
         moved = self.labels.join(merged.toDF("label", "to").hint("merge"), "label", "left").select(
             "node", F.coalesce("to", "label").alias("label"))
         self.labels = settle(moved.union(merged.join(self.labels.select("node").hint("merge"), "node", "left_anti").select(
@@ -266,11 +271,15 @@ def _partners(links: _Links, posts: DataFrame) -> DataFrame:
 
 def _stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each class, the nearest by parity bits of the classes of another label that its tokens chose, two per token."""
+    def end(x: str) -> Column:
+        return F.struct(F.col(f"{x}.node").alias("node"), F.col(f"{x}.label").alias("label"))
+
     who = F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("dice"), "node", "label", "n", *SKETCH)
     chosen = posts.groupBy("token").agg(F.array(F.min(who), F.max(who)).alias("y")).select("token", F.explode("y").alias("y"))
     met = posts.alias("x").join(chosen, "token").where((F.col("x.label") != F.col("y.label")) & _close("x", "y", percent))
-    nearest = met.groupBy("x.node").agg(F.min(F.struct(_apart("x", "y").alias("apart"), F.col("y.node").alias("v"))).alias("best"))
-    return nearest.select(F.least("node", "best.v").alias("u"), F.greatest("node", "best.v").alias("v"))
+    nearest = met.groupBy(end("x").alias("x")).agg(F.min(F.struct(_apart("x", "y").alias("apart"), end("y").alias("y"))).alias("best"))
+    pairs = nearest.select(F.least("x", "best.y").alias("u"), F.greatest("x", "best.y").alias("v"))
+    return pairs.select("u.node", "v.node", "u.label", "v.label").toDF("u", "v", "lu", "lv")
 
 
 def _remaining(posts: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +290,7 @@ def _remaining(posts: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     place = F.coalesce(F.array_min(F.array_intersect("x.marks", "y.marks")), F.col("x.token"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
                  & (F.col("x.label") != F.col("y.label")) & _close("x", "y", percent, wide=True) & (place == F.col("x.token")))
-    return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    return met.select("x.node", "y.node", "x.label", "y.label").toDF("u", "v", "lu", "lv")
 
 
 def similar_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text",

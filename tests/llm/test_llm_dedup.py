@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
+from barloom.llm import components as parts
 from barloom.llm import exact_dedup, ngram_join
+from barloom.llm.common import settle
 from barloom.llm.components import components
 from barloom.llm.shingles import shingle_set, word_hashes
 
@@ -172,3 +174,20 @@ def test_labels_after_new_links_take_few_jobs(spark):
     _, jobs = _jobs(spark, "labels", lambda: links._join(spark.createDataFrame([(3, 11), (30, 31), (21, 20)], "u long, v long")))
     assert {r.node: r.label for r in links.labels.collect()} == {**dict.fromkeys((1, 2, 3, 10, 11), 1), **dict.fromkeys((20, 21), 20), **dict.fromkeys((30, 31), 30)}
     assert links.labels.count() == 9 and jobs <= 20
+
+
+def test_a_round_of_components_and_a_turn_of_links_take_few_jobs(spark):
+    edges = settle(spark.createDataFrame([(4, 1), (4, 2), (5, 4), (6, 5), (9, 8)], "u long, v long"), "edges")
+    done, jobs = _jobs(spark, "round", lambda: settle(parts._round(edges), "round"))
+    # 5 and 6 are handed to the smallest neighbour of 4 and 5, then 2 and 4 meet at 1.
+    assert sorted(map(tuple, done.collect())) == [(2, 1), (4, 1), (5, 1), (6, 4), (9, 8)] and jobs <= 5
+    _, jobs = _jobs(spark, "unfinished", lambda: parts._unfinished(edges))
+    assert jobs <= 3
+    sets = settle(spark.createDataFrame([(n, list(range(n // 10 * 100, n // 10 * 100 + 40))) for n in (1, 2, 3, 11, 12, 21)], "node long, tokens array<long>"), "whole")
+    links = ngram_join._Links(sets, 85)
+    links._join(spark.createDataFrame([(1, 2), (11, 12)], "u long, v long"))
+    # Twice (2, 3), whose sets are equal, and (3, 21), whose sets are not.
+    pairs = settle(spark.createDataFrame([(2, 3, 1, 3), (2, 3, 1, 3), (3, 21, 3, 21)], "u long, v long, lu long, lv long"), "partners")
+    new, jobs = _jobs(spark, "turn", lambda: links.add(pairs))
+    assert new == 1 and {r.node: r.label for r in links.labels.collect()} == {1: 1, 2: 1, 3: 1, 11: 11, 12: 11}
+    assert jobs <= 24
