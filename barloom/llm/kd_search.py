@@ -2,7 +2,8 @@
 
 Vectors become whole numbers. Median splits learned from a bounded sample cut
 the space into cells, and a cell with many rows into several shards by hash; the
-splits only decide which rows lie together, never a result. Each shard is one
+splits only decide which rows lie together, never a result. One task learns them
+and the driver gets only the splits, since a sample of wide vectors is large. Each shard is one
 KD-tree: median splits of the widest dimension down to small leaves, with the
 tight bounding box of every node, stored as one packed row.
 
@@ -30,9 +31,10 @@ from barloom.llm.common import quote, settle
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
 QUERY_ROWS = 2048
-# Vectors from which the cells are learned, and the most cells.
+# Vectors from which the cells are learned, the most cells, and the most values that all their lower edges have.
 SAMPLE_ROWS = 20_000
 MOST_CELLS = 1024
+BOX_VALUES = 1 << 20
 
 NOTHING = np.iinfo(np.int64).min
 EXACT = 1 << 53
@@ -153,22 +155,36 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[np.arange(len(query)) - np.searchsorted(query, query) < k], ids[order], score[order]
 
 
+def _extents(rows: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """How far each dimension reaches within the rows numbered ``part``, taken a block at a time."""
+    blocks = (rows[part[at:at + 1024]] for at in range(0, len(part), 1024))
+    low, high = (np.array(x) for x in zip(*((b.min(axis=0), b.max(axis=0)) for b in blocks)))
+    return high.max(axis=0) - low.min(axis=0).astype(np.float64)
+
+
 class Cells:
     """Median splits in heap order; a row goes right where its value is above the split's."""
 
-    def __init__(self, sample: np.ndarray, wanted: int):
-        self.depth = max(0, min(wanted, MOST_CELLS, len(sample) // 8) - 1).bit_length() if sample.shape[1] else 0
-        self.dims = np.zeros(2 ** self.depth - 1, np.int64)
-        self.values = np.full(2 ** self.depth - 1, np.iinfo(np.int64).max)
-        parts = {0: sample}
-        for node in range(2 ** self.depth - 1):
+    def __init__(self, dims: np.ndarray, values: np.ndarray):
+        self.dims, self.values = dims, values
+        self.depth = (len(dims) + 1).bit_length() - 1
+
+    @staticmethod
+    def learn(sample: np.ndarray, wanted: int) -> Cells:
+        """Splits of a sample of any whole type; nodes hold row numbers, so it is not copied."""
+        depth = max(0, min(wanted, len(sample) // 8) - 1).bit_length()
+        dims, values = np.zeros(2 ** depth - 1, np.int64), np.full(2 ** depth - 1, np.iinfo(np.int64).max)
+        parts = {0: np.arange(len(sample))}
+        for node in range(2 ** depth - 1):
             part = parts.pop(node)
             left = np.ones(len(part), bool)
             if len(part):
-                widest = int(np.argmax(part.max(axis=0) - part.min(axis=0).astype(np.float64)))
-                self.dims[node], self.values[node] = widest, np.partition(part[:, widest], (len(part) - 1) // 2)[(len(part) - 1) // 2]
-                left = part[:, widest] <= self.values[node]
+                widest = int(np.argmax(_extents(sample, part)))
+                column = sample[part, widest]
+                dims[node], values[node] = widest, np.partition(column, (len(part) - 1) // 2)[(len(part) - 1) // 2]
+                left = column <= values[node]
             parts[2 * node + 1], parts[2 * node + 2] = part[left], part[~left]
+        return Cells(dims, values)
 
     def __len__(self) -> int:
         return 2 ** self.depth
@@ -184,6 +200,31 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, width) if width else np.empty((len(column), 0), np.int64)
 
 
+def _squeezed(width: int):
+    """The vectors of a batch as one packed row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(_matrix(batch.column(0), width))], pa.binary())], names=["rows"])
+    return run
+
+
+def _learned(width: int, wanted: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = [x.as_py() for batch in batches for x in batch.column(0)]
+        pieces = [np.frombuffer(x, x[:1].decode(), offset=1).reshape(-1, width) for x in packed]
+        cells = Cells.learn(np.concatenate(pieces) if pieces else np.empty((0, width), np.int64), wanted)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64())) for x in (cells.dims, cells.values)], names=["dims", "values"])
+    return run
+
+
+def _cells(sample: DataFrame, width: int, wanted: int) -> Cells:
+    """Cells learned in one task from the ``vector`` column of ``sample``; only their splits come to the driver."""
+    wanted = min(wanted, MOST_CELLS, 1 << (BOX_VALUES // width).bit_length() >> 1) if width else 1
+    splits = wanted > 1 and sample.mapInArrow(_squeezed(width), "rows binary").repartition(1).mapInArrow(
+        _learned(width, wanted), "dims array<long>, values array<long>").first()
+    return Cells(*(np.array(x, np.int64) for x in splits or ([], [])))
+
+
 def _placed(cells, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,8 +337,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     width, count = length["size"], length["count"]
     of_length = F.size("vector") == width
     drawn = F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / count) * (1 << 30))
-    sample = fit.where(of_length & drawn).select("vector").distinct().toArrow()
-    cells = Cells(_matrix(sample["vector"].combine_chunks(), width), -(-count // shard_rows))
+    cells = _cells(fit.where(of_length & drawn).select("vector").distinct(), width, -(-count // shard_rows))
     placed = settle(fit.where(of_length).select(F.monotonically_increasing_id().alias("row"), "id", "vector").mapInArrow(
         _placed(share(cells), width), "row long, id long, vector array<long>, cell long"), "placed")
     # At most MOST_CELLS boxes.
@@ -322,7 +362,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     packed = "cell long, part long, query_rows binary, numbers binary, vectors binary, floors binary"
 
     def searched(wanted: DataFrame, first: bool) -> DataFrame:
-        sent = wanted.mapInArrow(_asked(plan, width, first), packed)
+        # Never a broadcast: a query goes to many shards, which the planner's estimate of a small file does not know.
+        sent = wanted.mapInArrow(_asked(plan, width, first), packed).hint("merge")
         return trees.join(sent, ["cell", "part"]).select(
             "ids", "rows", "low", "high", "query_rows", "numbers", "vectors", "floors").mapInArrow(
             _found(k, width), "row long, query_id long, vec_id long, score long")

@@ -78,6 +78,64 @@ def test_trees_bound_what_lies_in_them():
     assert kd_search.unpack(kd_search.pack(rows), 5).tolist() == rows.tolist()
 
 
+def test_no_vectors_come_to_the_driver(spark, monkeypatch):
+    # What each toArrow or collect brings; the vectors are 300 * 400 * 8 bytes.
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(400)]) for i in range(300)]
+    table, brought = _vectors(spark, rows), []
+    frame = type(table)
+
+    def noted(f, size):
+        def run(self, *a, **b):
+            found = f(self, *a, **b)
+            brought.append(size(found))
+            return found
+        return run
+
+    monkeypatch.setattr(frame, "toArrow", noted(frame.toArrow, lambda t: t.nbytes))
+    monkeypatch.setattr(frame, "collect", noted(frame.collect, lambda found: len(str(found))))
+    found = kd_search.top_k(table, table.where("vec_id % 20 = 0"), 3, shard_rows=60)
+    assert brought and max(brought) < 960_000 / 5
+    assert _answers(found) == _nearest(rows, {i for i, _ in rows if i % 20 == 0}, 3, 400)
+
+
+def test_queries_sent_to_shards_are_not_broadcast(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(200)]
+    table = _vectors(spark, rows)
+    found = kd_search.top_k(table, table.where("vec_id % 20 = 0"), 3, shard_rows=20)
+    joins = re.findall(r"(\w+Join) \[cell#\w+, part#\w+\]", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+    assert _answers(found) == _nearest(rows, {i for i, _ in rows if i % 20 == 0}, 3, 5)
+
+
+def test_cells_are_few_where_boxes_are_wide(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    table = _vectors(spark, rows)
+    sample = kd_search.whole_numbers(table, 64.0, "vec_id", "embedding").select("vector")
+    assert len(kd_search._cells(sample, 6, 30)) == 32
+    monkeypatch.setattr(kd_search, "BOX_VALUES", 60)
+    assert len(kd_search._cells(sample, 6, 30)) == 8
+    asked = {i for i, _ in rows if i % 20 == 0}
+    assert _answers(kd_search.top_k(table, table.where("vec_id % 20 = 0"), 4, shard_rows=10)) == _nearest(rows, asked, 4, 6)
+    monkeypatch.setattr(kd_search, "BOX_VALUES", 5)
+    assert len(kd_search._cells(sample, 6, 30)) == 1 == len(kd_search._cells(sample.where("false"), 6, 30))
+
+
+@pytest.mark.parametrize("kind", ["int8", "int64"])
+def test_cells_halve_the_widest_dimension(kind):
+    rng = np.random.default_rng(4)
+    sample = rng.integers(-100, 100, (3000, 5)).astype(kind)
+    sample[:, 3] = np.clip(sample[:, 3], -20, 20)
+    cells = kd_search.Cells.learn(sample, 5)
+    assert len(cells) == 8 and cells.dims[0] == int(np.argmax(sample.max(axis=0).astype(int) - sample.min(axis=0))) and 3 not in cells.dims
+    assert cells.values[0] == np.sort(sample[:, cells.dims[0]])[1499]
+    place = cells.of(sample.astype(np.int64))
+    assert np.bincount(place).min() > 3000 / 8 * 0.9 and (place < 4).tolist() == (sample[:, cells.dims[0]] <= cells.values[0]).tolist()
+    assert len(kd_search.Cells.learn(sample[:15], 5)) == 1 == len(kd_search.Cells.learn(sample[:0], 5))
+
+
 TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
